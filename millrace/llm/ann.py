@@ -15,8 +15,11 @@ from .common import durable, table
 #: Vectors that centroids and codebooks are fitted on, taken by hash of the id: a bounded sample. All vectors are indexed.
 SAMPLE = 20_000
 BLOCK = 4096
-#: Lists, at most and per square root of the vectors; share of the lists that a query visits; sub-vectors; candidates reranked per task.
-MAX_LISTS, PROBE_SHARE, PARTS, RERANK = 4096, 0.25, 16, 64
+#: Lists, at most and per square root of the vectors; share of the lists that a query visits; sub-vectors; candidates that a unit of work reranks for a query.
+#: The share suits vectors without any clusters, of which 0.25 would find three quarters; clustered ones need far less.
+MAX_LISTS, LISTS_PER_ROOT, PROBE_SHARE, PARTS, RERANK = 4096, 2, 0.6, 16, 96
+#: Vectors of a unit of work in a search.
+UNIT = 16_384
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def build(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple
     if not n:
         return good.withColumn("list", F.lit(0)).withColumn("code", F.lit(b"")), None
     fit = good.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).collect()
-    lists = int(max(1, min(MAX_LISTS, n**0.5, len(fit) / 8)))
+    lists = int(max(1, min(MAX_LISTS, LISTS_PER_ROOT * n**0.5, len(fit) / 8)))
     index = Index.fit(_unit(np.array([r["v"] for r in fit])), lists, parts)
     sent = spark.sparkContext.broadcast(index)
 
@@ -139,6 +142,19 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
+def _units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches joined to UNIT rows or more, as far as there are so many."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= UNIT:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def _searcher(sent, k: int, probe_share: float, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, q, index = sent.value
@@ -150,13 +166,10 @@ def _searcher(sent, k: int, probe_share: float, rerank: int):
         visits = np.zeros(coarse.shape, bool)
         np.put_along_axis(visits, np.argsort(-coarse, 1, kind="stable")[:, :probes], True, 1)
         tables = index.tables(unit).astype(np.float32)
-        for batch in batches:  # a batch is a task's unit of work: its best per query go on
-            if not batch.num_rows:
-                continue
+        for batch in _units(batches):
             vec, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(vec), -1)
             exact = _rows(batch.column(1))
-            best_q, best_c = [], []
             order = np.lexsort((vec, own))
             vec, own, codes, exact = vec[order], own[order], codes[order], exact[order]
             starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
