@@ -132,15 +132,21 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
         cover.setdefault(np.packbits(holds(x, p)).tobytes(), p)
     paths = list(cover.values())
     z = np.stack([holds(x, p) for p in paths], 1).astype(float)
-    mean = z.mean(0)
-    step = 4.0 / max(1e-9, np.linalg.eigvalsh((z - mean).T @ (z - mean) / len(y))[-1] + 1)
+    z, own = np.unique(z, axis=0, return_inverse=True)  # rows that the same rules hold for count as one, with a weight
+    n = np.bincount(own.ravel(), minlength=len(z)) / len(y)
+    y = np.bincount(own.ravel(), weights=y, minlength=len(z)) / len(y)
+    mean = n @ z
+    z = z - mean
+    step = 4.0 / max(1e-9, np.linalg.eigvalsh(z.T @ (z * n[:, None]))[-1] + 1)
     w, v, b, c, m = np.zeros(z.shape[1]), np.zeros(z.shape[1]), bias, bias, 1.0
     for _ in range(rounds):
-        g = 1 / (1 + np.exp(-np.clip((z - mean) @ v + c, -30, 30))) - y
-        nw = v - step * ((z - mean).T @ g) / len(y)
+        g = n / (1 + np.exp(-np.clip(z @ v + c, -30, 30))) - y
+        nw = v - step * (z.T @ g)
         nw = np.sign(nw) * np.maximum(np.abs(nw) - step * penalty, 0)
-        nb = c - step * g.mean()
+        nb = c - step * g.sum()
         nm = (1 + np.sqrt(1 + 4 * m * m)) / 2
+        if max(np.abs(nw - w).max(), abs(nb - b)) < 1e-6:
+            break
         v, c, w, b, m = nw + (m - 1) / nm * (nw - w), nb + (m - 1) / nm * (nb - b), nw, nb, nm
     keep = np.abs(w) > 1e-6
     return Rules(float(b - mean[keep] @ w[keep]), [(paths[i], float(w[i])) for i in np.flatnonzero(keep)])
