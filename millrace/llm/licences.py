@@ -24,6 +24,8 @@ TEMPLATES = {
 }
 #: Least Dice coefficient of a match.
 THRESHOLD = 0.8
+#: Leading characters whose distinct words bound a long unit's bigrams from below; units within the bound are compared whole.
+PART = 4000
 
 
 def tokens(text: str) -> list[str]:
@@ -63,6 +65,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     units = F.filter(F.split(text, "\n"), lambda x: (F.length(x) > 0))
     whole = F.when(F.size(units) > 1, F.array(text)).otherwise(F.array().cast("array<string>"))
     rows = docs.select("doc_id", F.explode(F.concat(units, whole)).alias("unit"))
+    # a text of d distinct words has at least d - 1 distinct bigrams, and a part of it no more words than all of it but for the one that is cut
+    part = F.size(F.array_distinct(F.split(_normalised(F.substring("unit", 1, PART)), " ")))
+    rows = rows.filter((F.length("unit") <= PART // 4) | (part - 2 <= most))
     # distinct bigrams never outnumber words less one; a unit with many words may still have as few bigrams as a template
     norm = rows.select("doc_id", _normalised(F.col("unit")).alias("norm")).filter(F.col("norm") != "")
     sized = norm.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= int(least)).select("doc_id", _bigrams(F.col("norm")).alias("grams"))
