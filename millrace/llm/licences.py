@@ -43,8 +43,12 @@ def _normalised(text: Column) -> Column:
     return F.btrim(F.regexp_replace(low, r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", " "), F.lit(" "))
 
 
-def _bigrams(norm: Column) -> Column:
-    w = F.split(norm, " ")
+def _once(x: Column, name: str) -> Column:
+    """A column that is computed once: a generator of one row, which later filters and projections are not merged into."""
+    return F.explode(F.array(x)).alias(name)
+
+
+def _bigrams(w: Column) -> Column:
     pairs = F.zip_with(w, F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.concat(a, F.lit(" "), b)))
     return F.when(F.size(w) < 2, w).otherwise(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
 
@@ -69,8 +73,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     part = F.size(F.array_distinct(F.split(_normalised(F.substring("unit", 1, PART)), " ")))
     rows = rows.filter((F.length("unit") <= PART // 4) | (part - 2 <= most))
     # distinct bigrams never outnumber words less one; a unit with many words may still have as few bigrams as a template
-    norm = rows.select("doc_id", _normalised(F.col("unit")).alias("norm")).filter(F.col("norm") != "")
-    sized = norm.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= int(least)).select("doc_id", _bigrams(F.col("norm")).alias("grams"))
+    norm = rows.select("doc_id", _once(_normalised(F.col("unit")), "norm")).filter(F.col("norm") != "")
+    sized = norm.filter(F.length("norm") - F.length(F.replace("norm", F.lit(" "), F.lit(""))) >= int(least)).select("doc_id", _once(F.split("norm", " "), "w")).select("doc_id", _once(_bigrams(F.col("w")), "grams"))
     sized = sized.filter(F.size("grams").between(least, most))
     n = F.size("grams")
     against = []
