@@ -168,10 +168,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as ``mix`` decides (not at all, once, ...), all columns kept."""
-    plan = mix(docs, **options).filter("copies > 0")
+    names = {"source": "_millrace_source", "doc_id": "_millrace_id", "text_key": "_millrace_key", "copies": "_millrace_copies"}
+    # fresh names: checkpoints keep the attributes of docs, which a join of both could not tell apart
+    plan = mix(docs, **options).filter("copies > 0").select(*[F.col(c).alias(x) for c, x in names.items()])
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")), docs["text"].isNull())
-    same = docs["source"].eqNullSafe(plan["source"]) & docs["doc_id"].cast("long").eqNullSafe(plan["doc_id"]) & (key == plan["text_key"])
-    copies = F.explode(F.sequence(F.lit(1), plan["copies"].cast("int")))
+    same = docs["source"].eqNullSafe(F.col("_millrace_source")) & docs["doc_id"].cast("long").eqNullSafe(F.col("_millrace_id")) & (key == F.col("_millrace_key"))
+    copies = F.explode(F.sequence(F.lit(1), F.col("_millrace_copies").cast("int")))
     return docs.join(plan, same).select(*[docs[c] for c in docs.columns], copies.alias("_millrace_copy")).drop("_millrace_copy")
 
 

@@ -426,6 +426,15 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(empty(spark)).count() == 0
 
 
+def test_mixed_reads_a_table_as_a_stage_does(spark, tmp_path):
+    documents(spark).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    out = mixing.mixed(docs)
+    assert out.columns == docs.columns
+    assert out.count() == sum(r["n"] * r["copies"] for r in mixing.mix(docs).collect()) > 0
+    assert mixing.mixed(docs.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("rounding", [mixing.pivot, mixing.pairwise])
 def test_pivotal_rounding_keeps_mass_and_expectations(rounding):
     import random
