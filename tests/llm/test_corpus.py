@@ -243,7 +243,7 @@ def test_keep_one(spark):
 # line dedup
 
 
-def plain_lines(data, sites):
+def plain_cleaned(data, sites):
     seen = collections.defaultdict(set)
     first = {}
     bare = lambda x: x.strip(" \t\r")
@@ -252,13 +252,17 @@ def plain_lines(data, sites):
             if bare(x):
                 seen[bare(x)].add(source or "")
                 first[bare(x)] = min(first.get(bare(x), (math.inf, 0)), (-1 if d is None else d, i))
-    out = collections.Counter()
-    for d, text, *_ in data:
+    out = []
+    for d, text, *rest in data:
         keep = [x for i, x in enumerate((text or "").split("\n")) if not bare(x) or len(seen[bare(x)]) < sites or first[bare(x)] == (-1 if d is None else d, i)]
-        out[d, None if text is None else "\n".join(keep)] += 1
+        out.append((d, None if text is None else "\n".join(keep), *rest))
     return out
 
 
+def plain_lines(data, sites):
+    return collections.Counter(r[:2] for r in plain_cleaned(data, sites))
+
+
 def test_line_dedup_equals_brute_force(spark):
     data = rows() + [(i, f"Shared   line {i % 40}\n\n \tfooter\r\nown {i}", "en", f"site{i % (1 + i % 40)}", 1) for i in range(1000, 1400)]
     docs = documents(spark, data)
@@ -449,3 +453,89 @@ def test_pivotal_rounding_keeps_mass_and_expectations(rounding):
         assert abs(sum(a * b for a, b in zip(size, got)) - 0.3 * sum(size)) < 1e-6
         total = [a + b for a, b in zip(total, got)]
     assert all(abs(t / 4000 - 0.3) < 0.035 for t in total)
+
+
+# the pipeline
+
+
+def plain_words(text, width, words):
+    """Fingerprint words over shingles of ``width`` words, by Python integers."""
+    w = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    shingles = [" ".join(w[i : i + width]) for i in range(len(w) - width + 1)] or ([" ".join(w)] if w else [])
+    out = []
+    for k in range(words):
+        hs = []
+        for x in shingles:
+            z = xxhash.xxh64_intdigest(x.encode(), 42)
+            if k:
+                z = (z + 0x9E3779B97F4A7C15 * k) % 2**64
+                z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                z = (z ^ z >> 27) * 0x94D049BB133111EB % 2**64
+                z ^= z >> 31
+            hs.append(z)
+        out.append(sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hs) * 2 > len(hs)))
+    return out
+
+
+def plain_keep_one(data):
+    texts = sorted({" ".join(WORD.findall((r[1] or "").lower() if (r[1] or "").isascii() else r[1])) for r in data})
+    fps = {t: (plain_words(t, 2, 3), plain_words(t, 5, 4)) for t in texts}
+    limit = simhash.largest_distance(0.8, 256)
+
+    def linked(a, b):
+        (p, c), (q, d) = fps[a], fps[b]
+        near = any(((x ^ y) >> 21 * i & (1 << 21) - 1).bit_count() <= 1 for x, y in zip(p, q) for i in range(3))
+        return near and sum((x ^ y).bit_count() for x, y in zip(c, d)) <= limit
+
+    root = plain_components(texts, linked)
+    of = lambda r: root[" ".join(WORD.findall((r[1] or "").lower() if (r[1] or "").isascii() else r[1]))]
+    least = {}
+    for r in data:
+        if r[0] is not None:
+            least[of(r)] = min(r[0], least.get(of(r), r[0]))
+    return [r for r in data if r[0] == least.get(of(r))]
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import random
+
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
+    data = []
+    for i in range(240):
+        w = [word() for _ in range(rng.randint(30, 200))]
+        text = " ".join(x + "$$$" for x in w) if i % 4 == 0 else "\n".join(" ".join(w[j : j + 20]) for j in range(0, len(w), 20)) + "\nread more on our site" * (i % 3 == 0)
+        data.append((i, text, "en", f"s{i % 7}" if i % 5 else "hot", len(text)))
+    for i in range(1, 120, 5):  # copies and near copies
+        w = data[i][1].split(" ")
+        w[len(w) // 2] = "edited"
+        data += [(300 + i, data[i][1], "en", "s2", 1), (500 + i, " ".join(w), "en", "s3", 1)]
+    data += [(900, None, None, None, None), (901, "", "en", "s1", 0), (902, " \n ", "en", None, 3), (None, "a b c d e f", "en", "s1", 1), (903, " ".join(word() for _ in range(6000)), "en", "s2", 9)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, int(i % 4 != 0), 0) for i in range(240)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rules = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    kept = [r for r in data if rules.score(np.array([quality.statistics(r[1])]))[0] >= 0.5]
+    assert not any(r[0] is not None and r[0] < 240 and r[0] % 4 == 0 for r in kept) and sum(r[0] is not None and r[0] < 240 for r in kept) == 180
+    cleaned = plain_cleaned(kept, line_dedup.MIN_SITES)
+    assert sum("read more" in (r[1] or "") for r in cleaned) == 1
+    once = plain_keep_one(cleaned)
+    assert len(once) <= len(cleaned) - 25  # 18 exact copies, and most near ones
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    copies = collections.Counter(r["doc_id"] for r in got if r["start"] == 0)
+    sizes, taken, most = collections.Counter(), collections.Counter(), collections.Counter()
+    for d, text, _, source, _ in once:
+        n = len(WORD.findall(text or ""))
+        sizes[source] += n
+        taken[source] += n * copies[d]
+        most[source] = max(most[source], n)
+    want = plain_targets(sizes)
+    assert set(copies) <= {r[0] for r in once} and len(once) == len({r[0] for r in once})
+    for d, text, _, source, _ in once:
+        ratio = want[source] / sizes[source] if sizes[source] else 0
+        assert math.floor(ratio + 1e-9) <= copies[d] <= math.ceil(ratio - 1e-9)
+    assert all(abs(taken[s] - want[s]) <= 0.5 * most[s] + 1e-6 for s in sizes)
+    ids = [(r[0], np.append(np.frombuffer(packing.encode([r[1] or ""], BPE)[0], "<u4"), 1)) for r in once for _ in range(copies[r[0]])]
+    check_packing(got, ids, packing.LENGTH)
