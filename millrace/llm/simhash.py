@@ -278,8 +278,8 @@ def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` whose doc_id names their near-duplicate component: one document of each group stays.
 
-    Rows without an id stay only if no row of their component has one (then all of them stay). Repeated rows of the staying id
-    are reduced to one.
+    Ids are taken to name one text each: of rows that repeat the staying id one stays, whichever their texts. Rows without an id
+    all stay if some component has only such rows, and all go otherwise.
     """
     named = near_components(docs, similarity)
     stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_millrace_stay")).agg(F.count("*").alias("_millrace_n"))
