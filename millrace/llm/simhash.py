@@ -97,7 +97,7 @@ def _ball_keys(words: list[str], segments: list[tuple[int, int, int, int]]) -> F
     are no probes stand in the table."""
     out = []
     for s, (w, shift, width, radius) in enumerate(segments):
-        value = F.shiftrightunsigned(F.col(words[w]), shift).bitwiseAND(F.lit((1 << width) - 1)) if width < 64 else F.col(words[w])
+        value = F.shiftrightunsigned(F.col(words[w]), shift).bitwiseAND(F.lit((1 << width) - 1))
         key = lambda v, s=s: v + F.lit(s << 33)
         out.append(F.array(F.struct(key(value).alias("key"), F.lit(False).alias("probe"))))
         if radius:
@@ -159,52 +159,70 @@ def _compare(key: np.ndarray, probe: np.ndarray, node: np.ndarray, words: list[n
     return np.array(us, np.int64), np.array(vs, np.int64)
 
 
+def _deal(classes: DataFrame, segments: list[tuple[int, int, int, int]], block: int) -> DataFrame:
+    """(node, words, key, probe, part): the rows that meet, grouped by (key, part), as ``hamming_links`` says."""
+    words = [c for c in classes.columns if c != "node"]
+    balls = _ball_keys(words, segments)
+    keyed = classes.select("node", *words, F.explode(balls).alias("k")).select("node", *words, "k.key", "k.probe")
+    # buckets of over ``block`` table rows: at most rows / block of each segment
+    large = classes.select(F.explode(F.filter(balls, lambda k: ~k["probe"])["key"]).alias("key")).groupBy("key").count().filter(F.col("count") > block)
+    large = durable(large)
+    if large.isEmpty():  # then no key has more probes than ``block`` times the bits of its segment
+        return keyed.withColumn("part", F.lit(0).cast("long"))
+    # a large bucket probes every value that has one more bit
+    segment, widest = F.shiftright("key", 33), max(width for _, _, width, _ in segments)
+    probing = [(b, [s for s, (_, _, width, radius) in enumerate(segments) if radius and b < width]) for b in range(widest)]
+    up = F.array(*[F.when(segment.isin(among) & (F.col("key").bitwiseAND(F.lit(1 << b)) == 0), F.col("key") + F.lit(1 << b)) for b, among in probing if among] or [F.lit(None).cast("long")])
+    incoming = large.select(F.explode(up).alias("key"), "count").filter("key is not null").groupBy("key").agg(F.sum("count").alias("incoming"))
+    blocks = F.greatest(F.lit(1), F.when(F.col("count") > block, F.ceil(F.col("count") / max(1, block // 2)))).cast("long")
+    probes = F.when(segment.isin([s for s, x in enumerate(segments) if x[3]]), F.greatest(F.lit(1), F.ceil(F.col("incoming") / (4 * block)))).otherwise(F.lit(0)).cast("long")
+    hot = durable(large.join(incoming, "key", "full").select("key", blocks.alias("blocks"), probes.alias("probes")))
+    upto = lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    own, asks = (F.when(F.col(n) > 0, F.pmod(F.xxhash64("node"), F.col(n))) for n in ("blocks", "probes"))
+    pairs = F.transform(upto("blocks"), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    asked = F.transform(upto("probes"), lambda i: -(i * F.col("blocks") + own) - 1)
+    asking = F.transform(upto("blocks"), lambda j: -(asks * F.col("blocks") + j) - 1)
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).when(F.col("probe"), asking).otherwise(F.concat(F.array_distinct(pairs), asked))
+    return keyed.join(hot, "key", "left").select("node", *words, "key", "probe", F.explode(parts).alias("part"))
+
+
 def hamming_links(classes: DataFrame, segments: list[tuple[int, int, int, int]], most: list[tuple[list[int], int]], block: int = BLOCK) -> DataFrame:
     """Links (u, v) between rows of classes(node long, w0 long, ...) whose complete distances are within ``most``.
 
-    most: (word numbers, largest distance over those words), all of which must hold. Each row stands in the table under the value
-    of each segment and probes the Hamming ball around it. Rows meet by a shuffle on the segment value. A bucket of
-    over ``block`` table rows is cut into blocks by hash, and every pair of its blocks meets in a group of its own; so no task
-    holds more than two blocks at a time and no comparison is lost. Of each group a spanning forest of the links comes
-    back, not all pairs: components are the same.
+    most: (word numbers, largest distance over those words), all of which must hold. Segments have 32 bits at most. Each row stands
+    in the table under the value of each segment and probes the Hamming ball around it. Rows meet by a shuffle on the segment value.
+    A bucket of over ``block`` table rows is cut into blocks by hash, and every pair of its blocks meets in a group of its own.
+    The probes of a value whose neighbours include such buckets are cut into blocks of about 4 * ``block`` as well, each of which
+    meets each table block. So no task holds a group that grows with the data, and no comparison is lost. Of each group a
+    spanning forest of the links comes back, not all pairs: components are the same.
     """
+    if any(width > 32 for _, _, width, _ in segments):
+        raise ValueError("segments have 32 bits at most")
     spark = classes.sparkSession
     words = [c for c in classes.columns if c != "node"]
-    keyed = classes.select("node", *words, F.explode(_ball_keys(words, segments)).alias("k")).select("node", *words, "k.key", "k.probe")
-    # buckets that are too large for one group; a small table: at most rows / block of them
-    large = classes.select(F.explode(F.filter(_ball_keys(words, segments), lambda k: ~k["probe"])["key"]).alias("key")).groupBy("key").count().filter(F.col("count") > block)
-    large = durable(large.select("key", F.ceil(F.col("count") / (block // 2)).cast("int").alias("blocks")))
-    if large.isEmpty():
-        dealt = keyed.withColumn("part", F.lit(0))
-    else:
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-        probes = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: -(own * F.col("blocks") + j) - 1)
-        parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array_distinct(pair))
-        parts = F.when(F.col("blocks").isNotNull() & F.col("probe"), probes).otherwise(parts)
-        # a probe block meets every table block: groups (own block, table block), which table rows join as well
-        rows = keyed.join(large, "key", "left")
-        table_side = F.when(F.col("blocks").isNotNull() & ~F.col("probe"), F.concat(parts, F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: -(i * F.col("blocks") + own) - 1))).otherwise(parts)
-        dealt = rows.select("node", *words, "key", "probe", F.explode(table_side).alias("part"))
-    ready = dealt.repartition(shuffle_partitions(spark), "key", "part").sortWithinPartitions("key", "part", "probe")
+    ready = _deal(classes, segments, block).repartition(shuffle_partitions(spark), "key", "part").sortWithinPartitions("key", "part", "probe")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
 
+        def changes(cols: list[np.ndarray]) -> np.ndarray:
+            return (cols[-3][1:] != cols[-3][:-1]) | (cols[-1][1:] != cols[-1][:-1])
+
         def flush(cols: list[np.ndarray]) -> pa.RecordBatch:
-            node, *ws, key, probe, part = cols
-            both = key.astype(np.int64) * np.int64(1_000_003) + part
-            u, v = _compare(both, probe, node, [w.view(np.uint64) for w in ws], most)
+            node, *ws, _, probe, _ = cols
+            u, v = _compare(np.cumsum(np.r_[False, changes(cols)]), probe, node, [w.view(np.uint64) for w in ws], most)
             return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
         n = 0
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append([c.to_numpy(zero_copy_only=False) for c in batch.columns])
             n += batch.num_rows
             if n < 200_000:
                 continue
             cols = [np.concatenate(x) for x in zip(*held, strict=True)]
-            ends = np.flatnonzero((cols[-3][1:] != cols[-3][:-1]) | (cols[-1][1:] != cols[-1][:-1]))
+            ends = np.flatnonzero(changes(cols))
             if not len(ends):
                 held = [cols]
                 continue

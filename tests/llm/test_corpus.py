@@ -197,6 +197,16 @@ def test_hamming_links_lose_nothing_in_hot_buckets(spark, block):
     assert {v: got.get(v, v) for v in values} == plain_components(values, lambda a, b: ((a ^ b) & simhash.M64).bit_count() <= 2)
 
 
+def test_no_group_of_probes_or_table_rows_grows_with_the_data(spark):
+    hot = spark.range(800).selectExpr("id as node", "shiftleft(id, 32) as w0")  # one low half; its neighbours have few rows
+    both = hot.unionByName(spark.range(20).selectExpr("id + 5000 as node", "shiftleft(id * 40, 32) + shiftleft(1L, cast(id % 4 as int)) as w0"))
+    dealt = simhash._deal(both, simhash.HALVES, 16)
+    assert dealt.groupBy("key", "part").count().agg({"count": "max"}).first()[0] <= 200
+    got = {r["node"]: r["root"] for r in components(simhash.hamming_links(both, simhash.HALVES, [([0], 1)], block=16)).collect()}
+    w = {r["node"]: r["w0"] for r in both.collect()}
+    assert {n: got.get(n, n) for n in w} == plain_components(w, lambda a, b: (w[a] ^ w[b]).bit_count() <= 1)
+
+
 def test_components_of_a_long_chain(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
