@@ -68,13 +68,14 @@ def _signed(x: int) -> int:
 
 
 def fingerprints(docs: DataFrame, plan: tuple[tuple[int, int], ...] = ((3, 1),)) -> DataFrame:
-    """(doc_id, text_key, w0, w1, ...): fingerprint words as signed longs; ``plan`` lists (shingle width, number of words).
+    """(doc_id, raw_key, text_key, w0, w1, ...): fingerprint words as signed longs; ``plan`` lists (shingle width, number of words).
 
-    text_key is the XXH64 of the normalised text. Null texts count as empty: all words zero. Whole texts are hashed.
+    raw_key is a hash of the text as it is, text_key the XXH64 of the normalised text. Null texts count as empty: all words zero.
+    Whole texts are hashed.
     """
     small_batches(docs.sparkSession)
     total = sum(n for _, n in plan)
-    schema = "doc_id long, text_key long, " + ", ".join(f"w{i} long" for i in range(total))
+    schema = "doc_id long, raw_key long, text_key long, " + ", ".join(f"w{i} long" for i in range(total))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -85,10 +86,10 @@ def fingerprints(docs: DataFrame, plan: tuple[tuple[int, int], ...] = ((3, 1),))
                 words = [w for width, n in plan for w in majority(shingle_hashes(data, width), n)]
                 for c, w in zip(cols[1:], words, strict=True):
                     c.append(_signed(w))
-            names = ["doc_id", "text_key", *(f"w{i}" for i in range(total))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in cols)], names=names)
+            names = ["doc_id", "raw_key", "text_key", *(f"w{i}" for i in range(total))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array(c, pa.int64()) for c in cols)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw_key")).mapInArrow(run, schema)
 
 
 def _ball_keys(words: list[str], segments: list[tuple[int, int, int, int]]) -> F.Column:
@@ -240,7 +241,7 @@ HALVES = [(0, 0, 32, 1), (0, 32, 32, 0)]
 
 
 def link_components(fp: DataFrame, segments: list[tuple[int, int, int, int]], most: list[tuple[list[int], int]], node: str) -> DataFrame:
-    """(node, component_id) for fp(doc_id, node, w0, ...): the least doc_id of the component of each node.
+    """(_node, root, component_id) for fp(doc_id, node, w0, ...): the component of each node and its least doc_id.
 
     Nulls among doc_id are passed over; a component of null ids alone has a null component_id.
     """
@@ -251,7 +252,7 @@ def link_components(fp: DataFrame, segments: list[tuple[int, int, int, int]], mo
     roots = components(hamming_links(named, segments, most))
     joined = classes.join(roots, classes[node] == roots["node"], "left").select(F.col(node).alias("_node"), "least_id", F.coalesce("root", F.col(node)).alias("root"))
     ids = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return joined.join(ids, "root").select("_node", "component_id")
+    return joined.join(ids, "root").select("_node", "root", "component_id")
 
 
 def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -279,7 +280,7 @@ def largest_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
 
 
 def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, text_key, component_id) of texts alike in their 5-word shingles.
+    """(doc_id, raw_key, root, component_id) of texts alike in their 5-word shingles; root names a component even if none of its ids does.
 
     Texts are classes by their normalised words, so copies collapse first. Candidates: classes whose 192-bit fingerprint over
     2-word shingles agrees in one of nine 21-bit segments up to one bit. Linked: those whose 256-bit fingerprint over 5-word
@@ -290,20 +291,21 @@ def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     fp = durable(fingerprints(docs, ((PROBE_WIDTH, PROBE_WORDS), (CHECK_WIDTH, CHECK_WORDS))))
     check = list(range(PROBE_WORDS, PROBE_WORDS + CHECK_WORDS))
     named = link_components(fp, NEAR_SEGMENTS, [(check, largest_distance(similarity, 64 * CHECK_WORDS))], "text_key")
-    return fp.join(named, fp["text_key"] == named["_node"]).select("doc_id", "text_key", "component_id")
+    return fp.join(named, fp["text_key"] == named["_node"]).select("doc_id", "raw_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id names their near-duplicate component: one document of each group stays.
+    """One row of ``docs`` of each near-duplicate component: that of the least doc_id, null only if no row has one.
 
-    Ids are taken to name one text each: of rows that repeat the staying id one stays, whichever their texts. Rows without an id
-    all stay if some component has only such rows, and all go otherwise.
+    If that id names several texts of the component, the text of least hash stays, and of rows that repeat both id and text any
+    one. A doc_id that names texts of different components can stay for each of them.
     """
-    named = near_components(docs, similarity)
-    stay = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("component_id").alias("_millrace_stay")).agg(F.count("*").alias("_millrace_n"))
-    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(stay["_millrace_stay"]))
-    once = kept.filter("_millrace_n = 1 or doc_id is null").select(*[kept[c] for c in docs.columns])
-    repeated = kept.filter("_millrace_n > 1 and doc_id is not null").select(*[kept[c] for c in docs.columns]).dropDuplicates(["doc_id"])
+    named = near_components(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    texts = named.groupBy("root", "doc_id", "raw_key").agg(F.count("*").alias("n"))
+    stay = texts.groupBy("root", "doc_id").agg(F.min("raw_key").alias("raw_key"), F.min_by("n", "raw_key").alias("n")).select(*[F.col(c).alias(f"_millrace_{c}") for c in ("doc_id", "raw_key", "n")])
+    kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_millrace_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_millrace_raw_key")))
+    once = kept.filter("_millrace_n = 1").select(*docs.columns)
+    repeated = kept.filter("_millrace_n > 1").dropDuplicates(["_millrace_doc_id", "_millrace_raw_key"]).select(*docs.columns)
     return once.unionByName(repeated)
 
 

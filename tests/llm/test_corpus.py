@@ -246,8 +246,12 @@ def test_keep_one(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     ids = collections.Counter(r["doc_id"] for r in kept.collect())
-    assert ids[905] == 1 and ids[900] == 1 and 901 not in ids and 902 not in ids and ids[None] == 2 and 61 not in ids
+    assert ids[905] == 2 and ids[900] == 1 and 901 not in ids and 902 not in ids and ids[None] == 2 and 61 not in ids
     assert simhash.keep_one(empty(spark)).count() == 0
+    a, b = "a b c d e f g h", "k l m n o p q r"
+    same = [(None, a, None, "s1", 1), (None, a, "en", "s2", 1), (None, a.upper(), None, None, 2), (None, b, "en", "s1", 1), (5, b, "en", "s1", 1), (7, "p", "en", "s", 1), (7, "P ", "en", "s", 1), (7, "quite another text", "en", "s", 1), (8, "p", "en", "s", 1)]
+    got = [(r["doc_id"], r["text"].lower().strip()) for r in simhash.keep_one(documents(spark, same)).collect()]
+    assert sorted(got, key=str) == sorted([(None, a), (5, b), (7, "p"), (7, "quite another text")], key=str)
 
 
 # line dedup
