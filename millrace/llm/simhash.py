@@ -268,9 +268,10 @@ def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
     return fp.join(named, fp["w0"] == named["_node"]).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: The stage on word shingles. Probed: 192 bits over 2-word shingles in 9 segments of 21 bits, radius 1. Decisive: 256 bits over 5-word shingles.
-PROBE_WIDTH, PROBE_WORDS, CHECK_WIDTH, CHECK_WORDS = 2, 3, 5, 4
-NEAR_SEGMENTS = [(w, 21 * i, 21, 1) for w in range(PROBE_WORDS) for i in range(3)]
+#: The near-duplicate stage: words of a shingle, minima in a band, largest share of pairs at the threshold that share no band.
+NEAR_WIDTH, BAND_ROWS, MISSED = 5, 6, 1e-6
+#: Blocks of a large candidate group hold about so many texts and shingles.
+NEAR_TEXTS, NEAR_SHINGLES = 512, 1 << 18
 
 
 def largest_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
@@ -279,19 +280,135 @@ def largest_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
     return int(p * bits + slack * math.sqrt(p * (1 - p) * bits))
 
 
+def band_count(similarity: float) -> int:
+    """Bands of BAND_ROWS minima, so that texts of that similarity share none with probability MISSED at most."""
+    return math.ceil(math.log(MISSED) / math.log1p(-min(similarity**BAND_ROWS, 1 - 1e-9)))
+
+
+def _bands(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
+    """A key of each band: XXH64 of the band's number and its least products of the distinct hashes; multipliers is (bands, BAND_ROWS)."""
+    flat = multipliers.ravel()
+    least = np.full(len(flat), M64, np.uint64)
+    for at in range(0, len(h), 2048):  # bounded memory for long texts
+        np.minimum(least, (flat[:, None] * h[None, at : at + 2048]).min(1), out=least)
+    return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(multipliers.shape))), np.uint64, len(multipliers)).view(np.int64)
+
+
+def _band_keys(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, raw_key, text_key, bands): keys as in ``fingerprints``; no bands for a text without words."""
+    small_batches(docs.sparkSession)
+    multipliers = np.random.default_rng(5).integers(0, 1 << 64, (band_count(similarity), BAND_ROWS), np.uint64) | np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, bands = [], []
+            for text in batch.column(1):
+                data = normalised(text.as_py())
+                keys.append(_signed(xxhash.xxh64_intdigest(data)))
+                bands.append(_bands(np.unique(shingle_hashes(data, NEAR_WIDTH)), multipliers) if data else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw_key", "text_key", "bands"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw_key")).mapInArrow(run, "doc_id long, raw_key long, text_key long, bands array<long>")
+
+
+def _shingle_sets(texts: DataFrame) -> DataFrame:
+    """(node, root, shingles) of texts(node, root, text): the distinct hashes in ascending order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(normalised(t.as_py()), NEAR_WIDTH)).view(np.int64) for t in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "shingles"])
+
+    return texts.select("node", "root", "text").mapInArrow(run, "node long, root long, shingles array<long>")
+
+
+def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs whose exact Jaccard similarity is ``similarity`` or more."""
+    n = np.array([len(s) for s in sets], np.int64)
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    own = np.repeat(np.arange(len(sets)), n)
+    shared = count > 1  # others add to sizes only
+    column = np.cumsum(shared) - 1
+    keep = shared[inverse]
+    own, column = own[keep], column[inverse[keep]]
+    order = np.argsort(column, kind="stable")
+    own, column = own[order], column[order]
+    common = np.zeros((len(sets), len(sets)), np.float32)
+    step = max(256, 4_000_000 // len(sets))  # bounded memory
+    for at in range(0, int(shared.sum()), step):
+        lo, hi = np.searchsorted(column, (at, at + step))
+        part = np.zeros((len(sets), int(column[hi - 1]) - at + 1), np.float32)
+        part[own[lo:hi], column[lo:hi] - at] = 1
+        common += part @ part.T
+    both = np.rint(common).astype(np.int64)
+    a, b = np.nonzero(np.triu(both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9, 1))
+    parent = list(range(len(sets)))
+    out = []
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        p, q = x, y
+        while parent[p] != p:
+            parent[p] = p = parent[parent[p]]
+        while parent[q] != q:
+            parent[q] = q = parent[parent[q]]
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((int(node[x]), int(node[y])))
+    return out
+
+
+def jaccard_links(sets: DataFrame, similarity: float, texts: int = NEAR_TEXTS, shingles: int = NEAR_SHINGLES) -> DataFrame:
+    """Links (u, v) among sets(node, root, shingles) of one root each whose exact Jaccard similarity is ``similarity`` or more.
+
+    Groups of over ``texts`` rows or ``shingles`` shingles are cut into blocks by hash, and every pair of blocks meets in a group of
+    its own, so no task holds a group that grows with the data. Of each a spanning forest comes back: components are the same.
+    """
+    count = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
+    blocks = F.greatest(F.ceil(F.col("n") / texts), F.ceil(F.col("s") / shingles)).cast("long")
+    hot = durable(count.select("root", blocks.alias("blocks")).filter("blocks > 1"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
+    dealt = sets.join(hot, "root", "left").select("root", F.explode(parts).alias("part"), "node", "shingles")
+    ready = dealt.repartition(shuffle_partitions(sets.sparkSession), "root", "part").sortWithinPartitions("root", "part")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, nodes, held = None, [], []
+
+        def flush() -> pa.RecordBatch:
+            got = _alike(np.array(nodes, np.int64), held, similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+
+        for batch in batches:
+            for root, part, node, values in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if now != (root, part):
+                    yield flush()
+                    now, nodes, held = (root, part), [], []
+                nodes.append(node)
+                held.append(values.values.to_numpy())
+        yield flush()
+
+    return ready.mapInArrow(run, "u long, v long")
+
+
 def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, raw_key, root, component_id) of texts alike in their 5-word shingles; root names a component even if none of its ids does.
 
-    Texts are classes by their normalised words, so copies collapse first. Candidates: classes whose 192-bit fingerprint over
-    2-word shingles agrees in one of nine 21-bit segments up to one bit. Linked: those whose 256-bit fingerprint over 5-word
-    shingles differs in no more bits than a Jaccard similarity of ``similarity`` leads to expect, plus one standard deviation.
-    A 2-word fingerprint moves less per edited word than a 5-word one, which makes its short segments meet; the decision is on
-    five words. A pair at 0.8 with scattered edits is found with probability of about 0.98 before transitive links.
+    Texts are classes by their normalised words, so copies collapse first. Linked: classes whose distinct 5-word shingles (as 64-bit
+    hashes) have a Jaccard similarity of ``similarity`` or more, by exact count. Candidates: classes that share a band of BAND_ROWS
+    minima over those shingles, directly or by way of others; a pair at ``similarity`` shares none with probability MISSED at most,
+    whatever the edits. All pairs of a group of candidates are counted. Links are transitive.
     """
-    fp = durable(fingerprints(docs, ((PROBE_WIDTH, PROBE_WORDS), (CHECK_WIDTH, CHECK_WORDS))))
-    check = list(range(PROBE_WORDS, PROBE_WORDS + CHECK_WORDS))
-    named = link_components(fp, NEAR_SEGMENTS, [(check, largest_distance(similarity, 64 * CHECK_WORDS))], "text_key")
-    return fp.join(named, fp["text_key"] == named["_node"]).select("doc_id", "raw_key", "root", "component_id")
+    fp = durable(_band_keys(docs, similarity))
+    keyed = fp.select("text_key", F.explode("bands").alias("key"))
+    met = keyed.groupBy("key").agg(F.min("text_key").alias("u"), F.max("text_key").alias("v")).filter("u < v").select("key", "u")
+    groups = components(keyed.join(met, "key").filter("text_key > u").select("u", F.col("text_key").alias("v")))
+    classes = durable(fp.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.min("raw_key").alias("least_key")))
+    wanted = durable(groups.join(classes, groups["node"] == classes["text_key"]).select("node", "root", "least_key"))
+    texts = docs.select("text", F.xxhash64("text").alias("least_key")).join(wanted, "least_key").groupBy("node", "root").agg(F.first("text").alias("text"))
+    links = components(jaccard_links(durable(_shingle_sets(texts)), similarity))
+    named = classes.join(links, classes["text_key"] == links["node"], "left").select(F.col("text_key").alias("_node"), "least_id", F.coalesce("root", "text_key").alias("root"))
+    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return fp.join(named.join(ids, "root"), fp["text_key"] == F.col("_node")).select("doc_id", "raw_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -241,6 +241,48 @@ def test_near_copies_are_found_and_others_left(spark):
     assert not any(got[a] == got[b] for a, b, j in pairs if j < 0.6)
 
 
+def exact_roots(texts, width=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {" ".join(w[i : i + width]) for i in range(max(1, len(w) - width + 1))}
+
+    sets = [shingles(t) for t in texts]
+    alike = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    return plain_components(range(len(texts)), alike)
+
+
+def edited_texts(kind, n=60, words=300):
+    """Pairs of texts whose similarity of 5-word shingles is 0.80 to 0.84."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"v{rng.randrange(3000)}"
+    out = []
+    for _ in range(n):
+        w = [word() for _ in range(words)]
+        near = list(w)
+        if kind == "block":
+            k, at = rng.randint(24, 28), rng.randrange(50, 200)
+            near[at : at + k] = [word() for _ in range(k)]
+        elif kind == "append":
+            near += [word() for _ in range(rng.randint(58, 72))]
+        else:
+            for at in rng.sample(range(10, words - 10, 12), rng.randint(5, 6)):
+                near[at] = word()
+        out += [" ".join(w), " ".join(near)]
+    return out
+
+
+@pytest.mark.parametrize("kind", ["block", "append", "scattered"])
+def test_near_pairs_at_the_threshold_are_found(spark, kind):
+    texts = edited_texts(kind)
+    close = [i for i in range(0, len(texts), 2) if 0.8 <= jaccard(texts[i].split(), texts[i + 1].split()) < 0.85]
+    assert len(close) >= 40
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert got == exact_roots(texts)
+    assert all(got[i] == got[i + 1] for i in close)
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = simhash.keep_one(docs)
