@@ -283,6 +283,26 @@ def test_near_pairs_at_the_threshold_are_found(spark, kind):
     assert all(got[i] == got[i + 1] for i in close)
 
 
+def test_a_repeated_line_links_no_different_texts(spark):
+    import random
+
+    rng = random.Random(12)
+    word = lambda: f"v{rng.randrange(3000)}"
+    line = " ".join(word() for _ in range(10))
+    texts = ["\n".join([" ".join(word() for _ in range(150)), *[line] * 20]) for _ in range(30)]
+    texts += [texts[0].replace(" ", "  "), texts[1] + " tail"]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_components(documents(spark, [(i, t, "en", "s", 1) for i, t in enumerate(texts)])).collect()}
+    assert got == {**{i: i for i in range(30)}, 30: 0, 31: 1} == exact_roots(texts)
+
+
+@pytest.mark.parametrize("limits", [(7, 1 << 18), (512, 900)])
+def test_blocks_of_a_large_group_lose_no_link(spark, limits):
+    texts = edited_texts("append", 20) + edited_texts("block", 20)
+    sets = spark.createDataFrame([(i, 3, sorted(set(simhash.shingle_hashes(simhash.normalised(t), 5).view(np.int64).tolist()))) for i, t in enumerate(texts)], "node long, root long, shingles array<long>")
+    got = {r["node"]: r["root"] for r in components(simhash.jaccard_links(sets, 0.8, *limits)).collect()}
+    assert {i: got.get(i, i) for i in range(len(texts))} == exact_roots(texts)
+
+
 def test_keep_one(spark):
     docs = documents(spark)
     kept = simhash.keep_one(docs)
