@@ -53,12 +53,60 @@ def _bigrams(w: Column) -> Column:
     return F.when(F.size(w) < 2, w).otherwise(F.array_distinct(F.filter(pairs, lambda x: x.isNotNull())))
 
 
+def _runs(docs: DataFrame, grams: dict[str, list[str]], threshold: float) -> DataFrame:
+    """(doc_id, licence, dice, matches): runs of two or more lines that are like a template; matches counts disjoint ones of each row.
+
+    A match holds at least threshold / (2 - threshold) of the template's bigrams and gains by dropping outer lines that hold none, so only
+    runs between lines that hold some, and hold enough together, are compared. Lines without words are passed over. Runs have at
+    most twice the words that the largest matching unit has bigrams.
+    """
+    low, high = threshold / (2 - threshold), (2 - threshold) / threshold
+    first = lambda g: g.split(" ")[0]
+    # more bigrams than a match can lack: one of them is in it, so its first word is
+    anchors = sorted({first(x) for g in grams.values() for x in sorted(g, key=lambda x: (-len(first(x)), x))[: int(len(g) * (1 - low) + 1e-9) + 1]})
+    lines = F.filter(F.transform(F.split("text", "\n"), _normalised), lambda x: x != "")
+    rows = docs.filter(F.contains("text", F.lit("\n"))).select("doc_id", _once(F.array_join(lines, "\n"), "norm"))
+    rows = rows.filter(F.arrays_overlap(F.split("norm", "[ \n]"), F.array(*[F.lit(x) for x in anchors])))
+    rows = rows.select("doc_id", _once(F.transform(F.split("norm", "\n"), lambda x: F.split(x, " ")), "lines")).filter(F.size("lines") > 1)
+    held = F.transform("lines", lambda w, i: _bigrams(F.concat(w, F.coalesce(F.slice(F.get("lines", i + 1), 1, 1), F.array().cast("array<string>")))))
+    rows = rows.select("doc_id", "lines", _once(held, "held"))
+    total = lambda x: F.aggregate(x, F.lit(0), lambda a, b: a + b)
+    per = []
+    for name, g in sorted(grams.items()):
+        t = F.array(*[F.lit(x) for x in g])
+        per.append(F.struct(F.lit(name).alias("licence"), t.alias("t"), F.transform("held", lambda b: F.size(F.array_intersect(b, t))).alias("h")))  # noqa: B023
+    rows = rows.select("doc_id", "lines", F.explode(F.array(*per)).alias("m")).select("doc_id", "lines", "m.licence", "m.t", "m.h")
+    need, span = F.size("t") * low - 1e-9, F.ceil(F.size("t") * 2 * high).cast("int")
+    rows = rows.filter(total(F.col("h")) >= need)
+    size, h = F.size("lines"), F.col("h")
+
+    def ends(i: Column) -> Column:
+        near = F.when(i + 1 < size, F.sequence(i + 1, F.least(size - 1, i + span))).otherwise(F.array().cast("array<int>"))
+        enough = F.filter(near, lambda j: ((F.get(h, j) > 0) | (F.get(h, j - 1) > 0)) & (total(F.slice(h, i + 1, j - i + 1)) >= need))
+        return F.transform(enough, lambda j: F.struct(j.alias("end"), i.alias("start")))
+
+    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(h, i) > 0)
+    rows = rows.select("doc_id", "lines", "licence", "t", _once(F.flatten(F.transform(starts, ends)), "runs"))
+
+    def compared(r: Column) -> Column:
+        w = F.flatten(F.slice("lines", r["start"] + 1, r["end"] - r["start"] + 1))
+        b = _bigrams(w)
+        dice = 2.0 * F.size(F.array_intersect(b, F.col("t"))) / (F.size(b) + F.size("t"))
+        return F.struct(r["end"].alias("end"), r["start"].alias("start"), F.when(F.size(w) <= span, dice).otherwise(F.lit(0.0)).alias("dice"))
+
+    rows = rows.select("doc_id", "licence", _once(F.array_sort(F.filter(F.transform("runs", compared), lambda r: r["dice"] >= threshold)), "runs")).filter(F.size("runs") > 0)
+    zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
+    disjoint = F.aggregate("runs", zero, lambda a, r: F.when(r["start"] > a["end"], F.struct(r["end"].alias("end"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
+    return rows.select("doc_id", "licence", F.array_max(F.transform("runs", lambda r: r["dice"])).alias("dice"), disjoint.cast("long").alias("matches"))
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, licence, dice, matches): templates that a line, or the whole text, of a document is like.
+    """(doc_id, licence, dice, matches): templates that a line, a run of lines, or the whole text, of a document is like.
 
     Units are the lines of a text and, if it has several, the whole text. Units of fewer words than any template can match are
     dropped before bigrams are made, those of more bigrams after; the others are compared with the templates whose bigram count lies within
-    threshold / (2 - threshold) of theirs, both ways. dice is the largest over the units, matches their number.
+    threshold / (2 - threshold) of theirs, both ways. Runs of lines are found by ``_runs``. dice is the largest over all,
+    matches the number of units or, if larger, of disjoint runs.
     Null and empty texts match nothing; repeated rows of a doc_id add up. Templates are a fixed, small list inside the plan,
     so nothing is joined; one aggregate by doc_id and licence follows.
     """
@@ -83,7 +131,9 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         fits = (n >= low * len(g) - 1e-9) & (n <= high * len(g) + 1e-9)
         against.append(F.when(fits, F.struct(F.lit(name).alias("licence"), dice.alias("dice"))))
     found = sized.select("doc_id", F.explode(F.array(*against)).alias("m")).filter(F.col("m.dice") >= threshold)
-    return found.groupBy("doc_id", F.col("m.licence").alias("licence")).agg(F.max("m.dice").alias("dice"), F.count("*").alias("matches"))
+    units = found.select("doc_id", "m.licence", "m.dice", F.lit(1).cast("long").alias("units"), F.lit(0).cast("long").alias("runs"))
+    runs = _runs(docs, grams, threshold).select("doc_id", "licence", "dice", F.lit(0).cast("long").alias("units"), F.col("matches").alias("runs"))
+    return units.unionByName(runs).groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.greatest(F.sum("units"), F.sum("runs")).alias("matches"))
 
 
 def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

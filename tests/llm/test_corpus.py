@@ -377,6 +377,19 @@ def test_licence_scan_equals_brute_force(spark):
     assert licences.scan(empty(spark)).count() == 0
 
 
+def test_wrapped_headers_inside_long_texts_are_found(spark):
+    import textwrap
+
+    prose = "\n".join(" ".join(f"word{i * 9 + k} of the" for k in range(4)) for i in range(60))
+    names = ["apache-2.0-header", "gpl-3.0-header", "isc", "mit"]
+    data = [(i, f"{prose}\n\n" + textwrap.fill(licences.TEMPLATES[n], 70).replace(".\n", ".\n\n") + f"\n\n{prose}", "en", "s", 1) for i, n in enumerate(names)]
+    twice = textwrap.fill(licences.TEMPLATES["isc"], 60)
+    data += [(10, f"{prose}\n{twice}\n{prose}\n{twice}", "en", "s", 1), (11, prose, "en", "s", 1)]
+    got = {(r["doc_id"], r["licence"]): (r["dice"], r["matches"]) for r in licences.scan(documents(spark, data)).collect()}
+    assert {(i, n) for i, n in enumerate(names)} | {(10, "isc")} <= got.keys() and not any(d == 11 for d, _ in got)
+    assert all(got[i, n][0] > 0.95 for i, n in enumerate(names)) and got[10, "isc"][1] == 2
+
+
 # vectors
 
 
