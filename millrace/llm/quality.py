@@ -158,12 +158,14 @@ def in_training(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     """Fit on the labelled documents outside the held-out third; labels only from there. At most ``sample`` labels, by hash of the id, are
-    used; that bound also makes their broadcast safe, so that documents are read once and not shuffled."""
+    used; that bound also makes their broadcast safe, so that documents are read once and not shuffled.
+    Of the rows that repeat an id, the one of least statistics counts."""
     small_batches(docs.sparkSession)
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_y"))
     known = durable(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id")
-    got = rows.select("_id", "_y", stats_column(F.col("_text")).alias("s")).select("_id", "_y", "s.*").limit(2 * sample).collect()
+    stats = rows.select("_id", "_y", stats_column(F.col("_text")).alias("s"))
+    got = stats.groupBy("_id", "_y").agg(F.min("s").alias("s")).select("_id", "_y", "s.*").collect()
     got.sort()
     x = np.array([r[2:] for r in got], float).reshape(len(got), len(STATS))
     return fit_rules(x, np.array([r[1] for r in got], float))

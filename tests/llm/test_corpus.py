@@ -497,6 +497,15 @@ def plain_targets(sizes):
     return out
 
 
+def test_quality_fits_one_row_of_each_labelled_id(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1][:20]
+    data = [(i, f"text of {i}", "en", "s", 1) for i in ids] + [(ids[0], "hot " * k, "en", "s", 1) for k in range(1, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "fit_rules", lambda x, y: (x, y))
+    x, y = quality.fit(documents(spark, data), labels, sample=20)
+    assert x.shape == (20, len(quality.STATS)) and y.tolist() == [i % 2 for i in ids]
+
+
 def test_mix_meets_targets(spark):
     data = rows(n=300)
     docs = documents(spark, data)
