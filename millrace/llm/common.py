@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.durable import discard, durable, shared_dir, written  # noqa: F401
+
 #: A word is a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile("[^\x20\x09-\x0d]+")
@@ -25,21 +26,38 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the cluster's own if it names one, else a temporary one (tests only)."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+#: Rows of a key up to which a join leaves the key to one task.
+KEY_ROWS = 4096
+
+
+def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: str, total: int, how: str = "inner", key_rows: int = KEY_ROWS) -> DataFrame:
+    """``left`` joined with ``right`` (one row a key), whose column ``size`` counts the key's rows in ``left``, ``total`` in all.
 
+    Heavy keys have over ``key_rows`` rows and over a thousandth of all: they are fewer than a thousand, so they go out by broadcast
+    and their rows stay where they are; only rows of other keys are shuffled. Without heavy keys, which a count finds out, it is
+    a plain join. Column names must differ. how: inner or left.
+    """
+    least = max(key_rows, total // 1000)
+    top = right.filter(F.col(size) > least)
+    same = F.col(left_key) == F.col(right_key)
+    if total <= least or top.isEmpty():
+        return left.join(right, same, how)
+    heavy = left.join(F.broadcast(top), same)
+    others = left.join(F.broadcast(top.select(F.col(right_key).alias("_top"))), F.col(left_key) == F.col("_top"), "left_anti")
+    return heavy.unionByName(others.join(right.filter(F.col(size) <= least), same, how))
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage with files in the shared checkpoint folder, so that lost executors cost no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+
+def one_length(vectors: DataFrame, column: str) -> DataFrame:
+    """The rows whose vector has the most common length, of ties the longest: vectors of other lengths cannot be compared with them."""
+    top = vectors.groupBy(F.size(column).alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
+    return vectors if top is None else vectors.filter(F.size(column) == top["n"])
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's Arrow batch size to ARROW_ROWS if it is larger."""
+    """Lower the session's Arrow batch size to ARROW_ROWS if it is larger.
+
+    It stays so: Spark reads the setting when a plan is run, and the operators return plans that have not run yet.
+    """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > ARROW_ROWS:
