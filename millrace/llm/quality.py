@@ -30,11 +30,10 @@ def statistics(text: str | None) -> list[float]:
     data = np.bincount(np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8), minlength=256)
     n, k = len(text), len(words)
     lines = [x for x in text.split("\n") if x.strip()]
-    counts = pd.Series(words).value_counts() if k < 3 else None
     seen: dict[str, int] = {}
     for w in words:
         seen[w] = seen.get(w, 0) + 1
-    top = max(seen.values()) if counts is None else int(counts.iloc[0])
+    top = max(seen.values())
     marked = sum(c for w, c in seen.items() if not w.isalnum() and not w[:-1].isalnum())
     upper = sum(c for w, c in seen.items() if w.isupper())
     alpha = sum(c for w, c in seen.items() if w.isalpha())
@@ -131,12 +130,14 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     for p in sorted(set(paths), key=lambda p: (len(p), p)):
         cover.setdefault(np.packbits(holds(x, p)).tobytes(), p)
     paths = list(cover.values())
-    z = np.stack([holds(x, p) for p in paths], 1).astype(float)
-    z, own = np.unique(z, axis=0, return_inverse=True)  # rows that the same rules hold for count as one, with a weight
+    # rows that the same rules hold for count as one, with a weight; until then a rule takes a bit of a row
+    bits = np.packbits(np.stack([holds(x, p) for p in paths], 1), axis=1)
+    bits, own = np.unique(bits, axis=0, return_inverse=True)
+    z = np.unpackbits(bits, axis=1, count=len(paths)).astype(float)
     n = np.bincount(own.ravel(), minlength=len(z)) / len(y)
     y = np.bincount(own.ravel(), weights=y, minlength=len(z)) / len(y)
     mean = n @ z
-    z = z - mean
+    z -= mean
     step = 4.0 / max(1e-9, np.linalg.eigvalsh(z.T @ (z * n[:, None]))[-1] + 1)
     w, v, b, c, m = np.zeros(z.shape[1]), np.zeros(z.shape[1]), bias, bias, 1.0
     for _ in range(rounds):
@@ -152,8 +153,9 @@ def fit_rules(x: np.ndarray, y: np.ndarray, trees: int = TREES, depth: int = DEP
     return Rules(float(b - mean[keep] @ w[keep]), [(paths[i], float(w[i])) for i in np.flatnonzero(keep)])
 
 
-def in_training(doc_id: Column) -> Column:
-    return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) != 1
+def held_out(doc_id: Column) -> Column:
+    """Whether crc32 of the id as text leaves 1 by 3; a null id has no remainder and is not held out, but has no label either."""
+    return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     used; that bound also makes their broadcast safe, so that documents are read once and not shuffled.
     Of the rows that repeat an id, the one of least statistics counts."""
     small_batches(docs.sparkSession)
-    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & in_training(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_y"))
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("_id")).agg(F.max("quality").alias("_y"))
     known = durable(known.orderBy(F.xxhash64("_id"), "_id").limit(sample))
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), F.col("text").alias("_text")).join(F.broadcast(known), "_id")
     stats = rows.select("_id", "_y", stats_column(F.col("_text")).alias("s"))
@@ -181,4 +183,4 @@ def scored(docs: DataFrame, rules: Rules) -> DataFrame:
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     got = scored(docs, fit(docs, table(spark, sf_dir, "labels")))
-    return got.select("doc_id", (~in_training(F.col("doc_id"))).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
