@@ -5,41 +5,45 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import discard, spread_join, written
 
+#: Links of a node up to which they meet in one task.
+HUB = 100_000
 
-def _large_star(edges: DataFrame) -> DataFrame:
+
+def _least(edges: DataFrame) -> DataFrame:
+    """(_u, m, degree): of each u its least neighbour and the number of its links."""
+    return edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+
+
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    least = _least(both).withColumn("m", F.least("_u", "m"))
+    # a hub's links stay where they are: only its least neighbour goes to them
+    return spread_join(both.filter("v > u"), least, "u", "_u", "degree", 2 * links, key_rows=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Takes edges with u > v."""
-    least = edges.groupBy("u").agg(F.min("v").alias("m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    least = _least(edges)
+    moved = spread_join(edges, least, "u", "_u", "degree", links, key_rows=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Label every node that has a link with the least node of its component.
 
     edges(u long, v long): undirected links; self-links and repeats are harmless, rows with a null are dropped.
-    Returns (node long, root long), roots included. Each round shuffles the links by node; nothing reaches the driver but a
-    count and a checksum. Lineage is cut every round through the shared checkpoint folder.
+    Returns (node long, root long), roots included. Each round shuffles the links by node, but for those of hubs, and rounds go on
+    until none changes anything: their number grows with the logarithm of the nodes. Nothing reaches the driver but a
+    count and a checksum. Every round is written to the shared folder, and the one before it is then deleted.
     """
-    e = edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    e = durable(e)
+    spark = edges.sparkSession
+    e, path = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     stamp = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = stamp(e)
-    if not before[0]:
-        return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    for _ in range(max_rounds):
-        e = durable(_small_star(_large_star(e)))
-        after = stamp(e)
-        if after == before:
-            break
-        before = after
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    before, after = None, stamp(e)
+    while after[0] and after != before:
+        last, (e, path) = path, written(_small_star(_large_star(e, after[0]), after[0]))
+        before, after = after, stamp(e)
+        discard(spark, last)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -11,12 +11,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, durable, shuffle_partitions, small_batches, table
+from .common import WORD_RE, durable, shuffle_partitions, small_batches, spread_join, table
 from .components import components
 
 ASCII_LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
 #: Largest number of members of a segment bucket that one task compares at once; larger buckets are dealt out by pairs of blocks.
 BLOCK = 2048
+#: Pairs that are compared at once.
+SLICE = 1 << 16
 M64 = (1 << 64) - 1
 
 
@@ -114,50 +116,64 @@ def _popcount(x: np.ndarray) -> np.ndarray:
 def _compare(key: np.ndarray, probe: np.ndarray, node: np.ndarray, words: list[np.ndarray], most: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
     """Links among rows sorted by (key, probe): every row against the table rows of its key, by complete distances.
 
-    Rows are taken in slices, so that memory stays bounded. Links of one call are reduced to a spanning forest.
+    Links of one call are reduced to a spanning forest. Every row meets the first table row of its key first, so that a family of
+    alike rows is joined by linear work; a key whose rows are then all joined is done. The other pairs are taken in slices of
+    SLICE, without those that are joined already.
     """
     start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     group = np.repeat(np.arange(len(start)), np.diff(np.r_[start, len(key)]))
-    members = np.add.reduceat(~probe, start)
     first = start[group]
-    has = members[group]
     own = np.arange(len(key)) - first  # table rows come first: a table row looks at earlier ones, a probe at all
-    has = np.where(probe, has, own)
-    parent: dict[int, int] = {}
-
-    def root(x: int) -> int:
-        while (p := parent.get(x, x)) != x:
-            parent[x] = parent.get(p, p)
-            x = p
-        return x
-
-    us, vs = [], []
+    has = np.where(probe, np.add.reduceat(~probe, start)[group], own)
+    ids, place = np.unique(node, return_inverse=True)
+    root = np.arange(len(ids))  # of each node, always the last one: paths have no second step
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+
+    def meet(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal root
+        apart = root[place[a]] != root[place[b]]
+        a, b = a[apart], b[apart]
+        for which, limit in most:
+            d = np.zeros(len(a), np.int64)
+            for w in which:
+                d += _popcount(words[w][a] ^ words[w][b])
+            a, b = a[d <= limit], b[d <= limit]
+        if not len(a):
+            return
+        p, q = root[place[a]], root[place[b]]
+        _, one = np.unique(np.minimum(p, q) * len(ids) + np.maximum(p, q), return_index=True)
+        over = root.tolist() if len(one) > len(root) // 8 else root
+        kept = []
+        for i in one.tolist():
+            x, y = int(p[i]), int(q[i])
+            while over[x] != x:
+                x = int(over[x])
+            while over[y] != y:
+                y = int(over[y])
+            if x != y:
+                over[max(x, y)] = min(x, y)
+                kept.append(i)
+        root = np.asarray(over)
+        while ((onward := root[root]) != root).any():
+            root = onward
+        us.append(node[a[kept]])
+        vs.append(node[b[kept]])
+
+    rows = np.flatnonzero(has > 0)
+    for at in range(0, len(rows), SLICE):
+        meet(rows[at : at + SLICE], first[rows[at : at + SLICE]])
+    mine = root[place]
+    has[(np.minimum.reduceat(mine, start) == np.maximum.reduceat(mine, start))[group]] = 0
     total = np.cumsum(has)
     at = 0
     while at < len(key):
-        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + 1_000_000, "right")))
+        stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + SLICE, "right")))
         n = has[at:stop]
         if n.sum():
-            a = np.repeat(np.arange(at, stop), n)
-            b = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n)
-            ok = node[a] != node[b]
-            for which, limit in most:
-                a, b = a[ok], b[ok]
-                if not len(a):
-                    break
-                d = np.zeros(len(a), np.int64)
-                for w in which:
-                    d += _popcount(words[w][a] ^ words[w][b])
-                ok = d <= limit
-            a, b = (a[ok], b[ok]) if len(a) else (a, b)
-            for x, y in set(zip(node[a].tolist(), node[b].tolist(), strict=True)):
-                p, q = root(x), root(y)
-                if p != q:
-                    parent[max(p, q)] = min(p, q)
-                    us.append(x)
-                    vs.append(y)
+            meet(np.repeat(np.arange(at, stop), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[at:stop], n))
         at = stop
-    return np.array(us, np.int64), np.array(vs, np.int64)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.empty(0, np.int64), np.empty(0, np.int64))
 
 
 def _deal(classes: DataFrame, segments: list[tuple[int, int, int, int]], block: int) -> DataFrame:
@@ -240,19 +256,26 @@ def hamming_links(classes: DataFrame, segments: list[tuple[int, int, int, int]],
 HALVES = [(0, 0, 32, 1), (0, 32, 32, 0)]
 
 
-def link_components(fp: DataFrame, segments: list[tuple[int, int, int, int]], most: list[tuple[list[int], int]], node: str) -> DataFrame:
-    """(_node, root, component_id) for fp(doc_id, node, w0, ...): the component of each node and its least doc_id.
+def link_components(fp: DataFrame, segments: list[tuple[int, int, int, int]], most: list[tuple[list[int], int]]) -> DataFrame:
+    """(_node, root, component_id, rows) for fp(doc_id, w0): the component of each fingerprint, its least doc_id, and the rows of the fingerprint.
 
     Nulls among doc_id are passed over; a component of null ids alone has a null component_id.
     """
-    words = [c for c in fp.columns if c.startswith("w")]
-    least = [F.min("doc_id").alias("least_id"), *([F.first(w).alias(w) for w in words] if node != "w0" else [])]
-    classes = durable(fp.groupBy(*([node] if node != "w0" else ["w0"])).agg(*least))
-    named = classes.select(F.col(node).alias("node"), *words)
-    roots = components(hamming_links(named, segments, most))
-    joined = classes.join(roots, classes[node] == roots["node"], "left").select(F.col(node).alias("_node"), "least_id", F.coalesce("root", F.col(node)).alias("root"))
-    ids = joined.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return joined.join(ids, "root").select("_node", "root", "component_id")
+    classes = durable(fp.groupBy("w0").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
+    roots = components(hamming_links(classes.select(F.col("w0").alias("node"), "w0"), segments, most))
+    return _named(classes.select(F.col("w0").alias("_node"), "least_id", "rows"), roots)
+
+
+def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """classes(_node, ...) with root, by roots(node, root); a class without a link is its own root."""
+    return classes.join(roots, classes["_node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_node")).drop("node")
+
+
+def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """classes(_node, least_id, ...) with root and component_id."""
+    joined = durable(_rooted(classes, roots))
+    ids = joined.groupBy(F.col("root").alias("_root")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("_classes"))
+    return spread_join(joined, ids, "root", "_root", "_classes", joined.count()).drop("_root", "_classes", "least_id")
 
 
 def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
@@ -260,24 +283,22 @@ def simhash_components(docs: DataFrame, distance: int = 2) -> DataFrame:
 
     Needs doc_id and text; further columns are ignored. Null and wordless texts have fingerprint zero and are linked like any
     other. Repeated rows each give a row. Rows of null doc_id are in components but are never their name, unless alone: null.
+    Rows of a fingerprint that a great share of all rows has stay where they are when components are told to them.
     """
     if not 0 <= distance <= 2:
         raise ValueError("the segments cover distances up to 2")
     fp = durable(fingerprints(docs))
-    named = link_components(fp, HALVES, [([0], distance)], "w0")
-    return fp.join(named, fp["w0"] == named["_node"]).select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
+    named = durable(link_components(fp, HALVES, [([0], distance)]))
+    out = spread_join(fp, named, "w0", "_node", "rows", fp.count())
+    return out.select("doc_id", F.lower(F.lpad(F.hex("w0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 #: The near-duplicate stage: words of a shingle, minima in a band, largest share of pairs at the threshold that share no band.
 NEAR_WIDTH, BAND_ROWS, MISSED = 5, 6, 1e-6
 #: Blocks of a large candidate group hold about so many texts and shingles.
 NEAR_TEXTS, NEAR_SHINGLES = 512, 1 << 18
-
-
-def largest_distance(similarity: float, bits: int, slack: float = 1.0) -> int:
-    """Bits in which texts of equal size and that Jaccard similarity are expected to differ, and ``slack`` standard deviations more."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return int(p * bits + slack * math.sqrt(p * (1 - p) * bits))
+#: Texts of a large candidate group, on average, that all its blocks are compared with first.
+PIVOTS = 8
 
 
 def band_count(similarity: float) -> int:
@@ -294,35 +315,40 @@ def _bands(h: np.ndarray, multipliers: np.ndarray) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(r.tobytes(), k) for k, r in enumerate(least.reshape(multipliers.shape))), np.uint64, len(multipliers)).view(np.int64)
 
 
-def _band_keys(docs: DataFrame, similarity: float) -> DataFrame:
-    """(doc_id, raw_key, text_key, bands): keys as in ``fingerprints``; no bands for a text without words."""
+def _near_keys(docs: DataFrame, similarity: float) -> DataFrame:
+    """(doc_id, raw_key, text_key, w0, bands): keys as in ``fingerprints``, a fingerprint of the distinct 5-word shingles, and their bands.
+
+    A text without words has fingerprint 0 and no bands.
+    """
     small_batches(docs.sparkSession)
     multipliers = np.random.default_rng(5).integers(0, 1 << 64, (band_count(similarity), BAND_ROWS), np.uint64) | np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, bands = [], []
+            keys, words, bands = [], [], []
             for text in batch.column(1):
                 data = normalised(text.as_py())
+                h = np.unique(shingle_hashes(data, NEAR_WIDTH))
                 keys.append(_signed(xxhash.xxh64_intdigest(data)))
-                bands.append(_bands(np.unique(shingle_hashes(data, NEAR_WIDTH)), multipliers) if data else [])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw_key", "text_key", "bands"])
+                words.append(_signed(majority(h)[0]))
+                bands.append(_bands(h, multipliers) if data else [])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.int64()), pa.array(words, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "raw_key", "text_key", "w0", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw_key")).mapInArrow(run, "doc_id long, raw_key long, text_key long, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw_key")).mapInArrow(run, "doc_id long, raw_key long, text_key long, w0 long, bands array<long>")
 
 
 def _shingle_sets(texts: DataFrame) -> DataFrame:
-    """(node, root, shingles) of texts(node, root, text): the distinct hashes in ascending order."""
+    """(node, group, shingles) of texts(node, group, text): the distinct hashes in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [np.unique(shingle_hashes(normalised(t.as_py()), NEAR_WIDTH)).view(np.int64) for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "root", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.list_(pa.int64()))], names=["node", "group", "shingles"])
 
-    return texts.select("node", "root", "text").mapInArrow(run, "node long, root long, shingles array<long>")
+    return texts.select("node", "group", "text").mapInArrow(run, "node long, group long, shingles array<long>")
 
 
-def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the pairs whose exact Jaccard similarity is ``similarity`` or more."""
     n = np.array([len(s) for s in sets], np.int64)
     _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -340,88 +366,135 @@ def _alike(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[
         part = np.zeros((len(sets), int(column[hi - 1]) - at + 1), np.float32)
         part[own[lo:hi], column[lo:hi] - at] = 1
         common += part @ part.T
-    both = np.rint(common).astype(np.int64)
-    a, b = np.nonzero(np.triu(both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9, 1))
-    parent = list(range(len(sets)))
-    out = []
-    for x, y in zip(a.tolist(), b.tolist(), strict=True):
-        p, q = x, y
-        while parent[p] != p:
-            parent[p] = p = parent[parent[p]]
-        while parent[q] != q:
-            parent[q] = q = parent[parent[q]]
-        if p != q:
-            parent[max(p, q)] = min(p, q)
-            out.append((int(node[x]), int(node[y])))
-    return out
-
+    both = np.rint(common)
+    linked = both >= similarity * (n[:, None] + n[None, :] - both) - 1e-9
+    left, us, vs = np.ones(len(sets), bool), [], []
+    for s in range(len(sets)):
+        if not left[s]:
+            continue
+        left[s], front = False, np.array([s])
+        while len(front):  # the next ring of texts that are linked to those reached
+            hits = linked[front] & left
+            new = np.flatnonzero(hits.any(0))
+            us.append(node[front[hits[:, new].argmax(0)]] if len(new) else node[:0])
+            vs.append(node[new])
+            left[new], front = False, new
+    return np.concatenate(us), np.concatenate(vs)
 
-def jaccard_links(sets: DataFrame, similarity: float, texts: int = NEAR_TEXTS, shingles: int = NEAR_SHINGLES) -> DataFrame:
-    """Links (u, v) among sets(node, root, shingles) of one root each whose exact Jaccard similarity is ``similarity`` or more.
 
-    Groups of over ``texts`` rows or ``shingles`` shingles are cut into blocks by hash, and every pair of blocks meets in a group of
-    its own, so no task holds a group that grows with the data. Of each a spanning forest comes back: components are the same.
-    """
-    count = sets.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
-    blocks = F.greatest(F.ceil(F.col("n") / texts), F.ceil(F.col("s") / shingles)).cast("long")
-    hot = durable(count.select("root", blocks.alias("blocks")).filter("blocks > 1"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    pairs = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)
-    dealt = sets.join(hot, "root", "left").select("root", F.explode(parts).alias("part"), "node", "shingles")
-    ready = dealt.repartition(shuffle_partitions(sets.sparkSession), "root", "part").sortWithinPartitions("root", "part")
+def _compared(dealt: DataFrame, similarity: float) -> DataFrame:
+    """Links (u, v) within each (group, part) of dealt(group, part, node, shingles)."""
+    ready = dealt.repartition(shuffle_partitions(dealt.sparkSession), "group", "part").sortWithinPartitions("group", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, nodes, held = None, [], []
 
         def flush() -> pa.RecordBatch:
-            got = _alike(np.array(nodes, np.int64), held, similarity) if len(held) > 1 else []
-            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["u", "v"])
+            u, v = _alike(np.array(nodes, np.int64), held, similarity) if len(held) > 1 else ([], [])
+            return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
         for batch in batches:
-            for root, part, node, values in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
-                if now != (root, part):
+            for group, part, node, values in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3), strict=True):
+                if now != (group, part):
                     yield flush()
-                    now, nodes, held = (root, part), [], []
+                    now, nodes, held = (group, part), [], []
                 nodes.append(node)
                 held.append(values.values.to_numpy())
         yield flush()
 
-    return ready.mapInArrow(run, "u long, v long")
+    return ready.select("group", "part", "node", "shingles").mapInArrow(run, "u long, v long")
+
+
+def jaccard_links(sets: DataFrame, similarity: float, texts: int = NEAR_TEXTS, shingles: int = NEAR_SHINGLES) -> DataFrame:
+    """Links (u, v) among sets(node, group, shingles) of one group each whose exact Jaccard similarity is ``similarity`` or more.
+
+    Groups of over ``texts`` rows or ``shingles`` shingles are cut into blocks by hash, so no task holds a group that grows with the
+    data. Each block is compared within, and with a few pivots of its group: so a family of alike texts is joined by work in
+    proportion to its size. Rows that do not belong to the largest family found so are then compared with all rows of their
+    group, every pair of blocks in a part of its own. Of each part a spanning forest comes back: components are the same.
+    """
+    zero, upto = F.lit(0).cast("long"), lambda n: F.when(F.col(n) > 0, F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).otherwise(F.array().cast("array<long>"))
+    cut = lambda n, s: F.greatest(F.ceil(n / texts), F.ceil(s / shingles)).cast("long")
+    own = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    sets = durable(sets)
+    total = sets.count()
+    sizes = sets.groupBy(F.col("group").alias("_group")).agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s")).withColumn("blocks", cut(F.col("n"), F.col("s")))
+    hot = durable(sizes.filter("blocks > 1"))
+    if hot.isEmpty():
+        return _compared(sets.withColumn("part", zero), similarity)
+    placed = spread_join(sets, hot, "group", "_group", "n", total, "left")
+    pivot = F.pmod(F.xxhash64("node", F.lit(7)), F.col("n")) < PIVOTS
+    parts = F.when(F.col("blocks").isNull(), F.array(zero)).when(pivot, upto("blocks")).otherwise(F.array(own("blocks")))
+    near = durable(_compared(placed.select("group", F.explode(parts).alias("part"), "node", "shingles"), similarity))
+    family = components(near).select(F.col("node").alias("_node"), F.col("root").alias("family"))
+    large = placed.filter("blocks is not null").select("group", "node", F.size("shingles").cast("long").alias("size"))
+    large = durable(large.join(family, large["node"] == F.col("_node"), "left").select("group", "node", "size", F.coalesce("family", "node").alias("family")))
+    per = large.groupBy("group", "family").agg(F.count("*").alias("n"), F.sum("size").alias("s"))
+    most = per.groupBy(F.col("group").alias("_group")).agg(F.max(F.struct("n", "family", "s")).alias("top"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    most = most.select("_group", "n", F.col("top.family").alias("top"), cut(F.col("top.n"), F.col("top.s")).alias("a"), cut(F.col("n") - F.col("top.n"), F.col("s") - F.col("top.s")).alias("b"))
+    open_ = durable(most.filter("b > 0"))
+    if open_.isEmpty():
+        return near
+    i, j = own("a"), own("b")  # the block among the largest family's rows, and among the others
+    b = F.col("b")
+    others = F.concat(F.array_distinct(F.transform(upto("b"), lambda k: F.least(j, k) * b + F.greatest(j, k))), F.transform(upto("a"), lambda k: b * (b + k) + j))
+    dealt = F.when(F.col("family") == F.col("top"), F.transform(upto("b"), lambda k: b * (b + i) + k)).otherwise(others)
+    rows = spread_join(large, open_, "group", "_group", "n", total).select(F.col("node").alias("_node"), dealt.alias("parts"))
+    rest = sets.join(rows, sets["node"] == rows["_node"]).select("group", F.explode("parts").alias("part"), "node", "shingles")
+    return near.unionByName(_compared(rest, similarity))
+
+
+def _near_classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The keys of every row, classes of texts, and the links among these: see ``near_components``.
+
+    Returns (doc_id, raw_key, text_key), (_node, least_id, rows, first(no_id, doc_id, raw_key)) and (node, root) of components.
+    """
+    fp = durable(_near_keys(docs, similarity))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw_key"))
+    classes = durable(fp.groupBy(F.col("text_key").alias("_node")).agg(F.min("doc_id").alias("least_id"), F.min("raw_key").alias("text_id"), F.count("*").alias("rows"), least.alias("first"), F.min("w0").alias("w0"), F.first("bands").alias("bands")))
+    count = classes.count()
+    close = hamming_links(classes.filter(F.size("bands") > 0).select(F.col("_node").alias("node"), "w0"), HALVES, [([0], 2)])
+    keyed = classes.select("_node", F.explode("bands").alias("key"))
+    met = durable(keyed.groupBy(F.col("key").alias("_key")).agg(F.min("_node").alias("u"), F.max("_node").alias("v"), F.count("*").alias("n")).filter("u < v").select("_key", "u", "n"))
+    banded = spread_join(keyed, met, "key", "_key", "n", max(1, count * band_count(similarity))).filter("_node > u").select("u", F.col("_node").alias("v"))
+    groups = components(close.unionByName(banded))
+    wanted = durable(classes.join(groups, classes["_node"] == groups["node"]).select(F.col("_node").alias("node"), F.col("root").alias("group"), "text_id", "rows"))
+    texts = docs.select("text", F.xxhash64("text").alias("text_key"))
+    found = spread_join(texts, wanted, "text_key", "text_id", "rows", fp.count()).groupBy("node", "group").agg(F.first("text").alias("text"))
+    links = components(jaccard_links(_shingle_sets(found), similarity))
+    return fp.select("doc_id", "raw_key", "text_key"), classes.drop("w0", "bands", "text_id"), links
 
 
 def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """(doc_id, raw_key, root, component_id) of texts alike in their 5-word shingles; root names a component even if none of its ids does.
 
-    Texts are classes by their normalised words, so copies collapse first. Linked: classes whose distinct 5-word shingles (as 64-bit
-    hashes) have a Jaccard similarity of ``similarity`` or more, by exact count. Candidates: classes that share a band of BAND_ROWS
-    minima over those shingles, directly or by way of others; a pair at ``similarity`` shares none with probability MISSED at most,
-    whatever the edits. All pairs of a group of candidates are counted. Links are transitive.
+    Texts are classes by their normalised words, so copies collapse first. Candidates: classes whose 64-bit SimHash fingerprints,
+    over distinct shingles, multi-index hashing finds at 2 or fewer differing bits. At ``similarity`` 0.8 fingerprints
+    differ in about 10 bits of 64, which no ball of an affordable size reaches; so classes that share a band of BAND_ROWS
+    minima over their shingles, directly or by way of others, are candidates too: a pair at ``similarity`` shares none with
+    probability MISSED at most, whatever the edits. Linked: candidates whose distinct shingles (as 64-bit hashes) have a
+    Jaccard similarity of ``similarity`` or more, by exact count. Links are transitive. Texts without words are one class,
+    linked to no other.
     """
-    fp = durable(_band_keys(docs, similarity))
-    keyed = fp.select("text_key", F.explode("bands").alias("key"))
-    met = keyed.groupBy("key").agg(F.min("text_key").alias("u"), F.max("text_key").alias("v")).filter("u < v").select("key", "u")
-    groups = components(keyed.join(met, "key").filter("text_key > u").select("u", F.col("text_key").alias("v")))
-    classes = durable(fp.groupBy("text_key").agg(F.min("doc_id").alias("least_id"), F.min("raw_key").alias("least_key")))
-    wanted = durable(groups.join(classes, groups["node"] == classes["text_key"]).select("node", "root", "least_key"))
-    texts = docs.select("text", F.xxhash64("text").alias("least_key")).join(wanted, "least_key").groupBy("node", "root").agg(F.first("text").alias("text"))
-    links = components(jaccard_links(durable(_shingle_sets(texts)), similarity))
-    named = classes.join(links, classes["text_key"] == links["node"], "left").select(F.col("text_key").alias("_node"), "least_id", F.coalesce("root", "text_key").alias("root"))
-    ids = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return fp.join(named.join(ids, "root"), fp["text_key"] == F.col("_node")).select("doc_id", "raw_key", "root", "component_id")
+    fp, classes, links = _near_classes(docs, similarity)
+    named = durable(_named(classes.drop("first"), links))
+    out = spread_join(fp, named, "text_key", "_node", "rows", fp.count())
+    return out.select("doc_id", "raw_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """One row of ``docs`` of each near-duplicate component: that of the least doc_id, null only if no row has one.
 
     If that id names several texts of the component, the text of least hash stays, and of rows that repeat both id and text any
-    one. A doc_id that names texts of different components can stay for each of them.
+    one. A doc_id that names texts of different components can stay for each of them. What stays is chosen among classes of
+    texts, and texts are then moved once, to be joined with it.
     """
-    named = near_components(docs, similarity).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    texts = named.groupBy("root", "doc_id", "raw_key").agg(F.count("*").alias("n"))
-    stay = texts.groupBy("root", "doc_id").agg(F.min("raw_key").alias("raw_key"), F.min_by("n", "raw_key").alias("n")).select(*[F.col(c).alias(f"_millrace_{c}") for c in ("doc_id", "raw_key", "n")])
+    fp, classes, links = _near_classes(docs, similarity)
+    stay = _rooted(classes, links).groupBy("root").agg(F.min("first").alias("f")).select(F.col("f.doc_id").alias("_millrace_doc_id"), F.col("f.raw_key").alias("_millrace_raw_key"))
+    repeats = fp.groupBy("doc_id", "raw_key").agg(F.count("*").alias("_millrace_n")).filter("_millrace_n > 1")
+    stay = durable(stay.join(repeats, stay["_millrace_doc_id"].eqNullSafe(repeats["doc_id"]) & (stay["_millrace_raw_key"] == repeats["raw_key"]), "left").drop("doc_id", "raw_key"))
     kept = docs.join(stay, docs["doc_id"].cast("long").eqNullSafe(F.col("_millrace_doc_id")) & (F.xxhash64(docs["text"]) == F.col("_millrace_raw_key")))
-    once = kept.filter("_millrace_n = 1").select(*docs.columns)
+    once = kept.filter("_millrace_n is null").select(*docs.columns)
     repeated = kept.filter("_millrace_n > 1").dropDuplicates(["_millrace_doc_id", "_millrace_raw_key"]).select(*docs.columns)
     return once.unionByName(repeated)
 
