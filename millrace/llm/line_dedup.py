@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 
 from .common import durable, table
 
+#: Keys up to which a table of lines is sent to every task: 5 MB at most. A larger one is joined by shuffle.
+SENT_KEYS = 200_000
+#: Into so many parts the occurrences of each line are dealt then.
+SALTS = 32
+
 #: A line on so many distinct sites is boilerplate.
 MIN_SITES = 4
 #: log2 of a sketch's buckets; its relative standard error is about 1.04 / sqrt(2 ** LG_K).
@@ -36,31 +41,46 @@ def occurrences(docs: DataFrame, site: str = "source") -> DataFrame:
     return rows.filter("k is not null").select("k.a", "k.b", "site", "doc_id", "text_key", "pos")
 
 
-def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", band: float = BAND) -> DataFrame:
+def _on_lines(occ: DataFrame, keys: DataFrame, sent_keys: int = SENT_KEYS) -> DataFrame:
+    """The occurrences whose line is in ``keys``(a, b, ...), with its further columns; ``keys`` is durable, so counting it is cheap.
+
+    A few keys are broadcast, which leaves every occurrence where it is. Else both sides are shuffled by line and a salt of the occurrence,
+    so that a line of any frequency is dealt to SALTS tasks.
+    """
+    if keys.count() <= sent_keys:
+        return occ.join(F.broadcast(keys), ["a", "b"])
+    salt = F.pmod(F.xxhash64("doc_id", "text_key", "pos"), F.lit(SALTS))
+    salted = keys.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    return occ.withColumn("salt", salt).join(salted, ["a", "b", "salt"]).drop("salt")
+
+
+def boilerplate(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", band: float = BAND, sent_keys: int = SENT_KEYS) -> DataFrame:
     """(a, b, first): keys of the lines on at least ``min_sites`` distinct sites, and their first occurrence (doc_id, pos).
 
     One HyperLogLog sketch of sites per line merges by aggregation, partial sketches before the shuffle, so that a line of any
-    frequency reaches a reducer as one sketch per map task. Lines whose estimate is within ``band`` of the threshold are counted
-    exactly: their (line, site) pairs are made distinct first, which again spreads a hot line. Null sites count as one site.
+    frequency reaches a reducer as one sketch from each map task. Lines whose estimate is within ``band`` of the threshold are
+    counted exactly: their (line, site) pairs are combined in the map tasks and then shuffled by the pair, so a hot line sends one row from each
+    map task and site. Null sites count as one site.
     """
     occ = occurrences(docs, site)
     spread = occ.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(LG_K))).alias("sites"), F.min(F.struct("doc_id", "pos")).alias("first"))
     wide = durable(spread.filter(F.col("sites") >= min_sites * (1 - band)))
     sure = wide.filter(F.col("sites") > min_sites * (1 + band))
     near = wide.filter(F.col("sites") <= min_sites * (1 + band))
-    exact = occ.join(near.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "site").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
+    pairs = _on_lines(occ, near.select("a", "b"), sent_keys).groupBy("a", "b", "site").agg(F.lit(1).alias("one"))
+    exact = pairs.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites)
     return sure.select("a", "b", "first").unionByName(near.join(exact, ["a", "b"]).select("a", "b", "first"))
 
 
-def clean(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True) -> DataFrame:
+def clean(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", keep_first: bool = True, sent_keys: int = SENT_KEYS) -> DataFrame:
     """The rows of ``docs`` with boilerplate lines taken out of ``text``; all columns stay.
 
     The first occurrence of each boilerplate line (least doc_id, then position; null ids first) stays, so content that is copied
     across sites survives once; ``keep_first=False`` removes it too. Blank lines stay. Null texts stay null, empty ones empty;
     a text may become empty. Repeated rows lose the same lines. Texts are shuffled once at most, by id and text hash.
     """
-    bad = durable(boilerplate(docs, min_sites, site))
-    hits = occurrences(docs, site).join(bad, ["a", "b"])
+    bad = durable(boilerplate(docs, min_sites, site, sent_keys=sent_keys))
+    hits = _on_lines(occurrences(docs, site), bad, sent_keys)
     if keep_first:
         hits = hits.filter(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("pos") == F.col("first.pos"))))
     per = hits.groupBy(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).agg(F.collect_set("pos").alias("_gone"))
