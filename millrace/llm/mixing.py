@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table, word_count
+from .common import durable, shuffle_partitions, spread_join, table, word_count
 
 #: Documents rounded together in one group; also the number of residuals that meet in one node of the reduction tree.
 CHUNK = 8192
@@ -23,9 +23,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), shar
     ``cap`` times its source's size and the excess is shared among the others by weight until none is above. One row per
     source; each round is one aggregate over that table. Returns (source, source_size, target).
     """
-    order = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
+    # ranks in two levels: sources are dealt out by ranges, counted for each range and numbered within it, so no task holds all
+    dealt = durable(sizes.repartitionByRange(shuffle_partitions(sizes.sparkSession), F.col("source").asc_nulls_last()).withColumn("_range", F.spark_partition_id()))
+    ranges = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = ranges.select(F.col("_range").alias("_r"), (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    order = F.row_number().over(Window.partitionBy("_range").orderBy(F.col("source").asc_nulls_last())) - 1 + F.col("_before")
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (order % len(weights) + 1).cast("int"))
-    s = durable(sizes.withColumn("w", w))
+    s = durable(dealt.join(F.broadcast(before), F.col("_range") == F.col("_r")).withColumn("w", w).drop("_range", "_r", "_before"))
     total = s.agg(F.sum("source_size")).first()[0] or 0
     level, full = 0.0, -1
     while True:  # the water level: an open source gets level * w, a closed one its cap
@@ -41,54 +45,13 @@ def _dice(seed: int, *key) -> random.Random:
     return random.Random(int.from_bytes(hashlib.blake2b(repr((seed, *key)).encode(), digest_size=8).digest(), "big"))
 
 
-def pivot(size: list[int], p: list[float], rng: random.Random) -> tuple[list[int], int | None, float]:
-    """Round the copy probabilities ``p`` so that sum(size * p) and each expectation stay as they are.
-
-    Largest first, a document is paired with the pool of all that follow: mass (in words) moves between the two at random
-    until one side is integral, a document or the whole pool. At most one document stays fractional, among the smallest.
-    Returns the roundings, the position of the fractional one (or None) and its probability.
-    """
-    out = [0] * len(p)
-    rest = float(sum(size))
-    shift = None  # the common probability of the pool once a mass has moved; documents of one source share p at first
-    mass = sum(a * x for a, x in zip(size, p, strict=True))
-    for i, a in enumerate(size):
-        rest -= a
-        x = p[i] if shift is None else shift
-        mass_rest = mass - a * x
-        y = mass_rest / rest if rest > 0 else 0.0
-        if rest <= 0:
-            return out, i, min(1.0, max(0.0, mass / a)) if a else 0.0
-        up, down = min(a * (1 - x), rest * y), min(a * x, rest * (1 - y))
-        if up + down <= 0:  # both are integral
-            out[i] = round(x)
-        else:
-            moved = up if rng.random() * (up + down) < down else -down
-            x, y = x + moved / a, y - moved / rest
-            if x <= 1e-9 or x >= 1 - 1e-9:
-                out[i] = round(x)
-            else:  # the pool has become integral
-                for j in range(i + 1, len(size)):
-                    out[j] = round(y)
-                return out, i, x
-        shift, mass = y, rest * y
-        if y <= 1e-12 or y >= 1 - 1e-12:
-            for j in range(i + 1, len(size)):
-                out[j] = round(y)
-            return out, None, 0.0
-    return out, None, 0.0
-
-
 def _round_group(last: bool, seed: int, level: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["size", "doc_id", "text_key"], ascending=[False, True, True], kind="stable")
         weight = (pdf["size"] * pdf["n"]).tolist()
         rng = _dice(seed, level, pdf["source"].iloc[0], int(pdf["chunk"].iloc[0]))
         p = pdf["p"].tolist()
-        if level and len(p) > 1:  # residuals differ in p: pair neighbours instead of pooling
-            got, at, x = pairwise(weight, p, rng)
-        else:
-            got, at, x = pivot(weight, p, rng)
+        got, at, x = pairwise(weight, p, rng)
         pdf = pdf.assign(final=True)
         if at is not None and last:
             got[at] = int(x >= 0.5)
@@ -104,7 +67,12 @@ def _round_group(last: bool, seed: int, level: int):
 
 
 def pairwise(size: list[int], p: list[float], rng: random.Random) -> tuple[list[int], int | None, float]:
-    """Pivotal rounding of unequal probabilities: a fractional document is paired with the next until one is integral."""
+    """Round the copy probabilities ``p`` so that sum(size * p) and each expectation stay as they are.
+
+    A fractional document is paired with the next: mass (in words) moves from one to the other, in a direction drawn so that
+    neither's expectation changes, until one of the two is integral; the other is paired on. At most one stays fractional.
+    Returns the roundings, the position of the fractional one (or None) and its probability.
+    """
     out, held, x = [0] * len(p), None, 0.0
     for i, (a, y) in enumerate(zip(size, p, strict=True)):
         if y <= 1e-9 or y >= 1 - 1e-9:
@@ -133,8 +101,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     text): n repeated identical rows share one decision. A null text counts no words; a document without words is taken once
     if its source's target is at least its size, as whole copies go first (its ``taken`` is 0 either way). An empty table
     gives an empty result. A document of a source with ratio r = target / size is copied floor(r) times, and once more with
-    probability r - floor(r), by pivotal rounding that preserves the source's words: groups of at most about ``chunk``
-    documents each leave at most one fractional document, and those meet in the next level of a reduction tree, until one is
+    probability r - floor(r), by pivotal rounding of pairs, largest documents first, that preserves the source's words: groups of at
+    most about ``chunk`` documents each leave at most one fractional document, and those meet in the next level of a reduction tree, until one is
     left per source and is rounded to the nearer side. The rows of a hot source are spread over its chunks, so no task holds
     more than a chunk. Fixed hashes drive all choices: reruns agree.
 
@@ -143,13 +111,17 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     rows = docs.select("source", F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull()).alias("text_key"), word_count(F.col("text")).alias("size"))
     units = durable(rows.groupBy("source", "doc_id", "text_key", "size").agg(F.count("*").alias("n")))
     sizes = units.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.count("*").alias("units"))
-    goal = durable(targets(sizes.drop("units"), weights, share, cap).withColumnRenamed("source", "s").join(sizes.select(F.col("source").alias("s2"), "units"), F.col("s").eqNullSafe(F.col("s2"))).drop("s2"))
+    key = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))  # noqa: E731  # null is a source of its own
+    count = sizes.select(key(F.col("source")).alias("k"), "units")
+    goal = targets(sizes.drop("units"), weights, share, cap).withColumn("_key", key(F.col("source"))).drop("source")
+    goal = durable(goal.join(count, F.col("_key") == F.col("k")).drop("k"))
+    total = units.count()
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     near = F.when(F.abs(ratio - F.round(ratio)) < 1e-9, F.round(ratio)).otherwise(ratio)
     pieces = F.greatest(F.lit(1), F.ceil(F.col("units") / chunk)).cast("long")
-    state = units.join(goal, units["source"].eqNullSafe(goal["s"])).select(
+    state = spread_join(units.withColumn("_k", key(F.col("source"))), goal, "_k", "_key", "units", total).select(
         "source", F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("no_id"), "text_key", "n", "size", F.floor(near).alias("whole"), (near - F.floor(near)).alias("p"),
-        F.pmod(F.xxhash64(units["doc_id"], F.col("text_key")), pieces).alias("chunk"), F.lit(False).alias("final"))
+        F.pmod(F.xxhash64("doc_id", "text_key"), pieces).alias("chunk"), F.lit(False).alias("final"))
     done = state.filter("p = 0 or size = 0").withColumn("final", F.lit(True))
     most = goal.agg(F.max(F.ceil(F.col("units") / chunk))).first()[0] or 0
     open_, level, parts = state.filter("p > 0 and size > 0"), 0, [done]
@@ -163,7 +135,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out.join(goal, out["source"].eqNullSafe(goal["s"])).select("source", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_key", "n", "size", "source_size", "target", F.col("whole").alias("copies"))
+    return spread_join(out.withColumn("_k", key(F.col("source"))), goal, "_k", "_key", "units", total).select("source", F.when(~F.col("no_id"), F.col("doc_id")).alias("doc_id"), "text_key", "n", "size", "source_size", "target", F.col("whole").alias("copies"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
