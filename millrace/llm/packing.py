@@ -22,8 +22,10 @@ from .common import durable, small_batches, table
 LENGTH = 2048
 #: The id that ends each document.
 END = 1
-#: Word encodings that a Python worker remembers.
-MEMO = 300_000
+#: Bytes that a Python worker's remembered words may take, about, in each of two generations.
+MEMO_BYTES = 64 << 20
+#: What a remembered word takes beside its characters and ids.
+ENTRY_BYTES = 190
 #: Of the documents with equal rests every so many is cut to powers of two, which fill the space that whole rests leave.
 FINE_EVERY = 16
 
@@ -37,14 +39,14 @@ _STOPS = frozenset(".,!?;:|#$%&*")
 
 
 def _letters() -> dict[int, str]:
-    """For characters below U+0250 the letters that a byte-level vocabulary writes for their UTF-8 bytes.
+    """For characters below U+0250, and those that they become in lower case, the letters that a byte-level vocabulary writes for their UTF-8 bytes.
 
     Printable bytes stand as themselves, the others as the characters from U+0100 on, in order.
     """
     shown = {*range(33, 127), *range(161, 173), *range(174, 256)}
     hidden = [b for b in range(256) if b not in shown]
     letter = {b: chr(b if b in shown else 256 + hidden.index(b)) for b in range(256)}
-    return {c: "".join(letter[b] for b in chr(c).encode()) for c in range(0x250)}
+    return {ord(x): "".join(letter[b] for b in x.encode()) for c in range(0x250) for x in chr(c) + chr(c).lower()}
 
 
 class _Words(dict):
@@ -55,53 +57,73 @@ class _Words(dict):
         from tokenizers import Tokenizer
 
         self.file, self.old, self.parts, self.letters = file, {}, {}, _letters()
+        self.held = 0
         self.tokenizer = Tokenizer.from_file(file)
-        self.tokenizer.encode_special_tokens = True
         self.merge = self.tokenizer.model.tokenize
+        # the vocabulary's own marks are cut out of the raw text before anything else
+        self.marks = {t.content: array("I", [i]).tobytes() for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.marked = re.compile("(" + "|".join(map(re.escape, self.marks)) + ")") if self.marks else re.compile("(?!)")
+        self.start = os.path.commonprefix([*self.marks])
 
     def __missing__(self, word: str) -> bytes:
         got = self.old.get(word)
         if got is None:
             got = self.encode(word)
         self[word] = got
+        self.held += len(word) + len(got) + ENTRY_BYTES
         return got
 
+    def text(self, x: str) -> bytes:
+        """Ids of a whole text."""
+        if self.start in x and self.marked.search(x):
+            return b"".join(self.marks[p] if p in self.marks else self.text(p) for p in self.marked.split(x) if p)
+        return b"".join(map(self.__getitem__, _BLANKS.split(x) if _FAR.search(x) else x.lower().split()))
+
     def encode(self, word: str) -> bytes:
         if _FAR.search(word):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
         word = word.lower()
         if word.isalpha():
-            return self.part(word)
+            return self.merged(word)
         if word[-1:] in _STOPS and word[:-1].isalpha():
-            return self.part(word[:-1]) + self.part(word[-1])
+            return self[word[:-1]] + self.part(word[-1])
         return b"".join(map(self.part, _PRETOKEN.findall(word)))
 
+    def merged(self, pre: str) -> bytes:
+        shown = pre if pre.isascii() and pre.isprintable() else pre.translate(self.letters)
+        return array("I", [x.id for x in self.merge(shown)]).tobytes()
+
     def part(self, pre: str) -> bytes:
+        """Ids of a pre-token; letters are remembered as words, marks and digits apart."""
+        if len(pre) > 1 and pre.isalpha():
+            return self[pre]
         got = self.parts.get(pre)
         if got is None:
-            got = self.parts[pre] = array("I", [x.id for x in self.merge(pre if pre.isascii() else pre.translate(self.letters))]).tobytes()
+            got = self.parts[pre] = self.merged(pre)
         return got
 
     def trim(self) -> None:
-        if len(self) > MEMO:
-            self.old = dict(self)
+        if self.held > MEMO_BYTES:
+            self.old, self.held = dict(self), 0
             self.clear()
-        if len(self.parts) > MEMO:
+        if len(self.parts) > 10_000:
             self.parts.clear()
 
 
 def encode(texts: list[str], file: str) -> list[bytes]:
-    """Token ids of each text as little-endian unsigned 32-bit integers, without an end mark.
+    """Token ids of each text as little-endian unsigned 32-bit integers, without an end mark: those of a plain
+    ``encode(text, add_special_tokens=False)``, which gives a mark of the vocabulary that stands in a text the mark's id.
 
     The vocabulary's pre-tokens never reach over a blank, so words between ASCII blanks are encoded on their own and remembered,
-    up to a bounded number for each Python worker.
+    up to a bounded number of bytes for each Python worker.
     """
     if _memo.get("file") != file:
         _memo.update(file=file, words=_Words(file))
     words = _memo["words"]
-    get = words.__getitem__
-    out = [b"".join(map(get, _BLANKS.split(x) if _FAR.search(x) else x.lower().split())) for x in texts]
-    words.trim()
+    out = []
+    for x in texts:
+        out.append(words.text(x))
+        words.trim()
     return out
 
 
