@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, line_dedup, topk
+from . import chat, licences, line_dedup, topk
 from .ann import op9_ann_search
 from .chat import op3_chat_format
 from .licences import op6_licence_scan
@@ -15,4 +15,4 @@ from .token_counts import op2_token_counts
 from .topk import op7_exact_topk
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_token_counts, op3_chat_format, op4_simhash_dedup, op5_line_dedup, op6_licence_scan, op7_exact_topk, op8_quality, op9_ann_search, op10_mix_sources)}
-ORACLES = {"op3_chat_format": chat.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op7_exact_topk": topk.ORACLE}
+ORACLES = {"op3_chat_format": chat.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_licence_scan": licences.ORACLE, "op7_exact_topk": topk.ORACLE}
