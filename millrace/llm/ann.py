@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, one_length, table
 
 #: Vectors that centroids and codebooks are fitted on, taken by hash of the id: a bounded sample. All vectors are indexed.
 SAMPLE = 20_000
@@ -93,7 +93,7 @@ class Index:
 def build(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple[DataFrame, Index | None]:
     """The coded vectors (vec_id, v, list, code), sorted by list within tasks, and the index."""
     spark = vectors.sparkSession
-    good = durable(usable(vectors))
+    good = one_length(durable(usable(vectors)), "v")
     n = good.count()
     if not n:
         return good.withColumn("list", F.lit(0)).withColumn("code", F.lit(b"")), None
@@ -114,7 +114,7 @@ def build(vectors: DataFrame, sample: int = SAMPLE, parts: int = PARTS) -> tuple
 def search(vectors: DataFrame, k: int = 5, every: int = 50, probe_share: float = PROBE_SHARE, rerank: int = RERANK, block: int = BLOCK, sample: int = SAMPLE, parts: int = PARTS) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id ``every`` divides, the k nearest found by cosine.
 
-    All other rows are candidates; rows with the query's vec_id are its own; a repeated query id is asked once, with its least vector. Vectors must have one length.
+    All other rows are candidates; rows with the query's vec_id are its own; a repeated query id is asked once, with its least vector. Vectors of another length than most have take no part.
     A query visits the lists whose centroids have the largest inner product with it. Each task scores the visited
     codes from the query's tables, keeps the best ``rerank`` (ties: smaller id), scores those exactly on the original vectors
     and sends k of them; the best k of all tasks are the result. Queries go out in blocks of bounded size. The coded vectors lie in
@@ -129,7 +129,9 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, probe_share: float =
     for number in range(blocks):
         rows = sorted(dealt.filter(F.col("block") == number).select("vec_id", "v").collect())
         ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64).reshape(len(rows), -1) if rows else np.empty((0, 1), np.float64)
-        found.append(coded.mapInArrow(_searcher(spark.sparkContext.broadcast((ids, q, index)), k, probe_share, rerank), "query_id long, vec_id long, score double"))
+        sent = spark.sparkContext.broadcast((ids, q, index))
+        found.append(durable(coded.mapInArrow(_searcher(sent, k, probe_share, rerank), "query_id long, vec_id long, score double")))
+        sent.unpersist()
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

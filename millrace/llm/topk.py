@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import durable, table
+from .common import durable, one_length, table
 
 #: Queries that are sent to the tasks at once; with 64 components a block is 2 MB.
 BLOCK = 4096
@@ -33,6 +33,8 @@ def _matrix(column: pa.ListArray) -> np.ndarray:
 def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Exact integer inner products: through doubles while all sums stay below 2**53, else in 64-bit integers."""
     size = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
+    if size >= 2**63:
+        raise OverflowError("inner products may not fit 64 bits")
     return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if size < 2**53 else q @ c.T
 
 
@@ -97,13 +99,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, b
     """(query_id, rank, vec_id, score): for each row whose vec_id ``every`` divides, the k largest integer inner products.
 
     All other rows are candidates; rows with the query's vec_id are its own. Ties go to the smaller vec_id; repeated candidates count each, a
-    repeated query id is asked once, with its least vector. Vectors must have one length. Queries go out in
-    blocks of bounded size, candidates are never moved: every round is a pass that scores each pair, and tasks send back only
+    repeated query id is asked once, with its least vector. Vectors of another length than most have take no part. Queries go out in
+    blocks of bounded size, one after another, each block's result being written before the next goes out; candidates are never moved: every round is a pass that scores each pair, and tasks send back only
     the upper end of a histogram. With each k-th value known, a last pass sends the scores above it and, of those equal to it, as many of
     the least ids as are wanted; so no more than k rows per task and query travel, however many vectors tie.
     """
     spark = vectors.sparkSession
-    cand = durable(quantised(vectors, scale))
+    cand = one_length(durable(quantised(vectors, scale)), "v")
     asked = durable(cand.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
     peak = cand.select(F.transform("v", F.abs).alias("v")).agg(F.max(F.array_max("v"))).first()[0] or 0
     blocks = max(1, -(-asked.count() // block))
@@ -114,7 +116,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, b
         ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1) if rows else np.empty((0, 1), np.int64)
         sent = spark.sparkContext.broadcast((ids, q))
         kth, above = _kth(cand, sent, ids, k, np.abs(q).sum(1) * peak) if len(ids) else (ids, ids)
-        parts.append(_filtered(cand, sent, k, kth, k - above))
+        parts.append(durable(_filtered(cand, sent, k, kth, k - above)))
+        sent.unpersist()
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
