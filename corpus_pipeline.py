@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, packing, quality, simhash
-from millrace.llm.common import shared_dir, table
+from millrace.llm.common import discard, shared_dir, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,11 +45,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in turn over ``documents``; each result is written to the shared folder and read as the next one's input."""
-    shared_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The stages in turn over ``documents``; each result is written to the shared folder and read as the next one's input.
+
+    A stage's table is deleted once the next one is written; the last one is the result and stays.
+    """
+    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    docs, last = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
+        docs, path = written(stage(spark, docs, sf_dir), f"{folder}/{k}")
+        if last:
+            discard(spark, last)
+        last = path
     return docs
