@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ def hash_key(seed: int | str, *ids: Column) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in ids]).cast("binary"))
 
 
+def plain_hash_key(seed: int | str, *ids: int | str | None) -> str:
+    """``hash_key`` of plain values; nulls are passed over there as here."""
+    return hashlib.md5(":".join(map(str, (seed, *(i for i in ids if i is not None)))).encode()).hexdigest()
+
+
 def bucket(seed: int | str, n: Column | int, *ids: Column) -> Column:
     """A reproducible uniform number in [0, n)."""
     n = F.lit(n) if isinstance(n, int) else n

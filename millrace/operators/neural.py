@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import abc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hash_key
+from ..functions import hash_key, plain_hash_key
+from ..plans.durable import durable
 from ..sources import DatasetSpec
+from .metrics import compute_metrics
 from .models import FittedModel, Model
+from .split import ranked
 
-#: Training values (rows times features) that are trained on in the driver; a larger set is drawn from by one Spark job a step.
-LOCAL_VALUES = 2_000_000
+#: Training values (rows times features), and rows, that are held in the driver. Of a larger set a batch is, if it has no more than so
+#: many; the gradient of a larger batch is added up in Spark. Batches are the same either way.
+LOCAL_VALUES, LOCAL_ROWS = 2_000_000, 50_000
 
 
 def _softmax(z):
@@ -130,15 +135,21 @@ class Dropout(Layer):
         return da * self.mask, []
 
 
-class SGD:
+class Optimizer(abc.ABC):
+    @abc.abstractmethod
+    def steps(self, key: int, deltas: list[np.ndarray], t: int) -> list[np.ndarray]:
+        """What is added to the parameters of layer ``key`` in step ``t`` (from 1), by the mean updates of the batch."""
+
+
+class SGD(Optimizer):
     def __init__(self, rate: float = 0.001):
         self.rate = rate
 
-    def steps(self, key: int, deltas: list[np.ndarray], t: int) -> list[np.ndarray]:
+    def steps(self, key, deltas, t):
         return [self.rate * d for d in deltas]
 
 
-class Adam:
+class Adam(Optimizer):
     """Without ``carry_moments`` moments start at zero in every step, as the followed definition in effect does."""
 
     def __init__(self, rate: float = 0.0001, beta1: float = 0.9, beta2: float = 0.999, epsilon: float = 1e-8, carry_moments: bool = False):
@@ -181,10 +192,12 @@ class Network:
             got.append(g)
         return got[::-1]
 
-    def step(self, x, y, optimizer, t: int, rng) -> None:
+    def start_batch(self, rng) -> None:
         for layer in self.layers:
             layer.start_batch(rng)
-        for i, (layer, g) in enumerate(zip(self.layers, self.gradients(x, y), strict=True)):
+
+    def apply(self, gradients: list[list[np.ndarray]], optimizer: Optimizer, t: int) -> None:
+        for i, (layer, g) in enumerate(zip(self.layers, gradients, strict=True)):
             if g:
                 layer.update(optimizer.steps(i, g, t))
 
@@ -212,7 +225,11 @@ class FittedNetwork(FittedModel):
     network: Network
     features: list[str]
     classes: list[str] | None
-    history: list[tuple[int, str, float]]
+    history: list[tuple[int, str, str, float]]
+
+    def history_table(self, spark) -> DataFrame:
+        """(epoch, split, metric, value): the metrics after each epoch on the rows of training and, if given, of validation."""
+        return spark.createDataFrame(self.history, "epoch int, split string, metric string, value double")
 
     def transform(self, df):
         """Adds the prediction over Arrow batches; all columns pass through."""
@@ -238,13 +255,16 @@ def inputs(df: DataFrame, features: list[str]) -> Column:
 
 
 class NeuralNetwork(Model):
-    """Mini-batch training: each epoch has ceil(n / batch_size) batches, drawn independently of one another.
+    """Mini-batch training: each epoch has ceil(n / batch_size) batches, drawn by hash order, independently of one another.
 
-    Up to LOCAL_VALUES values are trained on in the driver. Beyond that one job a step takes the batch by hash order, so that only a batch reaches the driver.
+    The first layer is Input. With ``verbose`` the spec's metrics are taken after each epoch, without dropout, on all training rows
+    and on the rows of ``validation``. A network of another fit is not touched: layers are built anew by the seed.
     """
 
-    def __init__(self, layers: list[Layer], batch_size: int = 32, epochs: int = 100, optimizer=None, exact_gradient: bool = False, seed: int = 0, verbose: bool = False):
-        self.layers, self.batch_size, self.epochs, self.optimizer, self.exact, self.seed, self.verbose = layers, batch_size, epochs, optimizer or SGD(), exact_gradient, seed, verbose
+    def __init__(self, layers: list[Layer], batch_size: int = 32, epochs: int = 100, optimizer: Optimizer | None = None, exact_gradient: bool = False, seed: int = 0, verbose: bool = False, validation: DataFrame | None = None):
+        if not layers or not isinstance(layers[0], Input):
+            raise ValueError("the first layer must be an Input")
+        self.layers, self.batch_size, self.epochs, self.optimizer, self.exact, self.seed, self.verbose, self.validation = layers, batch_size, epochs, optimizer or SGD(), exact_gradient, seed, verbose, validation
 
     def fit(self, df, spec, id_col="row_id"):
         features = spec.features(df.columns, id_col)
@@ -256,30 +276,44 @@ class NeuralNetwork(Model):
         classes = None
         if spec.task == "classification":
             classes = [r["_y"] for r in rows.groupBy("_y").agg(F.min("_id").alias("i")).orderBy("i", "_y").collect()]
-        net, rng, t = Network(self.layers, self.exact).build(width, self.seed), np.random.default_rng(self.seed), 0
-
-        def arrays(got) -> tuple[np.ndarray, np.ndarray]:
-            x = np.array([r["_x"] for r in got], float)
-            if classes is None:
-                return x, np.array([[r["_y"]] for r in got], float)
-            at = {c: i for i, c in enumerate(classes)}
-            return x, np.eye(len(classes))[[at[r["_y"]] for r in got]]
-
-        local = arrays(rows.orderBy("_id").collect()) if n * width <= LOCAL_VALUES else None
-        history = []
+        net, rng = Network(self.layers, self.exact).build(width, self.seed), np.random.default_rng(self.seed)
+        gradients = self.gradients_of(net, rows, classes, n, width)
+        fitted, t = FittedNetwork(spec, net, features, classes, []), 0
         for epoch in range(self.epochs):
             for _ in range(-(-n // self.batch_size)):
                 t += 1
-                if local is not None:
-                    pick = rng.choice(n, self.batch_size, replace=False)
-                    x, target = local[0][pick], local[1][pick]
-                else:
-                    x, target = arrays(rows.orderBy(hash_key(self.seed, F.lit(t), F.col("_id")), "_id").limit(self.batch_size).collect())
-                net.step(x, target, self.optimizer, t, rng)
+                net.start_batch(rng)
+                net.apply(gradients(t), self.optimizer, t)
             if self.verbose:
-                out = net.forward(x)
-                history.append((epoch, "acc" if classes else "mse", float((out.argmax(1) == target.argmax(1)).mean() if classes else ((out - target) ** 2).mean())))
-        return FittedNetwork(spec, net, features, classes, history)
+                for name, part in (("train", df), ("validation", self.validation)):
+                    if part is not None:
+                        got = compute_metrics(fitted.transform(part), spec.target, "prediction", spec.metrics, spec.positive_class, spec.negative_class).first()
+                        fitted.history += [(epoch, name, m, got[m]) for m in spec.metrics]
+        return fitted
+
+    def gradients_of(self, net: Network, rows: DataFrame, classes: list[str] | None, n: int, width: int):
+        """A function from the number of a step to the mean updates over its batch: the rows of the least hashes of (seed, step, id)."""
+        at = {c: i for i, c in enumerate(classes or [])}
+
+        def arrays(got) -> tuple[np.ndarray, np.ndarray]:
+            x = np.array([r["_x"] for r in got], float)
+            return x, np.array([[r["_y"]] for r in got], float) if classes is None else np.eye(len(classes))[[at[r["_y"]] for r in got]]
+
+        if n * width <= LOCAL_VALUES and n <= LOCAL_ROWS:
+            held = rows.orderBy("_id").collect()
+            ids, (x, y) = [r["_id"] for r in held], arrays(held)
+
+            def local(t: int):
+                keys = [plain_hash_key(self.seed, t, i) for i in ids]
+                pick = sorted(range(n), key=keys.__getitem__)[: self.batch_size]  # stable: ties by id
+                return net.gradients(x[pick], y[pick])
+
+            return local
+        if self.batch_size * width <= LOCAL_VALUES:
+            return lambda t: net.gradients(*arrays(rows.orderBy(hash_key(self.seed, F.lit(t), F.col("_id")), "_id").limit(self.batch_size).collect()))
+        target = F.array("_y") if classes is None else F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: (c == F.col("_y")).cast("double"))
+        ready = durable(rows.select("_id", "_x", target.alias("_y")))
+        return lambda t: partial_gradients(ready if self.batch_size == n else ranked(ready, "_id", f"{self.seed}:{t}").filter(F.col("_rank") < self.batch_size), net)
 
 
 def partial_gradients(df: DataFrame, network: Network) -> list[list[np.ndarray]]:
