@@ -12,11 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import NAN
+from ..plans.durable import durable
 from ..sources import DatasetSpec
 from .models import FittedModel, Model
 
-#: Training values (rows times components) that are sent to every task; a larger training set is joined instead.
+#: Training values (rows times components) that are sent to every task at once; a larger training set goes out in blocks of so many.
 BROADCAST_VALUES = 4_000_000
+#: Training values that condensing holds in one task; a larger set is condensed by one job for each row that stays.
+CONDENSE_VALUES = 20_000_000
 #: Distances are compared after rounding, so that the order of additions cannot decide a tie.
 DIGITS = 9
 
@@ -110,6 +113,33 @@ def _neighbours_by_broadcast(test: DataFrame, ids: np.ndarray, x: np.ndarray, y:
     return test.select("_id", "_x").mapInArrow(run, f"_tid long, _id long, _y {kind}, _d double")
 
 
+def nearest(test: DataFrame, train: DataFrame, k: int, exclude_self: bool, labels: bool, strategy: str = "auto") -> DataFrame:
+    """(_tid, _id, _y, _d): for each row of test(_id, _x) the k nearest of train(_id, _x, _y), ties to the smaller id.
+
+    Training rows are sent to every task in blocks of BROADCAST_VALUES components, dealt by hash of the id; of each block k rows come
+    back for each test row, and the k nearest of all blocks are the result. Neither side is shuffled. strategy "join" compares
+    by a nested-loop join instead.
+    """
+    if strategy == "join":
+        return _neighbours_by_join(test, train, k, exclude_self)
+    values = train.agg(F.sum(F.size("_x"))).first()[0] or 0
+    blocks = max(1, -(-values // BROADCAST_VALUES))
+    parts = []
+    for b in range(blocks):
+        part = train if blocks == 1 else train.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
+        rows = part.orderBy("_id").collect()  # about BROADCAST_VALUES components
+        ids, x = np.array([r["_id"] for r in rows], np.int64), np.array([r["_x"] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, 1))
+        near = _neighbours_by_broadcast(test, ids, x, np.array([r["_y"] for r in rows], object if labels else float), k, exclude_self, "string" if labels else "double")
+        if blocks == 1:
+            return near
+        parts.append(durable(near))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    order = Window.partitionBy("_tid").orderBy("_d", "_id")
+    return out.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+
+
 @dataclass
 class FittedKNN(FittedModel):
     spec: DatasetSpec
@@ -122,14 +152,7 @@ class FittedKNN(FittedModel):
 
     def neighbours(self, df: DataFrame, k: int | None = None, exclude_self: bool = False) -> DataFrame:
         test = self.vectors.add(df).select(F.col(self.id_col).cast("long").alias("_id"), "_x")
-        n = self.train.agg(F.sum(F.size("_x"))).first()[0] or 0
-        if self.strategy == "join" or (self.strategy == "auto" and n > BROADCAST_VALUES):
-            return _neighbours_by_join(test, self.train, k or self.k, exclude_self)
-        rows = self.train.orderBy("_id").collect()  # at most BROADCAST_VALUES components
-        ids = np.array([r["_id"] for r in rows], np.int64)
-        x = np.array([r["_x"] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, 1))
-        kind = "string" if self.spec.task == "classification" else "double"
-        return _neighbours_by_broadcast(test, ids, x, np.array([r["_y"] for r in rows], object if kind == "string" else float), k or self.k, exclude_self, kind)
+        return nearest(test, self.train, k or self.k, exclude_self, self.spec.task == "classification", self.strategy)
 
     def vote(self, near: DataFrame) -> DataFrame:
         """(_tid, prediction): the most common class, smallest of ties; or the mean output weighted by exp(-gamma * distance)."""
@@ -169,7 +192,7 @@ class KNN(Model):
 class EditedKNN(KNN):
     """Keeps the training rows that their nearest other row mispredicts, again and again until none goes or none would stay.
 
-    ``early_stop`` also ends when the validation rows are predicted worse than in the round before.
+    ``early_stop`` also ends when the validation rows are predicted worse than in the round before, with that round's rows.
     """
 
     def __init__(self, k: int, validation: DataFrame | None = None, epsilon: float = 0.0, max_iterations: int = 5, early_stop: bool = False, strategy: str = "auto"):
@@ -177,41 +200,25 @@ class EditedKNN(KNN):
         self.validation, self.epsilon, self.max_iterations, self.early_stop = validation, epsilon, max_iterations, early_stop
 
     def fit(self, df, spec, id_col="row_id"):
-        from ..plans.durable import durable
-
         vectors, train = self.prepare(df, spec, id_col)
-        train, before, scores = durable(train), None, []
+        train, before, score = durable(train), None, None
         for _ in range(self.max_iterations):
             n = train.count()
             if n == before:
                 break
-            model = self.fitted(vectors, train, spec, id_col)
-            test = train.select(F.col("_id").alias("_id0"), "_x")
-            near = _nearest_other(model, test)
+            near = nearest(train.select("_id", "_x"), train, 1, True, spec.task == "classification", self.strategy).select("_tid", F.col("_y").alias("_ny"))
             wrong = (F.col("_y") != F.col("_ny")) if spec.task == "classification" else (F.abs(F.col("_y") - F.col("_ny")) > self.epsilon)
             kept = durable(train.join(near, F.col("_id") == F.col("_tid"), "left").filter(F.col("_ny").isNull() | wrong).select("_id", "_x", "_y"))
             if kept.isEmpty():
                 break
-            before, train = n, kept
             if self.early_stop and self.validation is not None:
-                scores.append(_loss(self.fitted(vectors, train, spec, id_col), self.validation, spec))
-                if len(scores) > 1 and scores[-1] > scores[-2]:
-                    break
+                last, score = score, _loss(self.fitted(vectors, kept, spec, id_col), self.validation, spec)
+                if last is not None and score > last:
+                    break  # the rows before this round stay
+            before, train = n, kept
         return self.fitted(vectors, train, spec, id_col)
 
 
-def _nearest_other(model: FittedKNN, test: DataFrame) -> DataFrame:
-    rows = test.select(F.col("_id0").alias("_id"), "_x")
-    n = model.train.agg(F.sum(F.size("_x"))).first()[0] or 0
-    if model.strategy == "join" or (model.strategy == "auto" and n > BROADCAST_VALUES):
-        near = _neighbours_by_join(rows, model.train, 1, True)
-    else:
-        got = model.train.orderBy("_id").collect()
-        kind = "string" if model.spec.task == "classification" else "double"
-        near = _neighbours_by_broadcast(rows, np.array([r["_id"] for r in got], np.int64), np.array([r["_x"] for r in got], float).reshape(len(got), -1), np.array([r["_y"] for r in got], object if kind == "string" else float), 1, True, kind)
-    return near.select("_tid", F.col("_y").alias("_ny"))
-
-
 def _loss(model: FittedModel, df: DataFrame, spec: DatasetSpec) -> float:
     t, p = F.col(f"`{spec.target}`"), F.col("prediction")
     miss = (t.cast("string") != p).cast("double") if spec.task == "classification" else (t - p) * (t - p)
@@ -221,8 +228,9 @@ def _loss(model: FittedModel, df: DataFrame, spec: DatasetSpec) -> float:
 class CondensedKNN(KNN):
     """Keeps a row if the rows kept so far mispredict it, in order of id, in passes until nothing is added.
 
-    Each decision depends on all before it, so the pass is one group in one task by definition of the method: for training sets
-    that fit a worker.
+    Each decision depends on all before it, so the pass is sequential by definition of the method. A training set of up to
+    CONDENSE_VALUES values is one group in one task; of a larger one, whose rows stay where they are, one job finds the next row that the kept
+    ones mispredict, so there are as many jobs as kept rows and the kept rows alone reach the driver.
     """
 
     def __init__(self, k: int, epsilon: float = 0.0, max_iterations: int = 5, strategy: str = "auto"):
@@ -230,9 +238,13 @@ class CondensedKNN(KNN):
         self.epsilon, self.max_iterations = epsilon, max_iterations
 
     def fit(self, df, spec, id_col="row_id"):
-        from ..plans.durable import durable
-
         vectors, train = self.prepare(df, spec, id_col)
+        train = durable(train)
+        small = (train.agg(F.sum(F.size("_x"))).first()[0] or 0) <= CONDENSE_VALUES
+        ids = self.in_one_task(train, spec) if small else self.by_jobs(train, spec)
+        return self.fitted(vectors, durable(train.join(ids, "_id", "left_semi")), spec, id_col)
+
+    def in_one_task(self, train: DataFrame, spec: DatasetSpec) -> DataFrame:
         epsilon, passes, labels = self.epsilon, self.max_iterations, spec.task == "classification"
 
         def condense(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -255,5 +267,26 @@ class CondensedKNN(KNN):
                     break
             return pdf.iloc[sorted(kept)][["_id"]]
 
-        ids = train.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(condense, "_id long")
-        return self.fitted(vectors, durable(train.join(ids, "_id", "left_semi")), spec, id_col)
+        return train.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(condense, "_id long")
+
+    def by_jobs(self, train: DataFrame, spec: DatasetSpec) -> DataFrame:
+        labels, spark = spec.task == "classification", train.sparkSession
+        first = train.orderBy("_id").limit(1).collect()
+        kept = {r["_id"]: r for r in first}
+        for _ in range(self.max_iterations):
+            before, at = len(kept), None
+            while kept:
+                rest = train if at is None else train.filter(F.col("_id") > at)
+                ids = np.array(sorted(kept), np.int64)
+                x, y = np.array([kept[i]["_x"] for i in ids], float).reshape(len(ids), -1), np.array([kept[i]["_y"] for i in ids], object if labels else float)
+                near = _neighbours_by_broadcast(rest, ids, x, y, 1, False, "string" if labels else "double").select("_tid", F.col("_y").alias("_ny"), F.col("_id").alias("_nid"))
+                always = not labels and (len(ids) < 2 or not np.std(y))
+                wrong = F.lit(True) if always else (F.col("_y") != F.col("_ny")) if labels else ~F.coalesce(F.abs(F.col("_y") - F.col("_ny")) <= self.epsilon, F.lit(False))
+                got = rest.join(near, F.col("_id") == F.col("_tid")).filter(wrong & ~F.col("_id").isin([int(i) for i in ids])).select("_id", "_x", "_y").orderBy("_id").limit(1).collect()
+                if not got:
+                    break
+                at = got[0]["_id"]
+                kept[at] = got[0]
+            if len(kept) == before:
+                break
+        return spark.createDataFrame([(int(i),) for i in kept], "_id long")
