@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import floordiv, nan_div
+from ..plans.durable import durable
 from ..sources import DatasetSpec
 
 
@@ -72,40 +73,58 @@ def discretize(df: DataFrame, col: str, strategy: str, n_bins: int) -> DataFrame
 
 def running_total(df: DataFrame, order: str, n: str, out: str, pieces: int = 64) -> DataFrame:
     """Running sum of ``n`` by ``order`` (distinct), through sums of value ranges: a range's own running sum, plus the ranges before."""
-    marks = df.agg(F.percentile_approx(F.col(order).cast("double"), F.lit([i / pieces for i in range(1, pieces)]), 10000).alias("_marks")) if dict(df.dtypes)[order] not in ("string", "date", "timestamp") else None
-    if marks is None:
-        return df.withColumn(out, F.sum(n).over(Window.orderBy(order)))
-    part = df.crossJoin(F.broadcast(marks)).withColumn("_part", F.size(F.filter(F.col("_marks"), lambda m: m < F.col(order).cast("double")))).drop("_marks")
+    kind, x = dict(df.dtypes)[order], F.col(order)
+    if kind == "string":  # ranges come from a sample of the sort; they are written, so that a rerun cannot cut them elsewhere
+        part = durable(df.repartitionByRange(pieces, x).withColumn("_part", F.spark_partition_id()))
+    else:
+        number = (F.unix_date(x) if kind == "date" else x).cast("double") if not kind.startswith("timestamp_ntz") else F.unix_micros(x.cast("timestamp")).cast("double")
+        marks = df.agg(F.percentile_approx(number, F.lit([i / pieces for i in range(1, pieces)]), 10000).alias("_marks"))
+        part = df.crossJoin(F.broadcast(marks)).withColumn("_part", F.size(F.filter(F.col("_marks"), lambda m: m < number))).drop("_marks")
     sums = part.groupBy("_part").agg(F.sum(n).alias("_s")).withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
     return part.join(F.broadcast(sums), "_part").withColumn(out, F.sum(n).over(Window.partitionBy("_part").orderBy(order)) + F.col("_before")).drop("_part", "_before")
 
 
-def impute(df: DataFrame, spec: DatasetSpec) -> DataFrame:
+def impute(df: DataFrame, spec: DatasetSpec, id_col: str | None = "row_id") -> DataFrame:
     """Replace the missing-value symbol: by the mode (smallest of ties) in nominal and ordinal columns, else by the mean.
 
-    The target stays as it is, and so does a column without any value. Numeric columns become doubles.
+    The target and ``id_col`` stay as they are, and so does a column without any value. Numeric columns become doubles; a
+    cell there that is neither a number, null nor the symbol is an error when the result is read, as it has no mean to count in.
     """
     symbol = spec.missing_value_symbol
     if symbol is None:
         return df
-    cols = [c for c in df.columns if c != spec.target]
+    cols = [c for c in df.columns if c not in (spec.target, id_col)]
     number = [c for c in cols if spec.is_numeric(c)]
     known = lambda c: F.when(_c(c).cast("string") != symbol, _c(c).cast("string"))
     fill = [(F.avg(known(c).try_cast("double")) if c in number else F.mode(known(c), True)).alias(f"_f{i}") for i, c in enumerate(cols)]
     row = df.agg(*fill)
     out = []
     for c in df.columns:
-        if c == spec.target:
+        if c not in cols:
             out.append(_c(c))
+            continue
+        x, f = _c(c).cast("string"), F.col(f"_f{cols.index(c)}")
+        if c in number:
+            value = x.try_cast("double")
+            bad = F.raise_error(F.concat(F.lit(f"{c} holds a cell that is no number: "), x)).cast("double")
+            out.append(F.when(x == symbol, f).when(x.isNotNull() & value.isNull(), bad).otherwise(value).alias(c))
         else:
-            x, f = _c(c).cast("string"), F.col(f"_f{cols.index(c)}")
-            out.append((F.when(x == symbol, f).otherwise(x.try_cast("double")) if c in number else F.when(x == symbol, F.coalesce(f, x)).otherwise(x)).alias(c))
+            out.append(F.when(x == symbol, F.coalesce(f, x)).otherwise(x).alias(c))
     return df.crossJoin(F.broadcast(row)).select(*out)
 
 
 def categories(df: DataFrame, *cols: str, most: int = 10_000) -> dict[str, list]:
-    """The sorted values of each column, from one aggregate; more than ``most`` are refused, as each would become a column."""
-    row = df.agg(*[F.slice(F.array_sort(F.collect_set(_c(c))), 1, most + 1).alias(f"_{i}") for i, c in enumerate(cols)]).first() if cols else ()
+    """The sorted values of each column; more than ``most`` are refused, as each would become a column.
+
+    A sketch of the number of values comes first, so that no buffer gathers many more than may be kept.
+    """
+    if not cols:
+        return {}
+    counts = df.agg(*[F.approx_count_distinct(_c(c), 0.02).alias(f"_{i}") for i, c in enumerate(cols)]).first()
+    for c, n in zip(cols, counts, strict=True):
+        if n > most * 1.2:
+            raise ValueError(f"{c} has more than {most} values")
+    row = df.agg(*[F.array_sort(F.collect_set(_c(c))).alias(f"_{i}") for i, c in enumerate(cols)]).first()
     for c, v in zip(cols, row, strict=True):
         if len(v) > most:
             raise ValueError(f"{c} has more than {most} values")
@@ -135,10 +154,10 @@ def encode_categorical(df: DataFrame, spec: DatasetSpec) -> DataFrame:
     return one_hot_encode(df, *spec.nominal_cols) if spec.nominal_cols else df
 
 
-def preprocess(df: DataFrame, spec: DatasetSpec, impute_missing: bool = True, one_hot: bool = True, ordinal: bool = True) -> tuple[DataFrame, DatasetSpec]:
+def preprocess(df: DataFrame, spec: DatasetSpec, impute_missing: bool = True, one_hot: bool = True, ordinal: bool = True, id_col: str | None = "row_id") -> tuple[DataFrame, DatasetSpec]:
     """Impute, one-hot encode and number ordinals, each if asked for. Returns the table and the spec that now holds."""
     if impute_missing:
-        df, spec = impute(df, spec), spec.with_changes(missing_value_symbol=None)
+        df, spec = impute(df, spec, id_col), spec.with_changes(missing_value_symbol=None)
     if one_hot and spec.nominal_cols:
         df, spec = one_hot_encode(df, *spec.nominal_cols), spec.with_changes(nominal_cols=())
     if ordinal:
