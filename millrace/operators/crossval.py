@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.durable import durable
 from ..sources import DatasetSpec
-from .metrics import compute_metrics
+from .metrics import metric_columns
 from .models import Model
 from .preprocess import min_max_scale_attributes, standardize_attributes
 
@@ -16,21 +17,27 @@ from .preprocess import min_max_scale_attributes, standardize_attributes
 def cross_validate(plans: dict[str, DataFrame], specs: dict[str, DatasetSpec], factory: Callable[[], Model], id_col: str = "row_id") -> DataFrame:
     """(dataset, metric, value): the mean over all reps and both directions.
 
-    Each plan has rep and side (see ``cv_plan``; validation rows are left out). Scaling is fitted on the training side only.
+    Each plan has rep and side (see ``cv_plan``; validation rows are left out) and is written once, as every repetition reads it.
+    Scaling is fitted on the training side only. The predictions of all repetitions and directions meet in one aggregate.
     """
     parts = []
     for name, plan in plans.items():
-        spec = specs[name]
-        reps = [r[0] for r in plan.filter("rep >= 0").select("rep").distinct().orderBy("rep").collect()]
-        for rep in reps:
-            for test_side in (0, 1):
-                own = plan.filter(F.col("rep") == rep)
-                train, test = (own.filter(F.col("side") == s).drop("rep", "side") for s in (1 - test_side, test_side))
+        spec, plan = specs[name], durable(plan.filter("rep >= 0"))
+        scored = []
+        for rep in [r[0] for r in plan.select("rep").distinct().orderBy("rep").collect()]:
+            own = plan.filter(F.col("rep") == rep)
+            for side in (0, 1):
+                train, test = (own.filter(F.col("side") == s).drop("rep", "side") for s in (1 - side, side))
                 train, test = standardize_attributes(train, test, spec)
                 train, test = min_max_scale_attributes(train, test, spec)
                 got = factory().fit(train, spec, id_col).transform(test)
-                row = compute_metrics(got, spec.target, "prediction", spec.metrics, spec.positive_class, spec.negative_class)
-                parts.append(row.select(F.lit(name).alias("dataset"), F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in spec.metrics])).alias("m")).select("dataset", "m.*"))
+                scored.append(got.select(F.lit(rep).alias("_rep"), F.lit(side).alias("_side"), F.col(f"`{spec.target}`").alias("_actual"), F.col("prediction").alias("_predicted")))
+        all_ = scored[0]
+        for s in scored[1:]:
+            all_ = all_.unionByName(s)
+        per = all_.groupBy("_rep", "_side").agg(*metric_columns(spec.metrics, F.col("_actual"), F.col("_predicted"), spec.positive_class, spec.negative_class))
+        each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("value")) for m in spec.metrics]))
+        parts.append(per.select(F.lit(name).alias("dataset"), each.alias("m")).select("dataset", "m.*"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -12,39 +12,41 @@ from ..functions import bucket, hash_key
 from ..sources import DatasetSpec
 
 
-def ranked(df: DataFrame, id_col: str, seed: int | str, by: str | None = None) -> DataFrame:
+def ranked(df: DataFrame, id_col: str, seed: int | str, by: str | None = None, rep: str | None = None) -> DataFrame:
     """Add _rank (from 0, in hash order) and _rows (the number of rows), per value of ``by`` if given.
 
-    Two levels: rows are counted by the hash's first three digits, and ranked within them; so a whole table or a class that holds a third of it
+    With ``rep``, a column, every repetition is ranked on its own, by the hash of seed, repetition and id. Two levels: rows are
+    counted by the hash's first three digits, and ranked within them; so a whole table or a class that holds a third of it
     is spread over 4096 groups.
     """
-    keys = [F.col(f"`{by}`").alias("_by")] if by else [F.lit(0).alias("_by")]
-    h = df.select("*", *keys, hash_key(seed, F.col(id_col)).alias("_hash")).withColumn("_slice", F.substring("_hash", 1, 3))
-    counts = h.groupBy("_by", "_slice").agg(F.count("*").alias("_n"))
-    per = Window.partitionBy("_by").orderBy("_slice")
-    base = counts.select(F.col("_by").alias("_b"), F.col("_slice").alias("_s"), (F.sum("_n").over(per) - F.col("_n")).alias("_before"), F.sum("_n").over(Window.partitionBy("_by")).alias("_rows"))
-    out = h.join(base, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_slice") == F.col("_s")))
-    rank = F.row_number().over(Window.partitionBy("_by", "_slice").orderBy("_hash", id_col)) - 1 + F.col("_before")
-    return out.withColumn("_rank", rank).drop("_by", "_b", "_s", "_hash", "_slice", "_before")
-
-
-def split(df: DataFrame, id_col: str, k: int | None = None, frac: list[float] | None = None, stratify_by: str | None = None, seed: int | str = 0, name: str = "partition") -> DataFrame:
+    keys = [F.col(f"`{by}`") if by else F.lit(0), F.col(f"`{rep}`") if rep else F.lit(0)]
+    ids = [*([F.col(f"`{rep}`")] if rep else []), F.col(id_col)]
+    h = df.select("*", keys[0].alias("_by"), keys[1].alias("_rep"), hash_key(seed, *ids).alias("_hash")).withColumn("_slice", F.substring("_hash", 1, 3))
+    counts = h.groupBy("_by", "_rep", "_slice").agg(F.count("*").alias("_n"))
+    per = Window.partitionBy("_by", "_rep")
+    base = counts.select(F.col("_by").alias("_b"), F.col("_rep").alias("_p"), F.col("_slice").alias("_s"), (F.sum("_n").over(per.orderBy("_slice")) - F.col("_n")).alias("_before"), F.sum("_n").over(per).alias("_rows"))
+    out = h.join(base, F.col("_by").eqNullSafe(F.col("_b")) & (F.col("_rep") == F.col("_p")) & (F.col("_slice") == F.col("_s")))
+    rank = F.row_number().over(Window.partitionBy("_by", "_rep", "_slice").orderBy("_hash", id_col)) - 1 + F.col("_before")
+    return out.withColumn("_rank", rank).drop("_by", "_rep", "_b", "_p", "_s", "_hash", "_slice", "_before")
+
+
+def split(df: DataFrame, id_col: str, k: int | None = None, frac: list[float] | None = None, stratify_by: str | None = None, seed: int | str = 0, name: str = "partition", rep: str | None = None) -> DataFrame:
     """Add the number of the partition that each row falls into, in ``name``.
 
     ``k`` equal parts or parts by ``frac``: just one of them. Part i gets int(rows * frac[i]) rows, what remains goes to
-    random parts; with ``stratify_by`` within every class. No copies are made: a partition is a filter.
+    random parts; with ``stratify_by`` within every class, with ``rep`` within every repetition. No copies are made: a partition is a filter.
     """
     if (k is None) == (frac is None):
         raise ValueError("give either k or frac")
     frac = frac or [1 / k] * k
-    r = ranked(df, id_col, seed, stratify_by)
+    r = ranked(df, id_col, seed, stratify_by, rep)
     upto = [F.floor(F.col("_rows") * F.lit(f)) for f in frac]
-    part, total = F.lit(None).cast("long"), F.lit(0)
+    total = F.lit(0)
     edges = []
     for q in upto:
         total = total + q
         edges.append(total)
-    part = bucket(f"{seed}:surplus", len(frac), F.col(id_col))
+    part = bucket(f"{seed}", len(frac), *([F.col(f"`{rep}`")] if rep else []), F.lit("surplus"), F.col(id_col))
     for i in reversed(range(len(frac))):
         part = F.when(F.col("_rank") < edges[i], F.lit(i).cast("long")).otherwise(part)
     return r.withColumn(name, part.cast("int")).drop("_rank", "_rows")
@@ -54,24 +56,20 @@ def cv_plan(df: DataFrame, spec: DatasetSpec, strategy: str, k: int, id_col: str
     """Add rep and side for cross-validation, stratified in classification.
 
     A fifth of the rows is for validation (rep -1, side 0). The others: strategy "k" puts them into sides 0 to k - 1 of rep 0;
-    "kx2" repeats them for each rep 0 to k - 1 with sides 0 and 1.
+    "kx2" repeats them for each rep 0 to k - 1 with sides 0 and 1. All repetitions are ranked in one pass.
     """
     by = "class" if spec.task == "classification" else None
     if strategy not in ("k", "kx2"):
         raise ValueError(f"unknown strategy {strategy!r}")
-    parts = []
+    reps, sides = (1, k) if strategy == "k" else (k, 2)
     if include_validation:
         df = split(df, id_col, frac=[0.8, 0.2], stratify_by=by, seed=f"{seed}:validation", name="_val")
-        parts.append(df.filter("_val = 1").drop("_val").withColumns({"rep": F.lit(-1), "side": F.lit(0)}))
-        df = df.filter("_val = 0").drop("_val")
-    if strategy == "k":
-        parts.append(split(df.withColumn("rep", F.lit(0)), id_col, k=k, stratify_by=by, seed=f"{seed}:0", name="side"))
     else:
-        parts += [split(df.withColumn("rep", F.lit(r)), id_col, k=2, stratify_by=by, seed=f"{seed}:{r}", name="side") for r in range(k)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        df = df.withColumn("_val", F.lit(0))
+    # validation rows are repetition -1 of their own, so that one ranking serves all
+    df = df.withColumn("rep", F.explode(F.when(F.col("_val") == 1, F.array(F.lit(-1))).otherwise(F.sequence(F.lit(0), F.lit(reps - 1))))).drop("_val")
+    out = split(df, id_col, k=sides, stratify_by=by, seed=seed, name="side", rep="rep")
+    return out.withColumn("side", F.when(F.col("rep") < 0, F.lit(0)).otherwise(F.col("side")))
 
 
 def bootstrap(df: DataFrame, id_col: str, trees: int, fraction: float = 0.5, seed: int | str = 0) -> DataFrame:
