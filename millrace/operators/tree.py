@@ -16,6 +16,8 @@ from .split import bootstrap
 
 #: Impurities and gains are compared after rounding, so that the order of additions cannot decide a tie.
 DIGITS = 12
+#: Ranges that the values of an attribute are cut into, so that running sums of a node with very many values have no single task.
+RANGES = 64
 #: Nodes up to which a forest is scored by nested CASE expressions; a larger one is routed by joins.
 CASE_NODES = 500
 
@@ -61,6 +63,11 @@ class Grower:
             y = y.cast("double") - F.lit(self.centre)
         num, nom = F.array(*[F.col(f"`{c}`").cast("double") for c in self.numeric]), F.array(*[F.col(f"`{c}`").cast("string") for c in self.nominal]).cast("array<string>")
         self.rows = df.select(F.col(id_col).cast("long").alias("_id"), y.alias("_y"), num.cast("array<double>").alias("_num"), nom.alias("_nom"))
+        self.marks = {}
+        if self.numeric:
+            shares = F.lit([i / RANGES for i in range(1, RANGES)])
+            marks = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), shares, 10000).alias(f"_{i}") for i, c in enumerate(self.numeric)]).first()
+            self.marks = {self.cols.index(c): sorted(set(marks[i] or [])) for i, c in enumerate(self.numeric)}
 
     def sums(self) -> list[Column]:
         w = F.col("_w")
@@ -80,25 +87,44 @@ class Grower:
         at += [F.struct(F.lit(self.cols.index(c)).alias("a"), F.lit(None).cast("double").alias("v"), F.col("_nom")[i].alias("s")) for i, c in enumerate(self.nominal)]
         return state.select("_tree", "_node", "_y", "_w", F.explode(F.array(*at)).alias("_a")).select("_tree", "_node", "_y", "_w", "_a.a", "_a.v", "_a.s")
 
+    def ranges(self) -> Column:
+        """The range that a value falls into, in the order of values; nulls come last. Nominal values are spread by hash."""
+        spread = F.pmod(F.xxhash64("s"), F.lit(RANGES)).cast("int")
+        out = spread
+        for a, marks in self.marks.items():
+            among = F.size(F.filter(F.array(*[F.lit(m) for m in marks]), lambda m: m < F.col("v"))) if marks else F.lit(0)
+            out = F.when(F.col("a") == a, F.when(F.col("v").isNull(), F.lit(RANGES)).otherwise(among)).otherwise(out)
+        return out
+
     def candidates(self, state: DataFrame) -> DataFrame:
-        """(_tree, _node, a, gain, threshold, values): the best split of every attribute in every open node."""
-        hist = self.long(state).groupBy("_tree", "_node", "a", "v", "s").agg(*self.sums())
+        """(_tree, _node, a, gain, threshold, values, fit, ...): the best split of every attribute in every open node, and the node's sums.
+
+        fit: whether the attribute is a candidate; see ``constant_gain``.
+
+        Running sums over values go in two levels: within a range of values, and over the ranges' own sums.
+        """
+        at, total = ["_tree", "_node", "a"], ["_n", *self.parts]
+        hist = self.long(state).groupBy(*at, "v", "s").agg(*self.sums()).withColumn("_range", self.ranges())
         numeric = F.col("a").isin(*[self.cols.index(c) for c in self.numeric]) if self.numeric else F.lit(False)
-        node = Window.partitionBy("_tree", "_node", "a")
-        total = ["_n", *self.parts]
-        up = node.orderBy(F.col("v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        h = hist.select("*", *[F.sum(c).over(node).alias(f"t{c}") for c in total], *[F.sum(c).over(up).alias(f"u{c}") for c in total], F.lead("v").over(node.orderBy(F.col("v").asc_nulls_last())).alias("_next"))
+        per = hist.groupBy(*[F.col(c).alias(f"b{c}") for c in at], F.col("_range").alias("b_range")).agg(*[F.sum(c).alias(f"s{c}") for c in total], F.min("v").alias("_low"))
+        node = Window.partitionBy(*[f"b{c}" for c in at])
+        before = node.orderBy("b_range").rowsBetween(Window.unboundedPreceding, -1)
+        per = per.select(*[f"b{c}" for c in at], "b_range", *[F.sum(f"s{c}").over(node).alias(f"t{c}") for c in total], *[F.coalesce(F.sum(f"s{c}").over(before), F.lit(0.0)).alias(f"e{c}") for c in total], F.lead("_low").over(node.orderBy("b_range")).alias("_beyond"))
+        same = [F.col(c) == F.col(f"b{c}") for c in (*at, "_range")]
+        within = Window.partitionBy(*at, "_range").orderBy(F.col("v").asc_nulls_last())
+        up = within.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        h = hist.join(per, same).select("*", *[(F.sum(c).over(up) + F.col(f"e{c}")).alias(f"u{c}") for c in total], F.coalesce(F.lead("v").over(within), "_beyond").alias("_next"))
         h = h.select("*", *[(F.col(f"t{c}") - F.col(f"u{c}")).alias(f"r{c}") for c in total], numeric.alias("_numeric"))
         whole, own = self.impurity("t_n", [f"t{p}" for p in self.parts]), self.impurity("_n", self.parts)
         left, right = self.impurity("u_n", [f"u{p}" for p in self.parts]), self.impurity("r_n", [f"r{p}" for p in self.parts])
         two = F.round((F.col("u_n") * left + F.col("r_n") * right) / F.col("t_n"), DIGITS)
         mid = (F.col("v") + F.col("_next")) / 2
-        best = h.groupBy("_tree", "_node", "a", "_numeric").agg(
-            F.max(whole).alias("whole"), F.max("t_n").alias("n"), F.sum(F.col("_n") / F.col("t_n") * own).alias("inside"),
-            F.min(F.when(F.col("_next").isNotNull(), F.struct(two.alias("imp"), mid.alias("threshold")))).alias("split"), F.count_if(F.col("v").isNotNull() | F.col("s").isNotNull()).alias("values"))
+        best = h.groupBy(*at, "_numeric").agg(
+            F.max(whole).alias("whole"), *[F.max(f"t{c}").alias(c) for c in total], F.sum(F.col("_n") / F.col("t_n") * own).alias("inside"),
+            F.min(F.when(F.col("v").isNotNull() & F.col("_next").isNotNull(), F.struct(two.alias("imp"), mid.alias("threshold")))).alias("split"), F.count_if(F.col("v").isNotNull() | ~F.col("_numeric")).alias("values"))
         gain = F.when(~F.col("_numeric"), F.col("whole") - F.col("inside")).otherwise(F.col("whole") - F.coalesce(F.col("split.imp"), F.lit(0.0)))
-        out = best.select("_tree", "_node", "a", "_numeric", "whole", "n", F.round(gain, DIGITS - 2).alias("gain"), "split.threshold", "values")
-        return out if self.constant_gain == "full" else out.filter((F.col("values") > 1) | ~F.col("_numeric"))
+        fit = F.lit(True) if self.constant_gain == "full" else (F.col("values") > 1) | ~F.col("_numeric")
+        return best.select(*at, "_numeric", "whole", *total, F.round(gain, DIGITS - 2).alias("gain"), "split.threshold", "values", fit.alias("fit"))
 
     def grow(self, draws: DataFrame | None, min_rows: float, max_depth: int | None) -> list[list[Node]]:
         """Trees as lists of nodes. The driver holds nodes, never rows; lineage is cut at each level."""
@@ -108,22 +134,20 @@ class Grower:
         parents: dict[tuple[int, int], tuple] = {}
         depth = 0
         while True:
-            stats = {(r["_tree"], r["_node"]): r for r in state.groupBy("_tree", "_node").agg(*self.sums()).collect()}
-            if not stats:
-                break
-            level = {}
-            for (t, i), r in sorted(stats.items()):
-                node = level[t, i] = Node(t, i, parents.get((t, i), (None,))[0], depth, r["_n"], self.guess(r))
-                trees[t].append(node)
-            if max_depth is not None and depth >= max_depth:
-                break
-            first = Window.partitionBy("_tree", "_node").orderBy(F.col("gain").desc(), "a")
-            chosen = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1").collect()
+            last = not self.cols or (max_depth is not None and depth >= max_depth)
+            if last:
+                rows = state.groupBy("_tree", "_node").agg(*self.sums()).collect()
+            else:
+                first = Window.partitionBy("_tree", "_node").orderBy(F.col("fit").desc(), F.col("gain").desc(), "a")
+                rows = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1").collect()
             routes = []
-            for r in chosen:
-                node = level[r["_tree"], r["_node"]]
-                small = min_rows and r["n"] < min_rows
-                if r["whole"] <= self.epsilon or small or (r["_numeric"] and r["threshold"] is None) or (not r["_numeric"] and (r["values"] <= 1 and r["gain"] <= 0)):
+            for r in sorted(rows, key=lambda r: (r["_tree"], r["_node"])):
+                t, i = r["_tree"], r["_node"]
+                node = Node(t, i, parents.get((t, i), (None,))[0], depth, r["_n"], self.guess(r))
+                trees[t].append(node)
+                if last or not r["fit"] or r["whole"] <= self.epsilon or (min_rows and r["_n"] < min_rows):
+                    continue
+                if (r["_numeric"] and r["threshold"] is None) or (not r["_numeric"] and r["values"] <= 1 and r["gain"] <= 0):
                     continue
                 node.attribute, node.threshold = self.cols[r["a"]], r["threshold"]
                 routes.append(node)
@@ -152,16 +176,21 @@ class Grower:
                 x.children[key] = used[x.tree]
                 parents[x.tree, used[x.tree]] = (x.id,)
                 used[x.tree] += 1
-        rows = [(x.tree, x.id, self.numeric.index(x.attribute) if x.attribute in self.numeric else -1, self.nominal.index(x.attribute) if x.attribute in self.nominal else -1, x.threshold, {k: v for k, v in x.children.items() if k is not None}) for x in routes]
-        steps = spark.createDataFrame(rows, "_tree int, _node int, _i int, _j int, _thr double, _next map<string,int>")
-        x = F.get(F.col("_num"), F.col("_i"))
-        to = F.when(F.col("_i") >= 0, F.element_at("_next", F.when(x <= F.col("_thr"), "left").otherwise("right"))).otherwise(F.element_at("_next", F.get(F.col("_nom"), F.col("_j"))))
-        return durable(state.join(steps, ["_tree", "_node"]).withColumn("_to", to).filter("_to is not null").select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
+        rows = [(x.tree, x.id, self.numeric.index(x.attribute) if x.attribute in self.numeric else -1, self.nominal.index(x.attribute) if x.attribute in self.nominal else -1, x.threshold, {k: v for k, v in x.children.items() if k is not None}, x.children.get(None)) for x in routes]
+        steps = spark.createDataFrame(rows, "_tree int, _node int, _i int, _j int, _thr double, _next map<string,int>, _none int")
+        x, s = F.get(F.col("_num"), F.col("_i")), F.get(F.col("_nom"), F.col("_j"))
+        numeric = F.element_at("_next", F.when(x <= F.col("_thr"), "left").otherwise("right"))
+        to = F.when(F.col("_i") >= 0, numeric).otherwise(F.when(s.isNull(), F.col("_none")).otherwise(F.element_at("_next", s)))
+        return durable(state.join(steps, ["_tree", "_node"]).withColumn("_to", to).select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
+
+
+def _is(x: Column, value: str | None) -> Column:
+    return x.isNull() if value is None else x.cast("string") == F.lit(value)
 
 
 @dataclass
 class FittedTrees(FittedModel):
-    """Trees as node tables. A nominal value that a node has not seen gets that node's own prediction."""
+    """Trees as node tables. A nominal value that a node has not seen gets that node's own prediction; null is a value like others."""
 
     spec: DatasetSpec
     trees: list[list[Node]]
@@ -177,8 +206,8 @@ class FittedTrees(FittedModel):
             if n.attribute in self.numeric:
                 return F.when(x.cast("double") <= F.lit(n.threshold), build(by[n.children["left"]])).otherwise(build(by[n.children["right"]]))
             out = F.lit(n.prediction)
-            for v, c in reversed([(v, c) for v, c in n.children.items() if v is not None]):
-                out = F.when(x.cast("string") == F.lit(v), build(by[c])).otherwise(out)
+            for v, c in reversed(n.children.items()):
+                out = F.when(_is(x, v), build(by[c])).otherwise(out)
             return out
 
         return build(by[0])
@@ -218,7 +247,7 @@ class FittedTrees(FittedModel):
                     else:
                         for n in own:
                             for v, child in n.children.items():
-                                step = F.when((at == n.id) & (x.cast("string") == F.lit(v)), F.lit(child)).otherwise(step)
+                                step = F.when((at == n.id) & _is(x, v), F.lit(child)).otherwise(step)
                 name = f"_at{t}_{level}"
                 out = out.withColumn(name, step)
                 at = F.col(name)
@@ -257,12 +286,6 @@ class FittedTrees(FittedModel):
         return FittedTrees(self.spec, [sorted(out, key=lambda n: n.id)], self.numeric)
 
 
-def _loss(model: FittedModel, df: DataFrame, spec: DatasetSpec) -> float:
-    t, p = F.col(f"`{spec.target}`"), F.col("prediction")
-    miss = (t.cast("string") != p).cast("double") if spec.task == "classification" else (t - p) * (t - p)
-    return model.transform(df).agg(F.avg(miss)).first()[0] or 0.0
-
-
 class DecisionTree(Model):
     """pruning: None, "pre-prune" (nodes under ``leaf_size`` of the training rows become leaves, as always in regression) or
     "post-prune" (``post_prune`` "root": the whole tree or one leaf; "full": every subtree, bottom up; by ``validation``).
@@ -283,14 +306,32 @@ class DecisionTree(Model):
         return model
 
     def prune(self, model: FittedTrees, spec: DatasetSpec) -> FittedTrees:
-        """A node becomes a leaf if the validation rows are then predicted no worse."""
-        inner = [n.id for n in sorted(model.trees[0], key=lambda n: -n.depth) if n.children] if self.post_prune == "full" else [0]
-        loss = _loss(model, self.validation, spec)
-        for i in inner:
-            tried = model.collapsed({i})
-            if (now := _loss(tried, self.validation, spec)) <= loss:
-                model, loss = tried, now
-        return model
+        """A node becomes a leaf if the validation rows are then predicted no worse, nodes bottom up.
+
+        One job: every validation row adds the loss that each node of its path would make as a leaf to that node.
+        """
+        tree = model.trees[0]
+        by = {n.id: n for n in tree}
+        path = {n.id: [n.id] for n in tree}
+        for n in sorted(tree, key=lambda n: n.depth):
+            if n.parent is not None:
+                path[n.id] = [*path[n.parent], n.id]
+        numbered = FittedTrees(spec.with_changes(task="regression"), [[Node(n.tree, n.id, n.parent, n.depth, n.n, float(n.id), n.attribute, n.threshold, n.children) for n in tree]], model.numeric)
+        last = numbered.transform(self.validation.withColumn("_actual", F.col(f"`{spec.target}`"))).select("_actual", F.col("prediction").cast("int").alias("_last"))
+        paths = last.sparkSession.createDataFrame([(i, [(j, str(by[j].prediction)) for j in p]) for i, p in path.items()], "_at int, _path array<struct<node:int,says:string>>")
+        each = last.join(F.broadcast(paths), F.col("_last") == F.col("_at")).select("_actual", "_last", F.explode("_path").alias("_p"))
+        t, says = F.col("_actual"), F.col("_p.says")
+        miss = (t.cast("string") != says).cast("double") if spec.task == "classification" else (t - says.cast("double")) * (t - says.cast("double"))
+        ends = F.sum(F.when(F.col("_p.node") == F.col("_last"), miss).otherwise(0.0))  # rows that stop here, as no child takes them
+        got = {r["node"]: r for r in each.groupBy(F.col("_p.node").alias("node")).agg(F.sum(miss).alias("leaf"), ends.alias("ends")).collect()}
+        loss, leaves = {}, set()
+        for n in sorted(tree, key=lambda n: -n.depth):
+            leaf, stay = (got[n.id]["leaf"] or 0.0, got[n.id]["ends"] or 0.0) if n.id in got else (0.0, 0.0)
+            loss[n.id] = stay + sum(loss[c] for c in n.children.values())
+            if n.children and (self.post_prune == "full" or n.id == 0) and leaf <= loss[n.id] * (1 + 1e-12):
+                leaves.add(n.id)
+                loss[n.id] = leaf
+        return model.collapsed(leaves) if leaves else model
 
 
 class RandomForest(Model):
