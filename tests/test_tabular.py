@@ -1,3 +1,4 @@
+import datetime
 import math
 
 import numpy as np
@@ -39,6 +40,9 @@ def test_discretisation(spark):
     assert got(preprocess.discretize(df, "x", "equal-frequency", 3), "x") == [1, 1, 1, 2, 2, 2, 3, 3, 3]
     assert got(preprocess.discretize(df, "x", "quantile", 3), "x") == [1, 1, 1, 2, 2, 2, 3, 3, 3]
     assert got(preprocess.discretize(column(spark, [5.0, 5.0]), "x", "equal-width", 3), "x") == [1, 1]
+    for kind, made in (("string", lambda i: f"{i:03d}"), ("date", lambda i: datetime.date(2000, 1, 1) + datetime.timedelta(i)), ("timestamp", lambda i: datetime.datetime(2000, 1, 1) + datetime.timedelta(hours=i))):
+        values = [made(i * 37 % 100) for i in range(100)]
+        assert got(preprocess.discretize(column(spark, values, kind), "x", "quantile", 10), "x") == [i * 37 % 100 // 10 + 1 for i in range(100)]
     with pytest.raises(ValueError):
         preprocess.discretize(df, "x", "other", 3)
 
@@ -69,6 +73,16 @@ def test_imputation_and_pipeline(spark):
     spec = DatasetSpec("d", "regression", nominal_cols=("a",), ordinal_cols={"b": ("first", "second", "third")}, missing_value_symbol="?")
     out = preprocess.impute(df, spec)
     assert got(out, "a") == ["blue", "blue", "blue", "blue", "red", "green"] and got(out, "b") == ["first", "second", "second", "second", "second", "third"] and got(out, "c") == [1, 2, 3.25, 4, 3.25, 6]
+    assert dict(out.dtypes)["row_id"] == "bigint" and got(preprocess.impute(df.withColumn("row_id", F.col("row_id") + F.lit(2**53 + 1)), spec), "row_id") == [2**53 + 1 + i for i in range(6)]
+    with pytest.raises(Exception, match="no number"):
+        preprocess.impute(spark.createDataFrame([(0, "1"), (1, "abc")], "row_id long, c string"), DatasetSpec("d", "regression", missing_value_symbol="?")).collect()
+    assert got(preprocess.impute(spark.createDataFrame([(0, "1"), (1, None), (2, "?")], "row_id long, c string"), DatasetSpec("d", "regression", missing_value_symbol="?")), "c") == [1, None, 1]
+    both, specs = preprocess.preprocess_all({"d": df, "e": df}, {"d": spec, "e": spec}, one_hot=False)
+    assert got(both["e"], "a") == ["blue", "blue", "blue", "blue", "red", "green"] and specs["d"].nominal_cols == ("a",) and not specs["d"].ordinal_cols
+    encoded = preprocess.encode_categorical(preprocess.impute(df, spec), spec)
+    assert set(encoded.columns) == {"row_id", "b", "c", "a_green", "a_red"} and got(encoded, "a_red") == [0, 0, 0, 0, 1, 0]
+    with pytest.raises(ValueError, match="more than 3"):
+        preprocess.categories(spark.range(1000).select(F.col("id").cast("string").alias("x")), "x", most=3)
     done, after = preprocess.preprocess(df, spec)
     assert set(done.columns) == {"row_id", "b", "c", "a_green", "a_red"} and got(done, "b") == [1, 2, 2, 2, 2, 3] and not after.nominal_cols and spec.nominal_cols
 
@@ -102,6 +116,41 @@ def test_knn(spark, strategy):
     assert np.allclose(out, [4.7389, 1.8983, 3.7597, 6.2985, 6.9056, 8.0952], atol=1e-3)
 
 
+def test_knn_in_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    data = [(i, float(a), float(b), "xyz"[i % 3]) for i, (a, b) in enumerate(rng.integers(0, 9, (120, 2)))]
+    whole = got(knn.KNN(4).fit(points(spark, data), CLASS).transform(points(spark, data).drop("class")))
+    monkeypatch.setattr(knn, "BROADCAST_VALUES", 50)
+    assert got(knn.KNN(4).fit(points(spark, data), CLASS).transform(points(spark, data).drop("class"))) == whole
+
+
+def test_edited_knn_stops_with_the_rows_before(spark):
+    data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
+    val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
+    rounds = [knn.EditedKNN(1, val, max_iterations=n).fit(points(spark, data), CLASS) for n in range(4)]
+    losses = [knn._loss(m, val, CLASS) for m in rounds]
+    stop = next((i for i in range(2, 4) if losses[i] > losses[i - 1]), 4)
+    kept = knn.EditedKNN(1, val, max_iterations=3, early_stop=True).fit(points(spark, data), CLASS)
+    assert kept.train.count() == rounds[min(stop - 1, 3)].train.count()
+    scores = iter([0.2, 0.5, 0.1])
+    original, knn._loss = knn._loss, lambda *a: next(scores)
+    try:
+        kept = knn.EditedKNN(1, val, max_iterations=3, early_stop=True).fit(points(spark, [(i, float(i % 7), float(i * i % 11), "ab"[i * i % 3 % 2]) for i in range(60)]), CLASS)
+    finally:
+        knn._loss = original
+    once = knn.EditedKNN(1, max_iterations=1).fit(points(spark, [(i, float(i % 7), float(i * i % 11), "ab"[i * i % 3 % 2]) for i in range(60)]), CLASS)
+    assert kept.train.count() == once.train.count()
+
+
+@pytest.mark.parametrize("output", [False, True])
+def test_condensing_by_jobs_keeps_the_same_rows(spark, monkeypatch, output):
+    data = [(i, float(i % 7), float(i * i % 11), "ab"[i % 7 > 3]) for i in range(30)]
+    spec, model = (REG, knn.CondensedKNN(3, 6.0)) if output else (CLASS, knn.CondensedKNN(3))
+    want = sorted(r["_id"] for r in model.fit(points(spark, data, output), spec).train.collect())
+    monkeypatch.setattr(knn, "CONDENSE_VALUES", 10)
+    assert sorted(r["_id"] for r in model.fit(points(spark, data, output), spec).train.collect()) == want
+
+
 def test_edited_and_condensed_knn(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     kept = knn.EditedKNN(3).fit(points(spark, data), CLASS).train
@@ -139,6 +188,54 @@ def test_nominal_tree_and_unseen_values(spark):
     assert got(fitted.transform(spark.createDataFrame([(0, "b"), (1, "zzz"), (2, None)], "row_id long, n string"))) == ["y", "x", "x"]
 
 
+def test_a_null_nominal_value_is_a_branch_of_its_own(spark):
+    df = spark.createDataFrame([(0, "a", "x"), (1, "a", "x"), (2, "a", "x"), (3, None, "y"), (4, None, "y"), (5, "c", "x")], "row_id long, n string, class string")
+    spec = CLASS.with_changes(nominal_cols=("n",))
+    fitted = tree.DecisionTree().fit(df, spec)
+    ask = spark.createDataFrame([(0, "a"), (1, None), (2, "zzz")], "row_id long, n string")
+    assert got(fitted.transform(ask)) == ["x", "y", "x"] and [r["_votes"][0] for r in fitted.route(ask).orderBy("row_id").collect()] == ["x", "y", "x"]
+    assert "= None: y" in fitted.explain() and len(fitted.collapsed({0}).trees[0]) == 1
+    assert fitted.nodes(spark).agg(F.sum(F.when(F.col("depth") == 1, F.col("n")))).first()[0] == 6
+    pruned = tree.DecisionTree("post-prune", validation=df, post_prune="full").fit(df, spec)
+    assert got(pruned.transform(ask)) == ["x", "y", "x"]
+
+
+def plain_pruned(model, rows, target, numeric):
+    """Prune one node after another, each time by the loss over all rows."""
+
+    def loss(m):
+        by = {n.id: n for n in m.trees[0]}
+        total = 0
+        for r in rows:
+            n = by[0]
+            while n.children:
+                n = by[n.children["left" if r[n.attribute] <= n.threshold else "right"]]
+            total += r[target] != n.prediction
+        return total
+
+    for n in sorted(model.trees[0], key=lambda n: -n.depth):
+        if n.children and loss(model.collapsed({n.id})) <= loss(model):
+            model = model.collapsed({n.id})
+    return model
+
+
+def test_pruning_in_one_job_equals_one_node_after_another(spark):
+    rng = np.random.default_rng(8)
+    data = [(i, float(a), float(b), "xy"[int(a + b + rng.integers(0, 9) > 12)]) for i, (a, b) in enumerate(rng.integers(0, 10, (150, 2)))]
+    train, val = points(spark, data[:100]), points(spark, data[100:])
+    whole = tree.DecisionTree(constant_gain="exclude").fit(train, CLASS)
+    want = plain_pruned(whole, [r.asDict() for r in val.collect()], "class", whole.numeric)
+    got_ = tree.DecisionTree("post-prune", validation=val, post_prune="full", constant_gain="exclude").fit(train, CLASS)
+    assert [(n.id, bool(n.children)) for n in got_.trees[0]] == [(n.id, bool(n.children)) for n in want.trees[0]] and 1 < len(want.trees[0]) < len(whole.trees[0])
+    root = tree.DecisionTree("post-prune", validation=val, constant_gain="exclude").fit(train, CLASS)
+    assert len(root.trees[0]) in (1, len(whole.trees[0]))
+
+
+def test_regression_forest(spark):
+    out = got(tree.RandomForest(8, 1.0, leaf_size=0.34, seed=1).fit(points(spark, output=True), REG).transform(test6(spark)))
+    assert all(1 <= v <= 9 for v in out) and out[0] > out[1] and out[5] > out[2]
+
+
 def test_forest(spark):
     out = got(tree.RandomForest(10, 1.0, seed=1).fit(points(spark), CLASS).transform(test6(spark)))
     assert sum(a == b for a, b in zip(out, COLOURS, strict=True)) >= 5
@@ -184,10 +281,32 @@ def test_network_gradients_and_training(spark):
     for a, b in zip(neural.partial_gradients(df, net), grads, strict=True):
         assert all(np.allclose(p, q) for p, q in zip(a, b, strict=True))
     data = [(i, float(s), float(h), c) for i, (s, h, c) in enumerate([(1, 2, "red"), (2, 3, "red"), (2, 7, "green"), (3, 6, "green"), (6, 3, "blue"), (6, 5, "blue")])]
+    with pytest.raises(ValueError, match="first layer"):
+        neural.NeuralNetwork([neural.Dense(3, "softmax")])
     fitted = neural.NeuralNetwork([neural.Input(2), neural.Dense(30, "relu"), neural.Dropout(0.1), neural.Dense(3, "softmax")], 6, 400, neural.Adam(0.01, carry_moments=True), exact_gradient=True).fit(points(spark, data), CLASS)
     assert got(fitted.transform(points(spark, data))) == ["red", "red", "green", "green", "blue", "blue"]
     with pytest.raises(ValueError):
-        neural.NeuralNetwork([neural.Dense(1)], 100, 1).fit(points(spark, data), CLASS)
+        neural.NeuralNetwork([neural.Input(2), neural.Dense(1)], 100, 1).fit(points(spark, data), CLASS)
+
+
+@pytest.mark.parametrize("dropout", [False, True])
+def test_a_network_is_the_same_wherever_its_batches_are_held(spark, monkeypatch, dropout):
+    data = [(i, float(i % 7) / 7, float(i * i % 11) / 11, "abc"[i % 3]) for i in range(90)]
+    val = points(spark, data[:10])
+
+    def fit(values, rows, batch):
+        monkeypatch.setattr(neural, "LOCAL_VALUES", values)
+        monkeypatch.setattr(neural, "LOCAL_ROWS", rows)
+        layers = [neural.Input(2), neural.Dense(6, "tanh"), *([neural.Dropout(0.3)] if dropout else []), neural.Dense(3, "softmax")]
+        return neural.NeuralNetwork(layers, batch, 2, neural.Adam(0.02), seed=4, verbose=True, validation=val).fit(points(spark, data), CLASS)
+
+    for batch in (32, 90):
+        held, drawn, spread = fit(10**6, 10**6, batch), fit(10**6, 10, batch), fit(10, 10, batch)
+        for a, b, c in zip(*(m.network.layers for m in (held, drawn, spread)), strict=True):
+            if isinstance(a, neural.Dense):
+                assert np.allclose(a.weights, b.weights, atol=1e-12) and np.allclose(a.weights, c.weights, atol=1e-9) and np.allclose(a.bias, c.bias, atol=1e-9)
+        history = [tuple(r) for r in held.history_table(spark).orderBy("epoch", "split").collect()]
+        assert [h[:3] for h in history] == [(e, s, "acc") for e in (0, 1) for s in ("train", "validation")] and all(0 <= h[3] <= 1 for h in history)
 
 
 def test_csv_sources(spark, tmp_path):
@@ -198,4 +317,53 @@ def test_csv_sources(spark, tmp_path):
     assert [tuple(r) for r in df.orderBy("row_id").collect()] == [("red", "1.5", 2.0, 0), (None, "?", 4.0, 1)]
     f.write_text("note\nid,colour,x,y\n1,red,1.5,2\n2,blue,3,4\n")
     assert load_dataset(spark, spec.with_changes(header=1)).count() == 2
+    folder = tmp_path / "several"
+    folder.mkdir()
+    for k in range(3):
+        (folder / f"{k}.csv").write_text(f'about file {k}\nid,colour,x,y\n{k},"red\nor ""blue""",1,2\n{k + 10},b,3,4\n')
+    got_ = load_dataset(spark, spec.with_changes(header=1, ignore_cols=()), str(folder))
+    assert sorted((r["id"], r["colour"]) for r in got_.collect()) == sorted((str(x), c) for k in range(3) for x, c in ((k, 'red\nor "blue"'), (k + 10, "b")))
+    assert sorted(r["row_id"] for r in with_row_id(got_.repartition(3)).collect()) == list(range(6))
+    from millrace.sources import load_datasets
+
+    several = load_datasets(spark, {"a": spec.with_changes(header=1), "b": spec.with_changes(header=1, file_path=str(folder))})
+    assert several["a"].count() == 2 and several["b"].count() == 6
     assert len(default_datasets()) == 6 and default_datasets()["Breast Cancer"].missing_value_symbol == "?"
+
+
+def test_scoring_of_a_stream(spark, tmp_path):
+    from millrace.streaming import score_stream
+
+    fitted = tree.DecisionTree().fit(points(spark), CLASS)
+    test6(spark).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("row_id long, size double, shape double").parquet(f"{tmp_path}/in")
+    query = score_stream(stream, fitted, "scored", f"{tmp_path}/state", f"{tmp_path}/out")
+    query.processAllAvailable()
+    query.stop()
+    assert got(spark.read.parquet(f"{tmp_path}/out")) == COLOURS
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from millrace.plans.durable import shared_dir
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
+
+
+def test_threshold_sums_in_ranges_equal_plain_sums(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=500).round(2), rng.integers(0, 3, 500)
+    df = spark.createDataFrame([(i, float(a), f"c{b}") for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(1000 + i, None, "c1") for i in range(9)], "row_id long, x double, class string")
+    fitted = tree.DecisionTree(max_depth=1, constant_gain="exclude").fit(df, CLASS)
+
+    def bits(labels):
+        p = np.bincount(labels, minlength=3) / max(1, len(labels))
+        return -(p[p > 0] * np.log2(p[p > 0])).sum()
+
+    v, labels = np.r_[x, np.full(9, np.inf)], np.r_[y, np.ones(9, int)]
+    values = np.unique(x)
+    best = min(((round((sum(v <= a) * round(bits(labels[v <= a]), 12) + sum(v > a) * round(bits(labels[v > a]), 12)) / len(v), 12), (a + b) / 2) for a, b in zip(values, values[1:])))
+    assert abs(fitted.trees[0][0].threshold - best[1]) < 1e-9
