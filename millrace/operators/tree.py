@@ -1,11 +1,14 @@
-"""Decision trees and random forests, grown level by level over all open nodes of all trees at once."""
+"""Decision trees and random forests: large nodes are grown level by level, those of all trees at once, small ones to their end in one task each."""
 
 from __future__ import annotations
 
 import math
 from collections import defaultdict
 from dataclasses import dataclass, field
+from functools import cached_property
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +21,8 @@ from .split import bootstrap
 DIGITS = 12
 #: Ranges that the values of an attribute are cut into, so that running sums of a node with very many values have no single task.
 RANGES = 64
+#: Values (rows times attributes) up to which a node is grown to its end by one task.
+TASK_VALUES = 2_000_000
 #: Nodes up to which a forest is scored by nested CASE expressions; a larger one is routed by joins.
 CASE_NODES = 500
 
@@ -44,6 +49,18 @@ def _impurity(classes: list[str] | None, n: Column, parts: list[Column]) -> Colu
     return -sum((F.when(c > 0, p * F.log2(p)).otherwise(F.lit(0.0)) for c, p in zip(parts, share, strict=True)), F.lit(0.0))
 
 
+@dataclass
+class Splits:
+    """Whether the best attribute of a node splits it; else the node is a leaf."""
+
+    epsilon: float
+
+    def __call__(self, fit: bool, whole: float, n: float, min_rows: float, numeric: bool, threshold: float | None, values: int, gain: float) -> bool:
+        if not fit or whole <= self.epsilon or (min_rows and n < min_rows):
+            return False
+        return threshold is not None if numeric else values > 1 or gain > 0
+
+
 class Grower:
     """State and steps of growing trees. Rows: (_id, _tree, _node, _w, _y, _num array, _nom array)."""
 
@@ -55,19 +72,23 @@ class Grower:
         self.classes = None
         y = F.col(f"`{spec.target}`")
         if spec.task == "classification":
-            self.classes = [r[0] for r in df.select(y.cast("string").alias("y")).distinct().orderBy("y").collect()]
+            self.classes = [r[0] for r in df.select(y.cast("string").alias("y")).filter("y is not null").distinct().orderBy("y").collect()]
             self.centre = 0.0
             y = y.cast("string")
         else:
             self.centre = df.agg(F.avg(y.cast("double"))).first()[0] or 0.0
             y = y.cast("double") - F.lit(self.centre)
-        num, nom = F.array(*[F.col(f"`{c}`").cast("double") for c in self.numeric]), F.array(*[F.col(f"`{c}`").cast("string") for c in self.nominal]).cast("array<string>")
+        number = lambda c: F.when(~F.isnan(c), c)  # noqa: E731  # NaN counts as null: both go right
+        num, nom = F.array(*[number(F.col(f"`{c}`").cast("double")) for c in self.numeric]), F.array(*[F.col(f"`{c}`").cast("string") for c in self.nominal]).cast("array<string>")
         self.rows = df.select(F.col(id_col).cast("long").alias("_id"), y.alias("_y"), num.cast("array<double>").alias("_num"), nom.alias("_nom"))
-        self.marks = {}
-        if self.numeric:
-            shares = F.lit([i / RANGES for i in range(1, RANGES)])
-            marks = df.agg(*[F.percentile_approx(F.col(f"`{c}`").cast("double"), shares, 10000).alias(f"_{i}") for i, c in enumerate(self.numeric)]).first()
-            self.marks = {self.cols.index(c): sorted(set(marks[i] or [])) for i, c in enumerate(self.numeric)}
+        self.rows = self.rows.filter("_y is not null")
+
+    @cached_property
+    def marks(self) -> dict[int, list[float]]:
+        """Borders of the ranges of each numeric attribute, by its position among all."""
+        shares = F.lit([i / RANGES for i in range(1, RANGES)])
+        got = self.rows.agg(*[F.percentile_approx(F.col("_num")[i], shares, 10000).alias(f"_{i}") for i in range(len(self.numeric))]).first() if self.numeric else []
+        return {self.cols.index(c): sorted(set(got[i] or [])) for i, c in enumerate(self.numeric)}
 
     def sums(self) -> list[Column]:
         w = F.col("_w")
@@ -131,9 +152,16 @@ class Grower:
         state = self.rows.withColumns({"_tree": F.lit(0), "_w": F.lit(1.0)}) if draws is None else self.rows.join(draws, "_id")
         state = durable(state.withColumn("_node", F.lit(0)))
         trees: dict[int, list[Node]] = defaultdict(list)
-        parents: dict[tuple[int, int], tuple] = {}
+        parents: dict[tuple[int, int], int | None] = {}
+        used: dict[int, int] = defaultdict(lambda: 1)
         depth = 0
-        while True:
+        while sizes := {(r["_tree"], r["_node"]): r["count"] for r in state.groupBy("_tree", "_node").count().collect()}:
+            small = {k for k, n in sizes.items() if n * max(1, len(self.cols)) <= TASK_VALUES}
+            if small:
+                self.finish(self.among(state, small, sizes), depth, min_rows, max_depth, trees, parents, used)
+            if len(small) == len(sizes):
+                break
+            state = self.among(state, sizes.keys() - small, sizes)
             last = not self.cols or (max_depth is not None and depth >= max_depth)
             if last:
                 rows = state.groupBy("_tree", "_node").agg(*self.sums()).collect()
@@ -142,27 +170,134 @@ class Grower:
                 rows = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1").collect()
             routes = []
             for r in sorted(rows, key=lambda r: (r["_tree"], r["_node"])):
-                t, i = r["_tree"], r["_node"]
-                node = Node(t, i, parents.get((t, i), (None,))[0], depth, r["_n"], self.guess(r))
-                trees[t].append(node)
-                if last or not r["fit"] or r["whole"] <= self.epsilon or (min_rows and r["_n"] < min_rows):
-                    continue
-                if (r["_numeric"] and r["threshold"] is None) or (not r["_numeric"] and r["values"] <= 1 and r["gain"] <= 0):
+                node = Node(r["_tree"], r["_node"], parents.get((r["_tree"], r["_node"])), depth, r["_n"], self.guess(r))
+                trees[node.tree].append(node)
+                numeric = not last and r["_numeric"]
+                if last or not Splits(self.epsilon)(r["fit"], r["whole"], r["_n"], min_rows, numeric, r["threshold"], r["values"], r["gain"]):
                     continue
                 node.attribute, node.threshold = self.cols[r["a"]], r["threshold"]
                 routes.append(node)
             if not routes:
                 break
-            state = self.route(state, routes, trees, parents)
+            state = self.route(state, routes, used, parents)
             depth += 1
         return [trees[t] for t in sorted(trees)]
 
+    def among(self, state: DataFrame, nodes: set, sizes: dict) -> DataFrame:
+        if len(nodes) == len(sizes):
+            return state
+        wanted = state.sparkSession.createDataFrame(sorted(nodes), "_tree int, _node int")  # a part of what the driver holds of the trees
+        return state.join(F.broadcast(wanted), ["_tree", "_node"])
+
+    def finish(self, state: DataFrame, depth: int, min_rows: float, max_depth: int | None, trees: dict, parents: dict, used: dict) -> None:
+        """Grow the nodes of ``state`` to their end, each in one task, and add them to ``trees``."""
+        classes, centre, cols, numeric, nominal, grower = self.classes, self.centre, self.cols, self.numeric, self.nominal, self.in_task()
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            n = len(pdf)
+            x = np.array(pdf["_num"].tolist(), float).reshape(n, len(numeric))
+            s = np.array([list(v) for v in pdf["_nom"]], object).reshape(n, len(nominal))
+            y = pdf["_y"].to_numpy()
+            target = np.searchsorted(np.array(classes, object), y).astype(np.int64) if classes is not None else y.astype(float)
+            rows = grower(x, s, target, pdf["_w"].to_numpy(float), depth, min_rows, max_depth)
+            out = pd.DataFrame(rows, columns=["local", "parent", "branch", "depth", "n", "guess", "a", "threshold"])
+            return out.assign(_tree=pdf["_tree"].iloc[0], _node=pdf["_node"].iloc[0])
+
+        schema = "_tree int, _node int, local int, parent int, branch string, depth int, n double, guess double, a int, threshold double"
+        ready = state.select("_tree", "_node", "_y", "_w", "_num", "_nom")
+        got = ready.groupBy("_tree", "_node").applyInPandas(lambda pdf: run(pdf)[["_tree", "_node", "local", "parent", "branch", "depth", "n", "guess", "a", "threshold"]], schema).collect()
+        made: dict[tuple[int, int, int], Node] = {}
+        for r in sorted(got, key=lambda r: (r["_tree"], r["_node"], r["local"])):
+            t, top = r["_tree"], r["_node"]
+            guess = r["guess"] + centre if classes is None else classes[int(r["guess"])]
+            attribute = cols[r["a"]] if r["a"] >= 0 else None
+            threshold = r["threshold"] if attribute in numeric else None
+            if r["parent"] < 0:
+                node = Node(t, top, parents.get((t, top)), r["depth"], r["n"], guess, attribute, threshold)
+            else:
+                above = made[t, top, r["parent"]]
+                node = Node(t, used[t], above.id, r["depth"], r["n"], guess, attribute, threshold)
+                used[t] += 1
+                above.children[r["branch"]] = node.id
+            made[t, top, r["local"]] = node
+            trees[t].append(node)
+
+    def in_task(self):
+        """The same rules over arrays: a function to all nodes below and with a node's rows, parents first."""
+        kinds = [(a, c in self.numeric, (self.numeric if c in self.numeric else self.nominal).index(c)) for a, c in enumerate(self.cols)]
+        k, exclude, splits = len(self.classes) if self.classes is not None else None, self.constant_gain == "exclude", Splits(self.epsilon)
+
+        def sums(group: np.ndarray, groups: int, y: np.ndarray, w: np.ndarray) -> np.ndarray:
+            """(groups, 1 + parts): weight, and class weights or sums of y and its square."""
+            if k is None:
+                return np.stack([np.bincount(group, v, groups) for v in (w, w * y, w * y * y)], 1)
+            parts = np.bincount(group * k + y, w, groups * k).reshape(groups, k)
+            return np.concatenate([parts.sum(1, keepdims=True), parts], 1)
+
+        def impurity(t: np.ndarray) -> np.ndarray:
+            n = t[:, 0]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                if k is None:
+                    out = np.where(n > 0, np.maximum(t[:, 2] / n - (t[:, 1] / n) ** 2, 0.0), 0.0)
+                else:
+                    out = np.zeros(len(t))
+                    for c in range(1, k + 1):
+                        p = t[:, c] / n
+                        out = out + np.where(t[:, c] > 0, p * np.log2(p), 0.0)
+                    out = -out
+            return np.round(out, DIGITS)
+
+        def best(x, s, y, w, whole) -> tuple | None:
+            found = []
+            for a, numeric, i in kinds:
+                if numeric:
+                    known = ~np.isnan(x[:, i])
+                    values, group = np.unique(x[known, i], return_inverse=True)
+                    threshold, imp = None, 0.0
+                    if len(values) > 1:
+                        total = sums(np.zeros(len(y), np.int64), 1, y, w)
+                        upto = sums(group, len(values), y[known], w[known]).cumsum(0)[:-1]
+                        rest = total - upto
+                        both = np.round((upto[:, 0] * impurity(upto) + rest[:, 0] * impurity(rest)) / total[0, 0], DIGITS)
+                        at = int(both.argmin())
+                        threshold, imp = (values[at] + values[at + 1]) / 2, both[at]
+                    found.append((not (exclude and len(values) < 2), round(float(whole - imp), DIGITS - 2), -a, True, threshold, len(values)))
+                else:
+                    values = {v: j for j, v in enumerate(dict.fromkeys(s[:, i]))}
+                    t = sums(np.fromiter((values[v] for v in s[:, i]), np.int64, len(s)), len(values), y, w)
+                    inside = float((t[:, 0] / t[:, 0].sum() * impurity(t)).sum())
+                    found.append((True, round(float(whole - inside), DIGITS - 2), -a, False, None, len(values)))
+            return max(found, key=lambda f: f[:3]) if found else None
+
+        def grow(x, s, y, w, depth, min_rows, max_depth) -> list[tuple]:
+            out, open_ = [], [(np.arange(len(y)), -1, None, depth)]
+            for rows, parent, branch, level in open_:  # grows as it goes: level by level
+                t = sums(np.zeros(len(rows), np.int64), 1, y[rows], w[rows])
+                whole, n, local = float(impurity(t)[0]), float(t[0, 0]), len(out)
+                guess = float(t[0, 1] / n) if k is None else float(t[0, 1:].argmax())
+                pick = best(x[rows], s[rows], y[rows], w[rows], whole) if max_depth is None or level < max_depth else None
+                if pick is None or not splits(pick[0], whole, n, min_rows, *pick[3:], pick[1]):
+                    out.append((local, parent, branch, level, n, guess, -1, None))
+                    continue
+                _, _, a, numeric, threshold, _ = pick
+                out.append((local, parent, branch, level, n, guess, -a, threshold))
+                i = kinds[-a][2]
+                if numeric:
+                    left = x[rows, i] <= threshold
+                    parts = [("left", left), ("right", ~left)]
+                else:
+                    parts = [(v, np.fromiter((u == v for u in s[rows, i]), bool, len(rows))) for v in sorted(dict.fromkeys(s[rows, i]), key=lambda v: (v is not None, v or ""))]
+                open_ += [(rows[own], local, v, level + 1) for v, own in parts]
+            return out
+
+        return grow
+
     def guess(self, r) -> str | float:
         if self.classes is None:
             return r["_p0"] / r["_n"] + self.centre
         return self.classes[max(range(len(self.classes)), key=lambda i: (r[f"_p{i}"], -i))]
 
-    def route(self, state: DataFrame, routes: list[Node], trees, parents) -> DataFrame:
+    def route(self, state: DataFrame, routes: list[Node], used: dict[int, int], parents: dict[tuple[int, int], int | None]) -> DataFrame:
         spark = state.sparkSession
         nominal = [x for x in routes if x.attribute in self.nominal]
         values: dict[tuple[int, int], list[str]] = defaultdict(list)
@@ -170,11 +305,10 @@ class Grower:
             want = spark.createDataFrame([(x.tree, x.id, self.cols.index(x.attribute)) for x in nominal], "_tree int, _node int, a int")
             for r in self.long(state).join(want, ["_tree", "_node", "a"]).select("_tree", "_node", "s").distinct().orderBy("_tree", "_node", "s").collect():
                 values[r["_tree"], r["_node"]].append(r["s"])
-        used = {t: max(n.id for n in ns) + 1 for t, ns in trees.items()}
         for x in routes:
             for key in values[x.tree, x.id] if x.attribute in self.nominal else ("left", "right"):
                 x.children[key] = used[x.tree]
-                parents[x.tree, used[x.tree]] = (x.id,)
+                parents[x.tree, used[x.tree]] = x.id
                 used[x.tree] += 1
         rows = [(x.tree, x.id, self.numeric.index(x.attribute) if x.attribute in self.numeric else -1, self.nominal.index(x.attribute) if x.attribute in self.nominal else -1, x.threshold, {k: v for k, v in x.children.items() if k is not None}, x.children.get(None)) for x in routes]
         steps = spark.createDataFrame(rows, "_tree int, _node int, _i int, _j int, _thr double, _next map<string,int>, _none int")
