@@ -353,7 +353,24 @@ def test_a_cluster_without_a_shared_folder_is_refused():
         shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None)))
 
 
-def test_threshold_sums_in_ranges_equal_plain_sums(spark):
+@pytest.mark.parametrize(("output", "gain"), [(False, "full"), (False, "exclude"), (True, "exclude")])
+def test_nodes_grown_in_a_task_equal_nodes_grown_by_levels(spark, monkeypatch, output, gain):
+    rng = np.random.default_rng(6)
+    data = [(i, float(rng.integers(0, 12)) if i % 9 else None, float(rng.integers(0, 30)) / 4, rng.choice(["p", "q", "r", "s"]) if i % 7 else None, str(rng.choice(["u", "v", "w"])), float(rng.integers(0, 50))) for i in range(100)]
+    data += [(900, float("nan"), 1.0, "p", "u", 3.0), (901, 5.0, float("nan"), None, None, None)]
+    df = spark.createDataFrame(data, "row_id long, a double, b double, c string, class string, output double").drop("class" if output else "output")
+    spec = (REG if output else CLASS).with_changes(nominal_cols=("c",))
+    shape = lambda trees: [sorted(((n.depth, round(n.n, 6), n.prediction if not output else round(n.prediction, 9), n.attribute if n.children else None, n.threshold if n.children else None, tuple(sorted(map(str, n.children)))) for n in t), key=str) for t in trees]
+    models = [tree.RandomForest(3, 0.8, leaf_size=0.1, seed=2, constant_gain=gain, max_depth=2), tree.DecisionTree("pre-prune", 0.1, constant_gain=gain, max_depth=4)]
+    whole = [shape(m.fit(df, spec).trees) for m in models]
+    for m, values, want in zip(models, (0, 150), whole, strict=True):  # all by levels; large nodes by levels, small ones in tasks
+        monkeypatch.setattr(tree, "TASK_VALUES", values)
+        assert shape(m.fit(df, spec).trees) == want
+    assert gain == "full" or all(len(t) > 5 for trees in whole for t in trees)
+
+
+def test_threshold_sums_in_ranges_equal_plain_sums(spark, monkeypatch):
+    monkeypatch.setattr(tree, "TASK_VALUES", 0)
     rng = np.random.default_rng(4)
     x, y = rng.normal(size=500).round(2), rng.integers(0, 3, 500)
     df = spark.createDataFrame([(i, float(a), f"c{b}") for i, (a, b) in enumerate(zip(x, y, strict=True))] + [(1000 + i, None, "c1") for i in range(9)], "row_id long, x double, class string")
