@@ -23,8 +23,8 @@ DIGITS = 12
 RANGES = 64
 #: Values (rows times attributes) up to which a node is grown to its end by one task.
 TASK_VALUES = 2_000_000
-#: Nodes up to which a forest is scored by nested CASE expressions; a larger one is routed by joins.
-CASE_NODES = 500
+#: Nodes up to which a forest is scored by nested CASE expressions; the rows of Arrow batches walk down a larger one.
+CASE_NODES = 200
 
 
 @dataclass
@@ -361,34 +361,22 @@ class FittedTrees(FittedModel):
         return df.withColumn("prediction", out).drop("_votes")
 
     def route(self, df: DataFrame) -> DataFrame:
-        """Add _votes by walking a node array, level by level: one map lookup for a level and tree, no shuffle."""
-        out = df
-        votes = []
-        for t, tree in enumerate(self.trees):
-            by = {n.id: n for n in tree}
-            deepest = max(n.depth for n in tree)
-            at = F.lit(0)
-            for level in range(deepest):
-                inner = [n for n in tree if n.depth == level and n.children]
-                step = at
-                for c in sorted({n.attribute for n in inner}):
-                    own = [n for n in inner if n.attribute == c]
-                    x, key = F.col(f"`{c}`"), lambda d: F.create_map(*[F.lit(v) for p in d.items() for v in p])
-                    if c in self.numeric:
-                        thr, left, right = (key({n.id: f(n) for n in own}) for f in (lambda n: n.threshold, lambda n: n.children["left"], lambda n: n.children["right"]))
-                        to = F.when(x.cast("double") <= F.element_at(thr, at), F.element_at(left, at)).otherwise(F.element_at(right, at))
-                        step = F.when(at.isin(*[n.id for n in own]), to).otherwise(step)
-                    else:
-                        for n in own:
-                            for v, child in n.children.items():
-                                step = F.when((at == n.id) & _is(x, v), F.lit(child)).otherwise(step)
-                name = f"_at{t}_{level}"
-                out = out.withColumn(name, step)
-                at = F.col(name)
-            table = F.create_map(*[F.lit(v) for n in by.values() for v in (n.id, n.prediction)])
-            out = out.withColumn(f"_vote{t}", F.element_at(table, at)).drop(*[f"_at{t}_{i}" for i in range(deepest)])
-            votes.append(F.col(f"_vote{t}"))
-        return out.withColumn("_votes", F.array(*votes)).drop(*[f"_vote{t}" for t in range(len(self.trees))])
+        """Add _votes over Arrow batches: all rows of a batch walk down a tree at once, over arrays of its nodes."""
+        numeric = sorted({n.attribute for t in self.trees for n in t if n.children and n.attribute in self.numeric})
+        nominal = sorted({n.attribute for t in self.trees for n in t if n.children and n.attribute not in self.numeric})
+        labels = self.spec.task == "classification"
+        sent = df.sparkSession.sparkContext.broadcast([_arrays(t, numeric, nominal, labels) for t in self.trees])
+
+        @F.pandas_udf("array<string>" if labels else "array<double>")
+        def votes(x: pd.Series, s: pd.Series) -> pd.Series:
+            if not len(x):
+                return pd.Series([], dtype=object)
+            numbers, texts = np.array(x.tolist(), float).reshape(len(x), -1), [list(v) for v in s]
+            return pd.Series(list(np.stack([_walk(t, numbers, texts) for t in sent.value], 1)))
+
+        number = [F.col(f"`{c}`").cast("double") for c in numeric]
+        text = [F.col(f"`{c}`").cast("string") for c in nominal]
+        return df.withColumn("_votes", votes(F.array(*number).cast("array<double>"), F.array(*text).cast("array<string>")))
 
     def nodes(self, spark) -> DataFrame:
         rows = [(n.tree, n.id, n.parent, n.depth, ("leaf" if not n.children else "numeric" if n.attribute in self.numeric else "nominal"), n.attribute if n.children else None, n.threshold if n.children else None, float(n.n), str(n.prediction)) for t in self.trees for n in t]
@@ -420,6 +408,43 @@ class FittedTrees(FittedModel):
         return FittedTrees(self.spec, [sorted(out, key=lambda n: n.id)], self.numeric)
 
 
+def _arrays(tree: list[Node], numeric: list[str], nominal: list[str], labels: bool) -> tuple:
+    """A tree by position: kind (0 leaf, 1 numeric, 2 nominal), column, threshold, left, right, children by value, prediction."""
+    at = {n.id: i for i, n in enumerate(sorted(tree, key=lambda n: n.id))}
+    kind, column, side = np.zeros(len(at), np.int8), np.zeros(len(at), np.int64), np.zeros((2, len(at)), np.int64)
+    threshold, by_value = np.zeros(len(at)), {}
+    for n in tree:
+        i = at[n.id]
+        if n.children and n.attribute in numeric:
+            kind[i], column[i], threshold[i] = 1, numeric.index(n.attribute), n.threshold
+            side[:, i] = at[n.children["left"]], at[n.children["right"]]
+        elif n.children:
+            kind[i], column[i] = 2, nominal.index(n.attribute)
+            by_value[i] = {v: at[c] for v, c in n.children.items()}
+    says = np.array([n.prediction for n in sorted(tree, key=lambda n: n.id)], object if labels else float)
+    return kind, column, threshold, side, by_value, says
+
+
+def _walk(tree: tuple, numbers: np.ndarray, texts: list[list]) -> np.ndarray:
+    kind, column, threshold, side, by_value, says = tree
+    at, open_ = np.zeros(len(texts), np.int64), np.arange(len(texts))
+    while len(open_ := open_[kind[at[open_]] > 0]):
+        here = at[open_]
+        plain = kind[here] == 1
+        rows, nodes = open_[plain], here[plain]
+        at[rows] = np.where(numbers[rows, column[nodes]] <= threshold[nodes], side[0][nodes], side[1][nodes])
+        stay = np.ones(len(open_), bool)
+        for j in np.flatnonzero(~plain):
+            i = here[j]
+            to = by_value[i].get(texts[open_[j]][column[i]])
+            if to is None:  # a value that the node has not seen
+                stay[j] = False
+            else:
+                at[open_[j]] = to
+        open_ = open_[stay]
+    return says[at]
+
+
 class DecisionTree(Model):
     """pruning: None, "pre-prune" (nodes under ``leaf_size`` of the training rows become leaves, as always in regression) or
     "post-prune" (``post_prune`` "root": the whole tree or one leaf; "full": every subtree, bottom up; by ``validation``).
