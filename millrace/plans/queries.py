@@ -215,7 +215,7 @@ def tree_predict(spark, sf):
 
 def tree_prune(spark, sf):
     train, test = _split5(_part(spark, sf))
-    return tree.DecisionTree("post-prune", validation=test, post_prune="full", constant_gain="exclude", max_depth=3).fit(train, PART, "p_partkey").transform(test).select("p_partkey", "prediction")
+    return tree.DecisionTree("post-prune", validation=test, post_prune="full", constant_gain="exclude").fit(train, PART, "p_partkey").transform(test).select("p_partkey", "prediction")
 
 
 def forest_predict(spark, sf):
@@ -331,7 +331,7 @@ def _grown(rows: str, levels: int, min_rows: str = "0", attributes: int = 2, cla
     return ", ".join(out)
 
 
-#: Levels that the SQL of whole trees is written out to: more than those trees have on the test tables.
+#: Levels that the SQL of whole trees is written out to: more than they have on the table of scale 0.01.
 _LEVELS = 40
 _LAST = "select id, tree, pred from st join says using (tree, node, lvl) where test qualify row_number() over (partition by tree, id order by lvl desc) = 1"
 _DRAWN = """select d.tree, t.id, t.test, t.x0, t.x1, t.{y} as y, d.w, '' as node from base t join drawn d using (id) union all select tree, id, test, x0, x1, {y}, 0, '' from base, range({trees}) r(tree) where test"""
@@ -387,7 +387,7 @@ ORACLES = {
     "tree_stump": f"with base as ({_TRAIN}), " + _grown("select 0 as tree, *, case when test then 0 else 1 end as w, '' as node from base", 1) + f" select id as p_partkey, pred as prediction from ({_LAST})",
     "forest_stump": "with " + _forest(3, "price") + ", " + _grown(_DRAWN.format(trees=3, y="price"), 1, attributes=1, classes=False) + f" select id as p_partkey, round(avg(pred) + (select avg(p_retailprice) from part where p_partkey % 5 <> 0), 4) as prediction from ({_LAST}) group by id",
     "tree_predict": f"with base as ({_TRAIN}), " + _grown("select 0 as tree, *, case when test then 0 else 1 end as w, '' as node from base", _LEVELS, "0.05 * (select count(*) from part where p_partkey % 5 <> 0)") + f" select id as p_partkey, pred as prediction from ({_LAST})",
-    "tree_prune": f"with base as ({_TRAIN}), " + _grown("select 0 as tree, *, case when test then 0 else 1 end as w, '' as node from base", 3) + ", " + _pruned(3) + ", k as (" + " union all ".join(f"select *, {k} as lvl from k{k}" for k in range(4)) + ") select st.id as p_partkey, arg_min(k.pred, case when k.cut then st.lvl else 100 - st.lvl end) as prediction from st join k using (node, lvl) where st.test group by st.id",
+    "tree_prune": f"with base as ({_TRAIN}), " + _grown("select 0 as tree, *, case when test then 0 else 1 end as w, '' as node from base", _LEVELS) + ", " + _pruned(_LEVELS) + ", k as (" + " union all ".join(f"select *, {k} as lvl from k{k}" for k in range(_LEVELS + 1)) + ") select st.id as p_partkey, arg_min(k.pred, case when k.cut then st.lvl else 100 - st.lvl end) as prediction from st join k using (node, lvl) where st.test group by st.id",
     "forest_predict": "with " + _forest(5, "p_type") + ", " + _grown(_DRAWN.format(trees=5, y="p_type"), _LEVELS, "0.1 * floor((select count(*) from part where p_partkey % 5 <> 0) * 0.5)") + f" select id as p_partkey, pred as prediction from (select id, pred, count(*) as c from ({_LAST}) group by all) qualify row_number() over (partition by id order by c desc, pred) = 1",
     "edited_knn": f"with {_EDITED} select id as s_suppkey, y as class from s5",
     "condensed_knn": "with recursive r as (select row_number() over (order by s_suppkey) - 1 as i, s_suppkey, s_acctbal::double as b, (s_nationkey % 3)::varchar as y from supplier), n as (select count(*) as n from r), st as (select 0::bigint as step, [0]::bigint[] as kept union all select step + 1, case when list_contains(kept, x.i) or (select arg_min(k.y, struct_pack(d := round(sqrt((k.b - x.b) * (k.b - x.b)), 9), i := k.i)) from r k where list_contains(st.kept, k.i)) = x.y then kept else list_append(kept, x.i) end from st, n, r x where step < 5 * n and x.i = step % n) select s_suppkey, y as class from r where list_contains((select arg_max(kept, step) from st), i)",
