@@ -231,6 +231,18 @@ def test_pruning_in_one_job_equals_one_node_after_another(spark):
     assert len(root.trees[0]) in (1, len(whole.trees[0]))
 
 
+@pytest.mark.parametrize("output", [False, True])
+def test_walking_down_a_forest_equals_its_expression(spark, output):
+    rng = np.random.default_rng(9)
+    data = [(i, float(rng.integers(0, 12)) if i % 9 else None, "pqrs"[rng.integers(0, 4)] if i % 7 else None, "uvw"[rng.integers(0, 3)], float(rng.integers(0, 50))) for i in range(120)]
+    df = spark.createDataFrame(data, "row_id long, a double, c string, class string, output double").drop("class" if output else "output")
+    spec = (REG if output else CLASS).with_changes(nominal_cols=("c",))
+    fitted = tree.RandomForest(4, 0.7, seed=3, max_depth=5).fit(df, spec)
+    ask = df.unionByName(spark.createDataFrame([(900, float("nan"), "new", None), (901, None, None, None)], df.schema))
+    rows = fitted.route(ask).withColumn("_want", F.array(*[fitted.column(t) for t in fitted.trees])).collect()
+    assert len(rows) == 122 and all(r["_votes"] == r["_want"] for r in rows)
+
+
 def test_regression_forest(spark):
     out = got(tree.RandomForest(8, 1.0, leaf_size=0.34, seed=1).fit(points(spark, output=True), REG).transform(test6(spark)))
     assert all(1 <= v <= 9 for v in out) and out[0] > out[1] and out[5] > out[2]
