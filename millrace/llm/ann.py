@@ -46,8 +46,7 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     for _ in range(rounds):
         own = nearest(x, c)
         n = np.bincount(own, minlength=len(c))
-        s = np.zeros_like(c)
-        np.add.at(s, own, x)
+        s = np.stack([np.bincount(own, x[:, j], len(c)) for j in range(x.shape[1])], 1)
         c = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], c)
     return c
 
@@ -83,10 +82,10 @@ class Index:
         return own, codes.astype(np.uint8)
 
     def tables(self, q: np.ndarray) -> np.ndarray:
-        """Asymmetric tables (query, part, code): inner products of a query's parts with the codewords."""
-        out = np.zeros((len(q), len(self.books), 256))
+        """Asymmetric tables (part, code, query): inner products of a query's parts with the codewords."""
+        out = np.zeros((len(self.books), 256, len(q)), np.float32)
         for i, (a, b, book) in enumerate(zip(self.edges, self.edges[1:], self.books, strict=False)):
-            out[:, i, : len(book)] = q[:, a:b] @ book.T
+            out[i, : len(book)] = book @ q[:, a:b].T
         return out
 
 
@@ -116,7 +115,7 @@ def search(vectors: DataFrame, k: int = 5, every: int = 50, probe_share: float =
 
     All other rows are candidates; rows with the query's vec_id are its own; a repeated query id is asked once, with its least vector. Vectors of another length than most have take no part.
     A query visits the lists whose centroids have the largest inner product with it. Each task scores the visited
-    codes from the query's tables, keeps the best ``rerank`` (ties: smaller id), scores those exactly on the original vectors
+    codes from the query's tables, keeps the best ``rerank`` of a unit, scores those exactly on the original vectors
     and sends k of them; the best k of all tasks are the result. Queries go out in blocks of bounded size. The coded vectors lie in
     the tasks that encoded them, so a list that holds a third of all vectors is spread like any other.
     """
@@ -167,30 +166,31 @@ def _searcher(sent, k: int, probe_share: float, rerank: int):
         probes = max(1, int(np.ceil(probe_share * len(index.centroids))))
         visits = np.zeros(coarse.shape, bool)
         np.put_along_axis(visits, np.argsort(-coarse, 1, kind="stable")[:, :probes], True, 1)
-        tables = index.tables(unit).astype(np.float32)
+        tables, near, seen = index.tables(unit), coarse.T.astype(np.float32), visits.T
+        step = max(256, (1 << 22) // len(ids))
         for batch in _units(batches):
             vec, own = batch.column(0).to_numpy(), batch.column(2).to_numpy()
             codes = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(len(vec), -1)
             exact = _rows(batch.column(1))
             order = np.lexsort((vec, own))
             vec, own, codes, exact = vec[order], own[order], codes[order], exact[order]
-            starts = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
             held_q, held_c, held_s = [], [], []
-            for a, b in zip(starts, [*starts[1:], len(own)]):
-                who = np.flatnonzero(visits[:, own[a]])
+            for at in range(0, len(vec), step):  # rows of a few lists, or of a part of a large one
+                lists, code = own[at : at + step], codes[at : at + step]
+                who = np.flatnonzero(seen[np.unique(lists)].any(0))
                 if not len(who):
                     continue
-                for at in range(a, b, 2048):
-                    end = min(b, at + 2048)
-                    s = np.repeat(coarse[who, own[a]][:, None], end - at, 1).astype(np.float32)
-                    for m in range(codes.shape[1]):
-                        s += tables[who, m][:, codes[at:end, m]]
-                    s[ids[who][:, None] == vec[None, at:end]] = -np.inf
-                    keep = min(rerank, end - at)
-                    top = np.argsort(-s, 1, kind="stable")[:, :keep] if keep < end - at else np.broadcast_to(np.arange(keep), s.shape)
-                    held_q.append(np.repeat(who, keep))
-                    held_c.append((top + at).ravel())
-                    held_s.append(np.take_along_axis(s, top, 1).ravel())
+                some = slice(None) if len(who) == len(ids) else who
+                s = near[lists][:, some]
+                for m in range(codes.shape[1]):
+                    s += tables[m][:, some][code[:, m]]
+                s[~seen[lists][:, some] | (vec[at : at + step, None] == ids[who][None, :])] = -np.inf
+                s = np.ascontiguousarray(s.T)
+                keep = min(rerank, s.shape[1])
+                top = np.argpartition(s, s.shape[1] - keep, 1)[:, s.shape[1] - keep :]
+                held_q.append(np.repeat(who, keep))
+                held_c.append((top + at).ravel())
+                held_s.append(np.take_along_axis(s, top, 1).ravel())
             if not held_q:
                 continue
             hq, hc, hs = np.concatenate(held_q), np.concatenate(held_c), np.concatenate(held_s)
