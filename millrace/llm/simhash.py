@@ -263,7 +263,7 @@ def link_components(fp: DataFrame, segments: list[tuple[int, int, int, int]], mo
     """
     classes = durable(fp.groupBy("w0").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("rows")))
     roots = components(hamming_links(classes.select(F.col("w0").alias("node"), "w0"), segments, most))
-    return _named(classes.select(F.col("w0").alias("_node"), "least_id", "rows"), roots)
+    return named_classes(classes.select(F.col("w0").alias("_node"), "least_id", "rows"), roots)
 
 
 def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _rooted(classes: DataFrame, roots: DataFrame) -> DataFrame:
     return classes.join(roots, classes["_node"] == roots["node"], "left").withColumn("root", F.coalesce("root", "_node")).drop("node")
 
 
-def _named(classes: DataFrame, roots: DataFrame) -> DataFrame:
+def named_classes(classes: DataFrame, roots: DataFrame) -> DataFrame:
     """classes(_node, least_id, ...) with root and component_id."""
     joined = durable(_rooted(classes, roots))
     ids = joined.groupBy(F.col("root").alias("_root")).agg(F.min("least_id").alias("component_id"), F.count("*").alias("_classes"))
@@ -337,7 +337,7 @@ def _near_keys(docs: DataFrame, similarity: float) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("raw_key")).mapInArrow(run, "doc_id long, raw_key long, text_key long, w0 long, bands array<long>")
 
 
-def _shingle_sets(texts: DataFrame) -> DataFrame:
+def shingle_sets(texts: DataFrame) -> DataFrame:
     """(node, group, shingles) of texts(node, group, text): the distinct hashes in ascending order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -461,7 +461,7 @@ def _near_classes(docs: DataFrame, similarity: float) -> tuple[DataFrame, DataFr
     wanted = durable(classes.join(groups, classes["_node"] == groups["node"]).select(F.col("_node").alias("node"), F.col("root").alias("group"), "text_id", "rows"))
     texts = docs.select("text", F.xxhash64("text").alias("text_key"))
     found = spread_join(texts, wanted, "text_key", "text_id", "rows", fp.count()).groupBy("node", "group").agg(F.first("text").alias("text"))
-    links = components(jaccard_links(_shingle_sets(found), similarity))
+    links = components(jaccard_links(shingle_sets(found), similarity))
     return fp.select("doc_id", "raw_key", "text_key"), classes.drop("w0", "bands", "text_id"), links
 
 
@@ -477,7 +477,7 @@ def near_components(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     linked to no other.
     """
     fp, classes, links = _near_classes(docs, similarity)
-    named = durable(_named(classes.drop("first"), links))
+    named = durable(named_classes(classes.drop("first"), links))
     out = spread_join(fp, named, "text_key", "_node", "rows", fp.count())
     return out.select("doc_id", "raw_key", "root", "component_id")
 
