@@ -1,9 +1,7 @@
-"""Decision trees and random forests: large nodes are grown level by level, those of all trees at once, small ones to their end in one task each."""
+"""Decision trees and random forests as distributed node tables: large nodes are split level by level by Spark jobs, small ones grown to their end in a task."""
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.durable import durable
+from ..plans.joins import enumerated, spread_join
 from ..sources import DatasetSpec
 from .models import FittedModel, Model
 from .split import bootstrap
@@ -21,10 +20,16 @@ from .split import bootstrap
 DIGITS = 12
 #: Ranges that the values of an attribute are cut into, so that running sums of a node with very many values have no single task.
 RANGES = 64
-#: Values (rows times attributes) up to which a node is grown to its end by one task.
-TASK_VALUES = 2_000_000
-#: Nodes up to which a forest is scored by nested CASE expressions; the rows of Arrow batches walk down a larger one.
-CASE_NODES = 200
+#: Values (rows times attributes) up to which a node may be grown to its end by one task; rows up to which it is, whatever its share of all.
+TASK_VALUES, TASK_ROWS = 2_000_000, 8192
+#: Nodes up to which a forest is scored by nested CASE expressions, and up to which it is sent to all tasks as arrays.
+CASE_NODES, SENT_NODES = 200, 100_000
+#: Rows that meet one subtree of a larger forest at once.
+WALK_ROWS = 100_000
+#: A node that a Spark job opened has its number shifted by so many bits as its id; nodes below it, grown in one task, count on from it.
+SHIFT = 24
+#: spread: whether the children are nodes that Spark jobs opened; top: the opened node that a node is or was grown from.
+NODES = "tree int, id long, parent long, branch string, depth int, n double, attribute string, threshold double, label string, value double, spread boolean, top long"
 
 
 @dataclass
@@ -49,18 +54,6 @@ def _impurity(classes: list[str] | None, n: Column, parts: list[Column]) -> Colu
     return -sum((F.when(c > 0, p * F.log2(p)).otherwise(F.lit(0.0)) for c, p in zip(parts, share, strict=True)), F.lit(0.0))
 
 
-@dataclass
-class Splits:
-    """Whether the best attribute of a node splits it; else the node is a leaf."""
-
-    epsilon: float
-
-    def __call__(self, fit: bool, whole: float, n: float, min_rows: float, numeric: bool, threshold: float | None, values: int, gain: float) -> bool:
-        if not fit or whole <= self.epsilon or (min_rows and n < min_rows):
-            return False
-        return threshold is not None if numeric else values > 1 or gain > 0
-
-
 class Grower:
     """State and steps of growing trees. Rows: (_id, _tree, _node, _w, _y, _num array, _nom array)."""
 
@@ -125,7 +118,7 @@ class Grower:
         Running sums over values go in two levels: within a range of values, and over the ranges' own sums.
         """
         at, total = ["_tree", "_node", "a"], ["_n", *self.parts]
-        hist = self.long(state).groupBy(*at, "v", "s").agg(*self.sums()).withColumn("_range", self.ranges())
+        hist = durable(self.long(state).groupBy(*at, "v", "s").agg(*self.sums()).withColumn("_range", self.ranges()))
         numeric = F.col("a").isin(*[self.cols.index(c) for c in self.numeric]) if self.numeric else F.lit(False)
         per = hist.groupBy(*[F.col(c).alias(f"b{c}") for c in at], F.col("_range").alias("b_range")).agg(*[F.sum(c).alias(f"s{c}") for c in total], F.min("v").alias("_low"))
         node = Window.partitionBy(*[f"b{c}" for c in at])
@@ -147,85 +140,125 @@ class Grower:
         fit = F.lit(True) if self.constant_gain == "full" else (F.col("values") > 1) | ~F.col("_numeric")
         return best.select(*at, "_numeric", "whole", *total, F.round(gain, DIGITS - 2).alias("gain"), "split.threshold", "values", fit.alias("fit"))
 
-    def grow(self, draws: DataFrame | None, min_rows: float, max_depth: int | None) -> list[list[Node]]:
-        """Trees as lists of nodes. The driver holds nodes, never rows; lineage is cut at each level."""
+    def grow(self, draws: DataFrame | None, min_rows: float, max_depth: int | None) -> DataFrame:
+        """The node table of all trees. Rows are routed by joins on their node; the driver learns how many nodes a level has, never which."""
         state = self.rows.withColumns({"_tree": F.lit(0), "_w": F.lit(1.0)}) if draws is None else self.rows.join(draws, "_id")
-        state = durable(state.withColumn("_node", F.lit(0)))
-        trees: dict[int, list[Node]] = defaultdict(list)
-        parents: dict[tuple[int, int], int | None] = {}
-        used: dict[int, int] = defaultdict(lambda: 1)
-        depth = 0
-        while sizes := {(r["_tree"], r["_node"]): r["count"] for r in state.groupBy("_tree", "_node").count().collect()}:
-            small = {k for k, n in sizes.items() if n * max(1, len(self.cols)) <= TASK_VALUES}
-            if small:
-                self.finish(self.among(state, small, sizes), depth, min_rows, max_depth, trees, parents, used)
-            if len(small) == len(sizes):
+        state = durable(state.withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
+        none = F.lit(None)
+        opened = state.select(F.col("_tree").alias("tree"), F.col("_node").alias("id")).distinct().select("tree", "id", none.cast("long").alias("parent"), none.cast("string").alias("branch"))
+        used = (state.agg(F.max("_tree")).first()[0] or 0) + 1
+        pieces, depth, total = [], 0, None
+        tasks = state.sparkSession.sparkContext.defaultParallelism
+        while True:
+            sizes = durable(state.groupBy(F.col("_node").alias("_key")).agg(F.count("*").alias("_rows")))
+            total = total or sizes.agg(F.sum("_rows")).first()[0] or 0
+            # a node goes to a task if it fits, and if it is small or one of many
+            small = (F.col("_rows") * max(1, len(self.cols)) <= TASK_VALUES) & ((F.col("_rows") <= TASK_ROWS) | (F.col("_rows") * tasks <= total))
+            got = sizes.agg(F.count("*"), F.coalesce(F.count_if(small), F.lit(0)), F.sum("_rows")).first()
+            if not got[0]:
                 break
-            state = self.among(state, sizes.keys() - small, sizes)
-            last = not self.cols or (max_depth is not None and depth >= max_depth)
-            if last:
-                rows = state.groupBy("_tree", "_node").agg(*self.sums()).collect()
-            else:
-                first = Window.partitionBy("_tree", "_node").orderBy(F.col("fit").desc(), F.col("gain").desc(), "a")
-                rows = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1").collect()
-            routes = []
-            for r in sorted(rows, key=lambda r: (r["_tree"], r["_node"])):
-                node = Node(r["_tree"], r["_node"], parents.get((r["_tree"], r["_node"])), depth, r["_n"], self.guess(r))
-                trees[node.tree].append(node)
-                numeric = not last and r["_numeric"]
-                if last or not Splits(self.epsilon)(r["fit"], r["whole"], r["_n"], min_rows, numeric, r["threshold"], r["values"], r["gain"]):
-                    continue
-                node.attribute, node.threshold = self.cols[r["a"]], r["threshold"]
-                routes.append(node)
-            if not routes:
+            if got[1] == got[0]:
+                pieces.append(self.finish(state, opened, depth, min_rows, max_depth))
                 break
-            state = self.route(state, routes, used, parents)
-            depth += 1
-        return [trees[t] for t in sorted(trees)]
-
-    def among(self, state: DataFrame, nodes: set, sizes: dict) -> DataFrame:
-        if len(nodes) == len(sizes):
-            return state
-        wanted = state.sparkSession.createDataFrame(sorted(nodes), "_tree int, _node int")  # a part of what the driver holds of the trees
-        return state.join(F.broadcast(wanted), ["_tree", "_node"])
-
-    def finish(self, state: DataFrame, depth: int, min_rows: float, max_depth: int | None, trees: dict, parents: dict, used: dict) -> None:
-        """Grow the nodes of ``state`` to their end, each in one task, and add them to ``trees``."""
+            split = spread_join(state, sizes, "_node", "_key", "_rows", got[2]).drop("_key")
+            if got[1]:
+                split = durable(split)
+                pieces.append(self.finish(split.filter(small).drop("_rows"), opened, depth, min_rows, max_depth))
+            nodes, state, opened, count = self.level(split.filter(~small), sizes, opened, depth, min_rows, max_depth, used, got[2])
+            pieces.append(nodes)
+            if not count:
+                break
+            used, depth = used + count, depth + 1
+        out = self.rows.sparkSession.createDataFrame([], NODES)
+        for p in pieces:
+            out = out.unionByName(p)
+        return durable(out)
+
+    def says(self) -> list[Column]:
+        """label and value from a node's sums: the class of most weight, of ties the smallest; or the mean output."""
+        if self.classes is None:
+            return [F.lit(None).cast("string").alias("label"), (F.col("_p0") / F.col("_n") + self.centre).alias("value")]
+        most = F.array_max(F.array(*[F.struct(F.col(p).alias("n"), F.lit(-i).alias("i")) for i, p in enumerate(self.parts)]))
+        return [F.get(F.array(*[F.lit(c) for c in self.classes]), -most["i"]).alias("label"), F.lit(None).cast("double").alias("value")]
+
+    def level(self, state: DataFrame, sizes: DataFrame, opened: DataFrame, depth: int, min_rows: float, max_depth: int | None, used: int, rows: int) -> tuple[DataFrame, DataFrame | None, DataFrame | None, int]:
+        """Split every node of ``state`` once: their rows of the node table, the rows in the nodes opened below, these nodes and their number."""
+        last = not self.cols or (max_depth is not None and depth >= max_depth)
+        if last:
+            best = state.groupBy("_tree", "_node").agg(*self.sums()).withColumns({"a": F.lit(-1), "threshold": F.lit(None).cast("double"), "_split": F.lit(False), "_numeric": F.lit(False)})
+        else:
+            first = Window.partitionBy("_tree", "_node").orderBy(F.col("fit").desc(), F.col("gain").desc(), "a")
+            best = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
+            ok = F.col("fit") & (F.col("whole") > self.epsilon) & F.when(F.col("_numeric"), F.col("threshold").isNotNull()).otherwise((F.col("values") > 1) | (F.col("gain") > 0))
+            best = best.withColumn("_split", ok & (F.col("_n") >= min_rows) if min_rows else ok)
+        best = durable(best)
+        name = F.when(F.col("_split"), F.get(F.array(*[F.lit(c) for c in self.cols]).cast("array<string>"), F.col("a")))
+        nodes = best.join(opened, F.col("_node") == F.col("id")).select(
+            "tree", "id", "parent", "branch", F.lit(depth).alias("depth"), F.col("_n").alias("n"), name.alias("attribute"), F.when(F.col("_split"), F.col("threshold")).alias("threshold"), *self.says(), F.col("_split").alias("spread"), F.col("id").alias("top"))
+        split = best.filter("_split").select("_tree", "_node", "a", "threshold", "_numeric")
+        split = split.join(sizes, F.col("_node") == F.col("_key")).drop("_key")
+        below = split.filter("_numeric").select("_tree", "_node", F.explode(F.array(F.lit("left"), F.lit("right"))).alias("branch"), F.lit(None).cast("long").alias("_k"))
+        if self.nominal:
+            values = spread_join(self.long(state).filter("s is not null or v is null"), split.filter("not _numeric").select(F.col("_node").alias("_key"), F.col("a").alias("_a"), "_rows"), "_node", "_key", "_rows", rows).filter("a = _a")
+            below = below.unionByName(values.groupBy("_tree", "_node", F.col("s").alias("branch")).agg(F.count("*").alias("_k")))
+        below = durable(enumerated(below.repartition("_node").sortWithinPartitions("_node", "branch"), "_child", used).withColumn("_child", F.shiftleft("_child", SHIFT)))
+        count = below.count()
+        if not count:
+            return nodes, None, None, 0
+        side = lambda x: F.max(F.when(F.col("branch") == x, F.col("_child"))).alias(f"_{x}")
+        numeric = split.filter("_numeric").join(below.filter("_k is null").groupBy(F.col("_node").alias("_b")).agg(side("left"), side("right")), F.col("_node") == F.col("_b"))
+        steps = numeric.select("_node", "a", "threshold", "_left", "_right", "_rows")
+        if self.nominal:
+            steps = steps.unionByName(split.filter("not _numeric").select("_node", "a", "threshold", F.lit(None).cast("long").alias("_left"), F.lit(None).cast("long").alias("_right"), "_rows"))
+        steps = steps.withColumnRenamed("_node", "_key").withColumnRenamed("_rows", "_size")
+        moved = spread_join(state.drop("_rows"), steps, "_node", "_key", "_size", rows)
+        x = F.lit(None).cast("double")
+        for i, c in enumerate(self.numeric):
+            x = F.when(F.col("a") == self.cols.index(c), F.col("_num")[i]).otherwise(x)
+        moved = moved.withColumn("_to", F.when(F.col("_left").isNotNull(), F.when(x <= F.col("threshold"), F.col("_left")).otherwise(F.col("_right"))))
+        if self.nominal:
+            s = F.lit(None).cast("string")
+            for i, c in enumerate(self.nominal):
+                s = F.when(F.col("a") == self.cols.index(c), F.col("_nom")[i]).otherwise(s)
+            key = lambda node, value: F.concat(node.cast("string"), F.coalesce(F.concat(F.lit("="), value), F.lit("")))
+            to = below.filter("_k is not null").select(key(F.col("_node"), F.col("branch")).alias("_value"), F.col("_child").alias("_to2"), "_k")
+            moved = spread_join(moved.withColumn("_is", F.when(F.col("_left").isNull(), key(F.col("_node"), s))), to, "_is", "_value", "_k", rows, "left").withColumn("_to", F.coalesce("_to", "_to2"))
+        moved = durable(moved.select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
+        return nodes, moved, below.select(F.col("_tree").alias("tree"), F.col("_child").alias("id"), F.col("_node").alias("parent"), "branch"), count
+
+    def finish(self, state: DataFrame, opened: DataFrame, depth: int, min_rows: float, max_depth: int | None) -> DataFrame:
+        """The rows of the node table of all nodes of ``state`` and below, each node grown in one task."""
         classes, centre, cols, numeric, nominal, grower = self.classes, self.centre, self.cols, self.numeric, self.nominal, self.in_task()
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             n = len(pdf)
+            pdf = pdf.sort_values("_id", kind="stable")
             x = np.array(pdf["_num"].tolist(), float).reshape(n, len(numeric))
             s = np.array([list(v) for v in pdf["_nom"]], object).reshape(n, len(nominal))
             y = pdf["_y"].to_numpy()
             target = np.searchsorted(np.array(classes, object), y).astype(np.int64) if classes is not None else y.astype(float)
-            rows = grower(x, s, target, pdf["_w"].to_numpy(float), depth, min_rows, max_depth)
-            out = pd.DataFrame(rows, columns=["local", "parent", "branch", "depth", "n", "guess", "a", "threshold"])
-            return out.assign(_tree=pdf["_tree"].iloc[0], _node=pdf["_node"].iloc[0])
-
-        schema = "_tree int, _node int, local int, parent int, branch string, depth int, n double, guess double, a int, threshold double"
-        ready = state.select("_tree", "_node", "_y", "_w", "_num", "_nom")
-        got = ready.groupBy("_tree", "_node").applyInPandas(lambda pdf: run(pdf)[["_tree", "_node", "local", "parent", "branch", "depth", "n", "guess", "a", "threshold"]], schema).collect()
-        made: dict[tuple[int, int, int], Node] = {}
-        for r in sorted(got, key=lambda r: (r["_tree"], r["_node"], r["local"])):
-            t, top = r["_tree"], r["_node"]
-            guess = r["guess"] + centre if classes is None else classes[int(r["guess"])]
-            attribute = cols[r["a"]] if r["a"] >= 0 else None
-            threshold = r["threshold"] if attribute in numeric else None
-            if r["parent"] < 0:
-                node = Node(t, top, parents.get((t, top)), r["depth"], r["n"], guess, attribute, threshold)
-            else:
-                above = made[t, top, r["parent"]]
-                node = Node(t, used[t], above.id, r["depth"], r["n"], guess, attribute, threshold)
-                used[t] += 1
-                above.children[r["branch"]] = node.id
-            made[t, top, r["local"]] = node
-            trees[t].append(node)
+            out = grower(x, s, target, pdf["_w"].to_numpy(float), depth, min_rows, max_depth)
+            top = int(pdf["_node"].iloc[0])
+            a, guess = out.pop("a"), out.pop("guess")
+            got = pd.DataFrame(out)
+            got["tree"], got["id"], got["top"] = int(pdf["_tree"].iloc[0]), top + np.arange(len(got)), top
+            got["parent"] = pd.array([None if p < 0 else top + p for p in out["parent"]], "Int64")
+            got["attribute"] = [cols[i] if i >= 0 else None for i in a]
+            got["label"] = None if classes is None else [classes[int(g)] for g in guess]
+            got["value"] = guess + centre if classes is None else np.nan
+            return got.assign(spread=False)[names]
+
+        names = ["tree", "id", "parent", "branch", "depth", "n", "attribute", "threshold", "label", "value", "spread", "top"]
+        got = state.select("_id", "_tree", "_node", "_y", "_w", "_num", "_nom").groupBy("_node").applyInPandas(run, NODES)
+        above = opened.select(F.col("id").alias("_key"), F.col("parent").alias("_parent"), F.col("branch").alias("_branch"))
+        got = durable(got.join(above, F.col("id") == F.col("_key"), "left"))
+        blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+        return got.select("tree", "id", F.coalesce("parent", "_parent").alias("parent"), F.coalesce("branch", "_branch").alias("branch"), "depth", "n", "attribute", blank("threshold"), "label", blank("value"), "spread", "top")
 
     def in_task(self):
-        """The same rules over arrays: a function to all nodes below and with a node's rows, parents first."""
-        kinds = [(a, c in self.numeric, (self.numeric if c in self.numeric else self.nominal).index(c)) for a, c in enumerate(self.cols)]
-        k, exclude, splits = len(self.classes) if self.classes is not None else None, self.constant_gain == "exclude", Splits(self.epsilon)
+        """The same rules over arrays: a function to all nodes below and with a node's rows, level by level, parents first."""
+        kinds = [(c in self.numeric, (self.numeric if c in self.numeric else self.nominal).index(c)) for c in self.cols]
+        k, exclude, epsilon = len(self.classes) if self.classes is not None else None, self.constant_gain == "exclude", self.epsilon
 
         def sums(group: np.ndarray, groups: int, y: np.ndarray, w: np.ndarray) -> np.ndarray:
             """(groups, 1 + parts): weight, and class weights or sums of y and its square."""
@@ -247,75 +280,90 @@ class Grower:
                     out = -out
             return np.round(out, DIGITS)
 
-        def best(x, s, y, w, whole) -> tuple | None:
-            found = []
-            for a, numeric, i in kinds:
-                if numeric:
-                    known = ~np.isnan(x[:, i])
-                    values, group = np.unique(x[known, i], return_inverse=True)
-                    threshold, imp = None, 0.0
-                    if len(values) > 1:
-                        total = sums(np.zeros(len(y), np.int64), 1, y, w)
-                        upto = sums(group, len(values), y[known], w[known]).cumsum(0)[:-1]
-                        rest = total - upto
-                        both = np.round((upto[:, 0] * impurity(upto) + rest[:, 0] * impurity(rest)) / total[0, 0], DIGITS)
-                        at = int(both.argmin())
-                        threshold, imp = (values[at] + values[at + 1]) / 2, both[at]
-                    found.append((not (exclude and len(values) < 2), round(float(whole - imp), DIGITS - 2), -a, True, threshold, len(values)))
-                else:
-                    values = {v: j for j, v in enumerate(dict.fromkeys(s[:, i]))}
-                    t = sums(np.fromiter((values[v] for v in s[:, i]), np.int64, len(s)), len(values), y, w)
-                    inside = float((t[:, 0] / t[:, 0].sum() * impurity(t)).sum())
-                    found.append((True, round(float(whole - inside), DIGITS - 2), -a, False, None, len(values)))
-            return max(found, key=lambda f: f[:3]) if found else None
-
-        def grow(x, s, y, w, depth, min_rows, max_depth) -> list[tuple]:
-            out, open_ = [], [(np.arange(len(y)), -1, None, depth)]
-            for rows, parent, branch, level in open_:  # grows as it goes: level by level
-                t = sums(np.zeros(len(rows), np.int64), 1, y[rows], w[rows])
-                whole, n, local = float(impurity(t)[0]), float(t[0, 0]), len(out)
-                guess = float(t[0, 1] / n) if k is None else float(t[0, 1:].argmax())
-                pick = best(x[rows], s[rows], y[rows], w[rows], whole) if max_depth is None or level < max_depth else None
-                if pick is None or not splits(pick[0], whole, n, min_rows, *pick[3:], pick[1]):
-                    out.append((local, parent, branch, level, n, guess, -1, None))
-                    continue
-                _, _, a, numeric, threshold, _ = pick
-                out.append((local, parent, branch, level, n, guess, -a, threshold))
-                i = kinds[-a][2]
-                if numeric:
-                    left = x[rows, i] <= threshold
-                    parts = [("left", left), ("right", ~left)]
-                else:
-                    parts = [(v, np.fromiter((u == v for u in s[rows, i]), bool, len(rows))) for v in sorted(dict.fromkeys(s[rows, i]), key=lambda v: (v is not None, v or ""))]
-                open_ += [(rows[own], local, v, level + 1) for v, own in parts]
+        def groups(own: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """An order by node and value, the number of each sorted row's group of equal ones, and where groups start."""
+            order = np.lexsort((value, own))
+            a, b = own[order], value[order]
+            new = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(order)]
+            return order, np.cumsum(new) - 1, np.flatnonzero(new)
+
+        def running(t: np.ndarray, node: np.ndarray) -> np.ndarray:
+            """Running sums within each node, none of which holds another node's."""
+            out = np.empty_like(t)
+            edges = np.flatnonzero(np.r_[True, node[1:] != node[:-1], True]).tolist()
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                np.cumsum(t[a:b], 0, out=out[a:b])
             return out
 
-        return grow
+        def grow(x, s, y, w, depth, min_rows, max_depth) -> dict:
+            codes = []
+            for i in range(s.shape[1]):
+                names = sorted(dict.fromkeys(s[:, i]), key=lambda v: (v is not None, v or ""))
+                at = {v: j for j, v in enumerate(names)}
+                codes.append((names, np.fromiter((at[v] for v in s[:, i]), np.int64, len(s))))
+            made: dict[str, list] = {c: [] for c in ("parent", "branch", "depth", "n", "guess", "a", "threshold")}
+            rows, own, parent, branch, first = np.arange(len(y)), np.zeros(len(y), np.int64), np.array([-1]), np.array([None], object), 0
+            while m := len(parent):
+                total = sums(own, m, y[rows], w[rows])
+                whole, n = impurity(total), total[:, 0]
+                pick, fit, gain = np.full(m, -1), np.zeros(m, bool), np.full(m, -np.inf)
+                threshold, split = np.full(m, np.nan), np.zeros(m, bool)
+                if max_depth is None or depth < max_depth:
+                    for a, (numeric, i) in enumerate(kinds):
+                        if numeric:
+                            known = np.flatnonzero(~np.isnan(x[rows, i]))
+                            value, node = x[rows[known], i], own[known]
+                            order, group, start = groups(node, value)
+                            t, node, value = sums(group, len(start), y[rows[known]][order], w[rows[known]][order]), node[order][start], value[order][start]
+                            values = np.bincount(node, minlength=m)
+                            inner = np.flatnonzero(node[1:] == node[:-1]) if len(node) else np.empty(0, np.int64)
+                            upto = running(t, node)[inner] if len(node) else t
+                            of, all_ = node[inner], total[node[inner]]
+                            rest = all_ - upto
+                            two = np.round((upto[:, 0] * impurity(upto) + rest[:, 0] * impurity(rest)) / all_[:, 0], DIGITS) if len(inner) else np.empty(0)
+                            least = np.full(m, np.inf)
+                            np.minimum.at(least, of, two)
+                            hits = np.flatnonzero(two == least[of])
+                            who, at = np.unique(of[hits], return_index=True)
+                            at = inner[hits[at]]
+                            cut, imp = np.full(m, np.nan), np.zeros(m)
+                            cut[who], imp[who] = (value[at] + value[at + 1]) / 2, least[who]
+                            f, ok = (values > 1) if exclude else np.ones(m, bool), ~np.isnan(cut)
+                            g = np.round(whole - imp, DIGITS - 2)
+                        else:
+                            code = codes[i][1][rows]
+                            order, group, start = groups(own, code)
+                            t, node = sums(group, len(start), y[rows][order], w[rows][order]), own[order][start]
+                            inside = np.bincount(node, t[:, 0] / total[node, 0] * impurity(t), m)
+                            f, cut = np.ones(m, bool), np.full(m, np.nan)
+                            g = np.round(whole - inside, DIGITS - 2)
+                            ok = (np.bincount(node, minlength=m) > 1) | (g > 0)
+                        better = (pick < 0) | (f & ~fit) | ((f == fit) & (g > gain))
+                        for held, new in ((pick, np.full(m, a)), (fit, f), (gain, g), (threshold, cut), (split, ok)):
+                            held[better] = new[better]
+                    split &= fit & ~(whole <= epsilon)
+                    if min_rows:
+                        split &= ~(n < min_rows)
+                guess = total[:, 1] / n if k is None else total[:, 1:].argmax(1).astype(float)
+                for c, v in (("parent", parent), ("branch", branch), ("depth", np.full(m, depth)), ("n", n), ("guess", guess), ("a", np.where(split, pick, -1)), ("threshold", np.where(split, threshold, np.nan))):
+                    made[c].append(v)
+                stay = split[own]
+                rows, own = rows[stay], own[stay]
+                key = np.zeros(len(rows), np.int64)  # place of a row's branch among all of the node's attribute
+                for a, (numeric, i) in enumerate(kinds):
+                    mine = pick[own] == a
+                    key[mine] = ~(x[rows[mine], i] <= threshold[own[mine]]) if numeric else codes[i][1][rows[mine]]
+                order, group, start = groups(own, key)
+                node, place = own[order][start], key[order][start]
+                own[order] = group
+                branch = np.empty(len(node), object)
+                for j, (u, p) in enumerate(zip(node.tolist(), place.tolist(), strict=True)):
+                    numeric, i = kinds[pick[u]]
+                    branch[j] = ("left", "right")[p] if numeric else codes[i][0][p]
+                parent, first, depth = node + first, first + m, depth + 1
+            return {c: np.concatenate(v) for c, v in made.items()}
 
-    def guess(self, r) -> str | float:
-        if self.classes is None:
-            return r["_p0"] / r["_n"] + self.centre
-        return self.classes[max(range(len(self.classes)), key=lambda i: (r[f"_p{i}"], -i))]
-
-    def route(self, state: DataFrame, routes: list[Node], used: dict[int, int], parents: dict[tuple[int, int], int | None]) -> DataFrame:
-        spark = state.sparkSession
-        nominal = [x for x in routes if x.attribute in self.nominal]
-        values: dict[tuple[int, int], list[str]] = defaultdict(list)
-        if nominal:
-            want = spark.createDataFrame([(x.tree, x.id, self.cols.index(x.attribute)) for x in nominal], "_tree int, _node int, a int")
-            for r in self.long(state).join(want, ["_tree", "_node", "a"]).select("_tree", "_node", "s").distinct().orderBy("_tree", "_node", "s").collect():
-                values[r["_tree"], r["_node"]].append(r["s"])
-        for x in routes:
-            for key in values[x.tree, x.id] if x.attribute in self.nominal else ("left", "right"):
-                x.children[key] = used[x.tree]
-                parents[x.tree, used[x.tree]] = x.id
-                used[x.tree] += 1
-        rows = [(x.tree, x.id, self.numeric.index(x.attribute) if x.attribute in self.numeric else -1, self.nominal.index(x.attribute) if x.attribute in self.nominal else -1, x.threshold, {k: v for k, v in x.children.items() if k is not None}, x.children.get(None)) for x in routes]
-        steps = spark.createDataFrame(rows, "_tree int, _node int, _i int, _j int, _thr double, _next map<string,int>, _none int")
-        x, s = F.get(F.col("_num"), F.col("_i")), F.get(F.col("_nom"), F.col("_j"))
-        numeric = F.element_at("_next", F.when(x <= F.col("_thr"), "left").otherwise("right"))
-        to = F.when(F.col("_i") >= 0, numeric).otherwise(F.when(s.isNull(), F.col("_none")).otherwise(F.element_at("_next", s)))
-        return durable(state.join(steps, ["_tree", "_node"]).withColumn("_to", to).select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
+        return grow
 
 
 def _is(x: Column, value: str | None) -> Column:
@@ -324,11 +372,45 @@ def _is(x: Column, value: str | None) -> Column:
 
 @dataclass
 class FittedTrees(FittedModel):
-    """Trees as node tables. A nominal value that a node has not seen gets that node's own prediction; null is a value like others."""
+    """Trees as one node table (NODES). A nominal value that a node has not seen gets that node's own prediction; null is a value like others.
+
+    Up to SENT_NODES nodes are sent to all tasks; the rows that a larger forest scores are routed by joins on its table.
+    """
 
     spec: DatasetSpec
-    trees: list[list[Node]]
+    table: DataFrame
     numeric: tuple[str, ...]
+    classes: list[str] | None = None
+
+    @classmethod
+    def of(cls, spark, spec: DatasetSpec, trees: list[list[Node]], numeric: tuple[str, ...], classes: list[str] | None = None) -> FittedTrees:
+        """A model of nodes that the driver holds."""
+        labels = spec.task == "classification"
+        rows = []
+        for t in trees:
+            branch = {c: v for n in t for v, c in n.children.items()}
+            rows += [(n.tree, n.id, n.parent, branch.get(n.id), n.depth, float(n.n), n.attribute if n.children else None, n.threshold if n.children else None, n.prediction if labels else None, None if labels else n.prediction, False, min(x.id for x in t)) for n in t]
+        return cls(spec, spark.createDataFrame(rows, NODES), numeric, classes)
+
+    @cached_property
+    def size(self) -> int:
+        return self.table.count()
+
+    @cached_property
+    def trees(self) -> list[list[Node]]:
+        """All nodes, by tree, in the driver; refused beyond SENT_NODES."""
+        if self.size > SENT_NODES:
+            raise ValueError(f"{self.size} nodes stay in their table; the driver holds up to {SENT_NODES}")
+        rows = self.table.orderBy("tree", "depth", "id").toArrow().to_pylist()
+        labels = self.spec.task == "classification"
+        by = {(r["tree"], r["id"]): Node(r["tree"], r["id"], r["parent"], r["depth"], r["n"], r["label"] if labels else float("nan") if r["value"] is None else r["value"], r["attribute"], r["threshold"]) for r in rows}
+        for r in rows:
+            if r["parent"] is not None:
+                by[r["tree"], r["parent"]].children[r["branch"]] = r["id"]
+        out: dict[int, list[Node]] = {}
+        for n in by.values():
+            out.setdefault(n.tree, []).append(n)
+        return [out[t] for t in sorted(out)]
 
     def column(self, tree: list[Node]) -> Column:
         by = {n.id: n for n in tree}
@@ -344,30 +426,46 @@ class FittedTrees(FittedModel):
                 out = F.when(_is(x, v), build(by[c])).otherwise(out)
             return out
 
-        return build(by[0])
+        return build(next(n for n in tree if n.parent is None))
 
     def transform(self, df):
-        if sum(map(len, self.trees)) <= CASE_NODES:
+        name = next(f"_votes{i}" for i in range(len(df.columns) + 1) if f"_votes{i}" not in df.columns)
+        if self.size <= CASE_NODES:
             votes = F.array(*[self.column(t) for t in self.trees])
         else:
-            df = self.route(df)
-            votes = F.col("_votes")
+            df = self.route(df, name)
+            votes = F.col(name)
         if self.spec.task == "regression":
             out = F.aggregate(votes, F.lit(0.0), lambda s, v: s + v) / F.size(votes)
         else:  # most votes, smallest label of ties
             count = lambda v: F.size(F.filter(votes, lambda u: u == v))
             best = F.array_max(F.transform(F.array_distinct(votes), count))
             out = F.array_min(F.filter(votes, lambda v: count(v) == best))
-        return df.withColumn("prediction", out).drop("_votes")
+        return df.withColumn("prediction", out).drop(name)
 
-    def route(self, df: DataFrame) -> DataFrame:
-        """Add _votes over Arrow batches: all rows of a batch walk down a tree at once, over arrays of its nodes."""
+    def route(self, df: DataFrame, name: str = "_votes") -> DataFrame:
+        """Add what each tree says: over Arrow batches if the nodes can be sent to them, else by ``landed``."""
+        labels = self.spec.task == "classification"
+        if self.size <= SENT_NODES:
+            return df.withColumn(name, self.walked(labels))
+        if df.isStreaming:
+            raise ValueError(f"a forest of over {SENT_NODES} nodes scores no streams")
+        number = next(f"_row{i}" for i in range(len(df.columns) + 1) if f"_row{i}" not in df.columns)
+        rows = durable(df.withColumn(number, F.monotonically_increasing_id()))
+        says = self.table.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("label" if labels else "value").alias("_says"))
+        ends = self.landed(rows.withColumn("_row", F.col(number)))
+        per = ends.groupBy(F.col("_tree").alias("_pt"), F.col("_node").alias("_pn")).agg(F.count("*").alias("_k"))
+        says = durable(says.join(per, (F.col("_t") == F.col("_pt")) & (F.col("_i") == F.col("_pn"))).select("_i", "_says", "_k"))
+        votes = spread_join(ends, says, "_node", "_i", "_k", ends.count()).groupBy(F.col("_row").alias("_vote_row")).agg(F.array_sort(F.collect_list(F.struct("_tree", "_says"))).alias("_all"))
+        return rows.join(votes.select("_vote_row", F.col("_all._says").alias(name)), F.col(number) == F.col("_vote_row")).drop(number, "_vote_row")
+
+    def walked(self, labels: bool | None) -> Column:
+        """An array of what each tree says, or, with None, of the last node's id."""
         numeric = sorted({n.attribute for t in self.trees for n in t if n.children and n.attribute in self.numeric})
         nominal = sorted({n.attribute for t in self.trees for n in t if n.children and n.attribute not in self.numeric})
-        labels = self.spec.task == "classification"
-        sent = df.sparkSession.sparkContext.broadcast([_arrays(t, numeric, nominal, labels) for t in self.trees])
+        sent = self.table.sparkSession.sparkContext.broadcast([_arrays(t, numeric, nominal, labels) for t in self.trees])
 
-        @F.pandas_udf("array<string>" if labels else "array<double>")
+        @F.pandas_udf("array<string>" if labels else "array<long>" if labels is None else "array<double>")
         def votes(x: pd.Series, s: pd.Series) -> pd.Series:
             if not len(x):
                 return pd.Series([], dtype=object)
@@ -376,11 +474,64 @@ class FittedTrees(FittedModel):
 
         number = [F.col(f"`{c}`").cast("double") for c in numeric]
         text = [F.col(f"`{c}`").cast("string") for c in nominal]
-        return df.withColumn("_votes", votes(F.array(*number).cast("array<double>"), F.array(*text).cast("array<string>")))
+        return votes(F.array(*number).cast("array<double>"), F.array(*text).cast("array<string>"))
 
-    def nodes(self, spark) -> DataFrame:
-        rows = [(n.tree, n.id, n.parent, n.depth, ("leaf" if not n.children else "numeric" if n.attribute in self.numeric else "nominal"), n.attribute if n.children else None, n.threshold if n.children else None, float(n.n), str(n.prediction)) for t in self.trees for n in t]
-        return spark.createDataFrame(rows, "tree_id int, node_id long, parent_id long, depth int, kind string, attribute string, threshold double, n double, predict string")
+    def landed(self, df: DataFrame) -> DataFrame:
+        """(_row, _tree, _node): the last node of each row in each tree; ``df`` has _row.
+
+        Over the part of the trees that Spark jobs opened, rows are routed by a join a level; below it the rows of a subtree, in parts of
+        WALK_ROWS at most, walk down in a task that holds the subtree.
+        """
+        if self.size <= SENT_NODES:
+            return df.select("_row", F.posexplode(self.walked(None)).alias("_tree", "_node"))
+        nominal = [c for c in self.spec.features(df.columns, "_row") if c in self.spec.nominal_cols]
+        numeric = list(self.numeric)
+        num = F.array(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in numeric]).cast("array<double>")
+        nom = F.array(*[F.col(f"`{c}`").cast("string") for c in nominal]).cast("array<string>")
+        roots = [r["tree"] for r in self.table.select("tree").distinct().orderBy("tree").collect()]  # a number for each tree
+        now = durable(df.select("_row", num.alias("_num"), nom.alias("_nom"), F.explode(F.array(*[F.lit(t) for t in roots])).alias("_tree")).withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
+        total = now.count()
+        inner = self.table.filter("spread")
+        below = self.table.filter("id = top and parent is not null")
+        levels = inner.agg(F.max("depth")).first()[0]
+        x, s = F.lit(None).cast("double"), F.lit(None).cast("string")
+        for i, c in enumerate(numeric):
+            x = F.when(F.col("attribute") == c, F.col("_num")[i]).otherwise(x)
+        for i, c in enumerate(nominal):
+            s = F.when(F.col("attribute") == c, F.col("_nom")[i]).otherwise(s)
+        key = lambda node, value: F.concat(node.cast("string"), F.coalesce(F.concat(F.lit("="), value), F.lit("")))
+        for d in range(0 if levels is None else levels + 1):
+            at = inner.filter(F.col("depth") == d).select(F.col("id").alias("_key"), "attribute", "threshold")
+            sizes = now.groupBy(F.col("_node").alias("_n")).agg(F.count("*").alias("_k"))
+            at = durable(at.join(sizes, F.col("_key") == F.col("_n")).drop("_n"))
+            moved = spread_join(now, at, "_node", "_key", "_k", total, "left").drop("_key", "_k")
+            is_number = F.col("attribute").isin(*numeric) if numeric else F.lit(False)
+            branch = F.when(is_number, F.when(x <= F.col("threshold"), "left").otherwise("right")).otherwise(s)
+            moved = durable(moved.withColumn("_is", F.when(F.col("attribute").isNotNull(), key(F.col("_node"), branch))).drop("attribute", "threshold"))
+            to = below.filter(F.col("depth") == d + 1).select(key(F.col("parent"), F.col("branch")).alias("_key"), F.col("id").alias("_to"))
+            met = moved.groupBy(F.col("_is").alias("_n")).agg(F.count("*").alias("_k"))
+            to = durable(to.join(met, F.col("_key") == F.col("_n")).drop("_n"))
+            now = durable(spread_join(moved, to, "_is", "_key", "_k", total, "left").select("_row", "_num", "_nom", "_tree", F.coalesce("_to", "_node").alias("_node")))
+        # no spread node but those of unseen values is left: these stay, the others are tops of subtrees
+        sizes = durable(now.groupBy(F.col("_node").alias("_n")).agg(F.count("*").alias("_k")).withColumn("_parts", F.ceil(F.col("_k") / WALK_ROWS).cast("long")))
+        dealt = spread_join(now, sizes, "_node", "_n", "_k", total).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).select("_row", "_num", "_nom", "_tree", F.col("_node").alias("_top"), "_part")
+        trees = self.table.join(sizes, F.col("top") == F.col("_n")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+
+        def run(rows: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+            if not len(rows) or not len(nodes):
+                return pd.DataFrame({"_row": [], "_tree": [], "_node": []})
+            tree = _nodes(nodes)
+            numbers = np.array(rows["_num"].tolist(), float).reshape(len(rows), -1)
+            ends = _walk(_arrays(tree, numeric, nominal, None), numbers, [list(v) for v in rows["_nom"]])
+            return pd.DataFrame({"_row": rows["_row"], "_tree": rows["_tree"], "_node": ends})
+
+        picked = trees.select(F.col("top").alias("_top"), "_part", "id", F.coalesce("parent", F.lit(-1)).alias("parent"), "branch", "depth", "attribute", "threshold", "spread")
+        return durable(dealt.groupBy("_top", "_part").cogroup(picked.groupBy("_top", "_part")).applyInPandas(run, "_row long, _tree int, _node long"))
+
+    def nodes(self, spark=None) -> DataFrame:
+        kind = F.when(F.col("attribute").isNull(), "leaf").when(F.col("attribute").isin(*self.numeric) if self.numeric else F.lit(False), "numeric").otherwise("nominal")
+        says = F.col("label") if self.spec.task == "classification" else F.col("value").cast("string")
+        return self.table.select(F.col("tree").alias("tree_id"), F.col("id").alias("node_id"), F.col("parent").alias("parent_id"), "depth", kind.alias("kind"), "attribute", "threshold", "n", says.alias("predict"))
 
     def explain(self, tree: int = 0) -> str:
         by = {n.id: n for n in self.trees[tree]}
@@ -394,21 +545,33 @@ class FittedTrees(FittedModel):
                 out += show(by[c], {"left": f"<= {n.threshold}: ", "right": f"> {n.threshold}: "}.get(k, f"= {k}: ") if n.attribute in self.numeric else f"= {k}: ")
             return out
 
-        return "\n".join(show(by[0], ""))
+        return "\n".join(show(next(n for n in by.values() if n.parent is None), ""))
 
     def collapsed(self, leaves: set[int]) -> FittedTrees:
-        """The first tree with those nodes as leaves."""
+        """The first tree with those nodes as leaves; of a model that the driver can hold."""
         by = {n.id: n for n in self.trees[0]}
-        out, open_ = [], [0]
+        out, open_ = [], [next(n.id for n in by.values() if n.parent is None)]
         while open_:
             n = by[open_.pop()]
             kids = {} if n.id in leaves else n.children
             out.append(Node(n.tree, n.id, n.parent, n.depth, n.n, n.prediction, n.attribute, n.threshold, kids))
             open_ += kids.values()
-        return FittedTrees(self.spec, [sorted(out, key=lambda n: n.id)], self.numeric)
+        return FittedTrees.of(self.table.sparkSession, self.spec, [sorted(out, key=lambda n: n.id)], self.numeric, self.classes)
+
+
+def _nodes(rows: pd.DataFrame) -> list[Node]:
+    """Nodes of one subtree; a node whose children are nodes that Spark jobs opened is a leaf of it."""
+    by = {}
+    for i, a, t, spread, depth in zip(rows["id"].tolist(), rows["attribute"].tolist(), rows["threshold"].tolist(), rows["spread"].tolist(), rows["depth"].tolist(), strict=True):
+        by[i] = Node(0, i, None, depth, 0.0, 0.0, None if spread else a, t)
+    for i, p, b in zip(rows["id"].tolist(), rows["parent"].tolist(), rows["branch"].tolist(), strict=True):
+        if p in by:
+            by[i].parent = p
+            by[p].children[b] = i
+    return list(by.values())
 
 
-def _arrays(tree: list[Node], numeric: list[str], nominal: list[str], labels: bool) -> tuple:
+def _arrays(tree: list[Node], numeric: list[str], nominal: list[str], labels: bool | None) -> tuple:
     """A tree by position: kind (0 leaf, 1 numeric, 2 nominal), column, threshold, left, right, children by value, prediction."""
     at = {n.id: i for i, n in enumerate(sorted(tree, key=lambda n: n.id))}
     kind, column, side = np.zeros(len(at), np.int8), np.zeros(len(at), np.int64), np.zeros((2, len(at)), np.int64)
@@ -421,7 +584,7 @@ def _arrays(tree: list[Node], numeric: list[str], nominal: list[str], labels: bo
         elif n.children:
             kind[i], column[i] = 2, nominal.index(n.attribute)
             by_value[i] = {v: at[c] for v, c in n.children.items()}
-    says = np.array([n.prediction for n in sorted(tree, key=lambda n: n.id)], object if labels else float)
+    says = np.array(sorted(at)) if labels is None else np.array([n.prediction for n in sorted(tree, key=lambda n: n.id)], object if labels else float)
     return kind, column, threshold, side, by_value, says
 
 
@@ -459,38 +622,116 @@ class DecisionTree(Model):
     def fit(self, df, spec, id_col="row_id"):
         g = Grower(df, spec, id_col, self.epsilon, self.constant_gain)
         limit = self.leaf_size * df.count() if self.pruning == "pre-prune" or spec.task == "regression" else 0
-        model = FittedTrees(spec, g.grow(None, limit, self.max_depth) or [[Node(0, 0, None, 0, 0, "" if g.classes is not None else math.nan)]], tuple(g.numeric))
-        if self.pruning == "post-prune":
-            model = self.prune(model, spec)
-        return model
+        model = FittedTrees(spec, g.grow(None, limit, self.max_depth), tuple(g.numeric), g.classes)
+        if not model.size:
+            return FittedTrees.of(df.sparkSession, spec, [[Node(0, 0, None, 0, 0, "" if g.classes is not None else float("nan"))]], tuple(g.numeric), g.classes)
+        return self.prune(model, spec) if self.pruning == "post-prune" else model
 
     def prune(self, model: FittedTrees, spec: DatasetSpec) -> FittedTrees:
         """A node becomes a leaf if the validation rows are then predicted no worse, nodes bottom up.
 
-        One job: every validation row adds the loss that each node of its path would make as a leaf to that node.
+        Validation rows are counted at the node they end in: by class, or as sums of outputs and squares about the mean. Subtrees that were
+        grown in a task are pruned in one, all at once, and send their sums and loss to the node above; over the part that Spark jobs opened
+        sums go up by one aggregate a level, and a cut goes down by one join a level. Losses of outputs are compared at 9 digits.
         """
-        tree = model.trees[0]
-        by = {n.id: n for n in tree}
-        path = {n.id: [n.id] for n in tree}
-        for n in sorted(tree, key=lambda n: n.depth):
-            if n.parent is not None:
-                path[n.id] = [*path[n.parent], n.id]
-        numbered = FittedTrees(spec.with_changes(task="regression"), [[Node(n.tree, n.id, n.parent, n.depth, n.n, float(n.id), n.attribute, n.threshold, n.children) for n in tree]], model.numeric)
-        last = numbered.transform(self.validation.withColumn("_actual", F.col(f"`{spec.target}`"))).select("_actual", F.col("prediction").cast("int").alias("_last"))
-        paths = last.sparkSession.createDataFrame([(i, [(j, str(by[j].prediction)) for j in p]) for i, p in path.items()], "_at int, _path array<struct<node:int,says:string>>")
-        each = last.join(F.broadcast(paths), F.col("_last") == F.col("_at")).select("_actual", "_last", F.explode("_path").alias("_p"))
-        t, says = F.col("_actual"), F.col("_p.says")
-        miss = (t.cast("string") != says).cast("double") if spec.task == "classification" else (t - says.cast("double")) * (t - says.cast("double"))
-        ends = F.sum(F.when(F.col("_p.node") == F.col("_last"), miss).otherwise(0.0))  # rows that stop here, as no child takes them
-        got = {r["node"]: r for r in each.groupBy(F.col("_p.node").alias("node")).agg(F.sum(miss).alias("leaf"), ends.alias("ends")).collect()}
-        loss, leaves = {}, set()
-        for n in sorted(tree, key=lambda n: -n.depth):
-            leaf, stay = (got[n.id]["leaf"] or 0.0, got[n.id]["ends"] or 0.0) if n.id in got else (0.0, 0.0)
-            loss[n.id] = stay + sum(loss[c] for c in n.children.values())
-            if n.children and (self.post_prune == "full" or n.id == 0) and leaf <= loss[n.id] * (1 + 1e-12):
-                leaves.add(n.id)
-                loss[n.id] = leaf
-        return model.collapsed(leaves) if leaves else model
+        target, root_only = F.col(f"`{spec.target}`"), self.post_prune != "full"
+        classes, centre = model.classes, 0.0
+        actual = target.cast("string") if classes is not None else target.cast("double")
+        rows = durable(self.validation.withColumn("_row", F.monotonically_increasing_id()))
+        known = rows.select(F.col("_row").alias("_r"), actual.alias("_actual"))
+        if classes is None:
+            centre = known.agg(F.avg("_actual")).first()[0] or 0.0
+            t = F.col("_actual") - centre
+            parts = [F.sum(t).alias("p0"), F.sum(t * t).alias("p1")]
+        else:
+            parts = [F.count_if(F.col("_actual") == c).cast("double").alias(f"p{i}") for i, c in enumerate(classes)]
+        names = ["k", *[f"p{i}" for i in range(len(parts))]]
+        ends = model.landed(rows).join(known, F.col("_row") == F.col("_r")).groupBy(F.col("_node").alias("_at")).agg(F.count("*").cast("double").alias("k"), *parts)
+
+        def losses(sums: np.ndarray, label: np.ndarray, value: np.ndarray) -> np.ndarray:
+            """Of rows with these sums if predicted so."""
+            if classes is None:
+                p = value - centre
+                return np.maximum(sums[:, 2] - 2 * p * sums[:, 1] + sums[:, 0] * p * p, 0.0)
+            at = np.array([classes.index(x) if x in classes else -1 for x in label], np.int64)
+            return sums[:, 0] - np.where(at >= 0, sums[np.arange(len(sums)), 1 + np.maximum(at, 0)], 0.0)
+
+        slack = 1e-12 if classes is not None else 1e-9
+
+        def run(nodes: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+            if not len(nodes):
+                return pd.DataFrame({c: [] for c in out})
+            nodes = nodes.sort_values("id").reset_index(drop=True)
+            ids = nodes["id"].to_numpy()
+            sums = np.zeros((len(ids), len(names)))
+            if len(found):
+                sums[np.searchsorted(ids, found["_at"].to_numpy())] = found[names].to_numpy(float)
+            label, value = nodes["label"].to_numpy(), nodes["value"].to_numpy(float)
+            loss = losses(sums, label, value)  # of rows that stop here, as no child takes them
+            inner, opened, depth = nodes["attribute"].notna().to_numpy(), nodes["spread"].to_numpy(bool), nodes["depth"].to_numpy()
+            parent, root = np.searchsorted(ids, nodes["parent"].to_numpy()), (nodes["parent"] < 0).to_numpy()
+            leaf = np.zeros(len(ids), bool)
+            for d in sorted(set(depth.tolist()), reverse=True):
+                now = np.flatnonzero(depth == d)
+                own = losses(sums[now], label[now], value[now])
+                cut = inner[now] & ~opened[now] & (own <= loss[now] + slack * (loss[now] if classes is not None else sums[now, 2])) & (root[now] | (not root_only))
+                leaf[now], loss[now] = cut, np.where(cut, own, loss[now])
+                up = now[ids[now] != nodes["top"].iloc[0]]
+                np.add.at(sums, parent[up], sums[up])
+                np.add.at(loss, parent[up], loss[up])
+            gone = np.zeros(len(ids), bool)
+            for i in np.argsort(depth, kind="stable"):
+                if ids[i] != nodes["top"].iloc[0]:
+                    gone[i] = gone[parent[i]] or leaf[parent[i]]
+            got = nodes.assign(leaf=leaf, loss=loss, **{c: sums[:, j] for j, c in enumerate(names)})[~gone]
+            return got[out]
+
+        out = [c.split(" ")[0] for c in NODES.split(", ")] + ["leaf", "loss", *names]
+        schema = NODES + ", leaf boolean, loss double, " + ", ".join(f"{c} double" for c in names)
+        tops = model.table.select(F.col("id").alias("_id"), F.col("top").alias("_top"))
+        found = ends.join(tops, F.col("_at") == F.col("_id")).select("_top", "_at", *names)
+        table = durable(model.table.withColumns({"_top": F.col("top"), "parent": F.coalesce("parent", F.lit(-1))}).groupBy("_top").cogroup(found.groupBy("_top")).applyInPandas(run, schema))
+        blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
+        table = table.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent"))).select(*[blank(c) if c in ("threshold", "value") else c for c in out])
+        most = table.filter("spread").agg(F.max("depth")).first()[0]
+        if most is None:
+            pruned = table
+        else:
+            pruned = self.prune_spread(table, most, names, classes, centre, slack, root_only)
+        end = F.when(~F.col("leaf"), F.col("attribute")).alias("attribute"), F.when(~F.col("leaf"), F.col("threshold")).alias("threshold")
+        columns = [c.split(" ")[0] for c in NODES.split(", ")]
+        pruned = pruned.withColumn("spread", F.col("spread") & ~F.col("leaf"))
+        return FittedTrees(spec, durable(pruned.select(*[dict(attribute=end[0], threshold=end[1]).get(c, c) for c in columns])), model.numeric, classes)
+
+    def prune_spread(self, table: DataFrame, most: int, names: list[str], classes: list[str] | None, centre: float, slack: float, root_only: bool) -> DataFrame:
+        """``table`` with the decisions on nodes that Spark jobs opened, and without the subtrees below those that become leaves."""
+        at = F.lit(None).cast("double")
+        if classes is None:
+            p = F.col("value") - centre
+            own = F.greatest(F.col("p1") - 2 * p * F.col("p0") + F.col("k") * p * p, F.lit(0.0))
+        else:
+            at = F.coalesce(F.get(F.array(*[F.col(f"p{i}") for i in range(len(classes))]), F.array_position(F.array(*[F.lit(c) for c in classes]), F.col("label")).cast("int") - 1), F.lit(0.0))
+            own = F.col("k") - at
+        opened = table.filter("id = top")
+        level = {d: opened.filter((F.col("depth") == d) & ~F.col("spread")) for d in range(most + 2)}
+        done = {}
+        for d in range(most, -1, -1):  # sums and losses of a level's nodes, with all that comes from below
+            sent = done.get(d + 1, level[d + 1]).groupBy(F.col("parent").alias("_p")).agg(*[F.sum(c).alias(f"s_{c}") for c in (*names, "loss")])
+            here = opened.filter((F.col("depth") == d) & F.col("spread")).join(sent, F.col("id") == F.col("_p"), "left").drop("_p")
+            here = here.withColumns({c: F.col(c) + F.coalesce(f"s_{c}", F.lit(0.0)) for c in (*names, "loss")}).drop(*[f"s_{c}" for c in (*names, "loss")])
+            limit = F.col("loss") + slack * (F.col("loss") if classes is not None else F.col("p1"))
+            cut = (own <= limit) & (F.col("parent").isNull() if root_only else F.lit(True))
+            here = durable(here.withColumn("leaf", cut).withColumn("loss", F.when(cut, own).otherwise(F.col("loss"))))
+            done[d] = here.unionByName(level[d])
+            done[d] = durable(done[d])
+        kept, tops = done[0], done[0]
+        for d in range(1, most + 2):  # a node stays if its parent stays and is no leaf
+            parents = kept.filter("spread and not leaf").select(F.col("id").alias("_p"))
+            kept = done.get(d, level[d]).join(parents, F.col("parent") == F.col("_p")).drop("_p")
+            kept = durable(kept)
+            tops = tops.unionByName(kept)
+        stay = tops.select(F.col("id").alias("_t"))
+        return tops.unionByName(table.filter("id <> top").join(stay, F.col("top") == F.col("_t"), "left_semi"))
 
 
 class RandomForest(Model):
@@ -503,4 +744,4 @@ class RandomForest(Model):
         g = Grower(df, spec, id_col, self.epsilon, self.constant_gain)
         draws = bootstrap(df, id_col, self.num_trees, self.fraction, self.seed).select(F.col("tree_id").cast("int").alias("_tree"), F.col(id_col).cast("long").alias("_id"), F.col("weight").cast("double").alias("_w"))
         limit = self.leaf_size * int(df.count() * self.fraction) if self.pruning == "pre-prune" or spec.task == "regression" else 0
-        return FittedTrees(spec, g.grow(draws, limit, self.max_depth), tuple(g.numeric))
+        return FittedTrees(spec, g.grow(draws, limit, self.max_depth), tuple(g.numeric), g.classes)

@@ -396,3 +396,45 @@ def test_threshold_sums_in_ranges_equal_plain_sums(spark, monkeypatch):
     values = np.unique(x)
     best = min(((round((sum(v <= a) * round(bits(labels[v <= a]), 12) + sum(v > a) * round(bits(labels[v > a]), 12)) / len(v), 12), (a + b) / 2) for a, b in zip(values, values[1:])))
     assert abs(fitted.trees[0][0].threshold - best[1]) < 1e-9
+
+
+def test_pruning_and_walking_over_opened_nodes_equal_those_in_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    data = [(i, float(rng.integers(0, 20)), "pqrs"[rng.integers(0, 4)] if i % 7 else None, "xyz"[rng.integers(0, 3)]) for i in range(160)]
+    df = spark.createDataFrame(data, "row_id long, a double, c string, class string")
+    train, val = df.filter("row_id < 110"), df.filter("row_id >= 110").unionByName(spark.createDataFrame([(900, None, "new", "x"), (901, 3.0, "new", "w")], df.schema))
+    spec = CLASS.with_changes(nominal_cols=("c",))
+    model = tree.DecisionTree("post-prune", validation=val, post_prune="full", constant_gain="exclude")
+    shape = lambda m: sorted(((r["depth"], r["n"], r["label"], r["attribute"], r["threshold"], r["branch"]) for r in m.table.collect()), key=str)
+    whole = model.fit(train, spec)
+    says = got(whole.transform(val))
+    monkeypatch.setattr(tree, "TASK_VALUES", 50)
+    monkeypatch.setattr(tree, "SENT_NODES", 0)
+    monkeypatch.setattr(tree, "CASE_NODES", 0)
+    opened = model.fit(train, spec)
+    assert shape(opened) == shape(whole) and 1 < whole.size
+    monkeypatch.setattr(tree, "WALK_ROWS", 7)
+    assert got(opened.transform(val)) == says
+    with pytest.raises(ValueError, match="stay in their table"):
+        opened.trees  # noqa: B018
+
+
+def test_the_driver_never_holds_a_large_tree(tmp_path):
+    """262,144 leaves, with 2 MB for all that reaches the driver from a job."""
+    import subprocess
+    import sys
+
+    code = """
+from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+from millrace.operators import tree
+from millrace.sources import DatasetSpec
+spark = SparkSession.builder.master("local[4]").config("spark.driver.maxResultSize", "2m").config("spark.driver.memory", "3g").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "8").getOrCreate()
+df = spark.range(1 << 18).select(F.col("id").alias("row_id"), F.col("id").cast("double").alias("x"), F.col("id").cast("double").alias("output"))
+model = tree.DecisionTree().fit(df, DatasetSpec("d", "regression"))
+print("LEAVES", model.table.filter("attribute is null").count(), "OPENED", model.table.filter("spread").count())
+print("WRONG", model.transform(df.filter("row_id % 97 = 0")).filter("prediction <> output").count(), model.transform(df.filter("row_id % 97 = 0")).count())
+"""
+    root = __file__.rsplit("/tests/", 1)[0]
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=900)
+    assert "LEAVES 262144 OPENED" in out.stdout and "WRONG 0 2703" in out.stdout, out.stdout + out.stderr[-3000:]
