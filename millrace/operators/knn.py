@@ -6,8 +6,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,8 +18,10 @@ from .models import FittedModel, Model
 
 #: Training values (rows times components) that are sent to every task at once; a larger training set goes out in blocks of so many.
 BROADCAST_VALUES = 4_000_000
-#: Training values that condensing holds in one task; a larger set is condensed by one job for each row that stays.
-CONDENSE_VALUES = 20_000_000
+#: Rows that condensing takes as proposals at once: what the driver and each task hold of them.
+PROPOSED = 2048
+#: Neighbours that editing remembers of each row.
+LISTED = 8
 #: Distances are compared after rounding, so that the order of additions cannot decide a tie.
 DIGITS = 9
 
@@ -193,30 +195,58 @@ class EditedKNN(KNN):
     """Keeps the training rows that their nearest other row mispredicts, again and again until none goes or none would stay.
 
     ``early_stop`` also ends when the validation rows are predicted worse than in the round before, with that round's rows.
+
+    The LISTED nearest rows of each row are found once. A round strikes the rows that went from all lists; the first that is left is the
+    nearest of those that stay, as all others were farther. Only rows whose list is used up are searched anew: ``searched`` counts them by round.
     """
 
     def __init__(self, k: int, validation: DataFrame | None = None, epsilon: float = 0.0, max_iterations: int = 5, early_stop: bool = False, strategy: str = "auto"):
         super().__init__(k, strategy)
         self.validation, self.epsilon, self.max_iterations, self.early_stop = validation, epsilon, max_iterations, early_stop
+        self.searched: list[int] = []
+
+    def lists(self, rows: DataFrame, among: DataFrame, spec: DatasetSpec) -> DataFrame:
+        """(_tid, _near): the LISTED nearest rows of ``among`` for each of ``rows``, nearest first."""
+        near = nearest(rows.select("_id", "_x"), among.select("_id", "_x", "_y"), LISTED, True, spec.task == "classification", self.strategy)
+        return near.groupBy("_tid").agg(F.array_sort(F.collect_list(F.struct("_d", F.col("_id").alias("_nid"), F.col("_y").alias("_ny")))).alias("_near"))
 
     def fit(self, df, spec, id_col="row_id"):
         vectors, train = self.prepare(df, spec, id_col)
         train, before, score = durable(train), None, None
-        for _ in range(self.max_iterations):
-            n = train.count()
+        self.searched = []
+        near = durable(train.join(self.lists(train, train, spec), F.col("_id") == F.col("_tid"), "left").drop("_tid"))
+        for number in range(self.max_iterations):
+            n = near.count()
+            if number == 0:
+                self.searched.append(n)
             if n == before:
                 break
-            near = nearest(train.select("_id", "_x"), train, 1, True, spec.task == "classification", self.strategy).select("_tid", F.col("_y").alias("_ny"))
-            wrong = (F.col("_y") != F.col("_ny")) if spec.task == "classification" else (F.abs(F.col("_y") - F.col("_ny")) > self.epsilon)
-            kept = durable(train.join(near, F.col("_id") == F.col("_tid"), "left").filter(F.col("_ny").isNull() | wrong).select("_id", "_x", "_y"))
+            first = F.get("_near", F.lit(0))["_ny"]
+            wrong = (F.col("_y") != first) if spec.task == "classification" else (F.abs(F.col("_y") - first) > self.epsilon)
+            kept = durable(near.filter(first.isNull() | wrong))
             if kept.isEmpty():
                 break
             if self.early_stop and self.validation is not None:
-                last, score = score, _loss(self.fitted(vectors, kept, spec, id_col), self.validation, spec)
+                last, score = score, _loss(self.fitted(vectors, kept.select("_id", "_x", "_y"), spec, id_col), self.validation, spec)
                 if last is not None and score > last:
                     break  # the rows before this round stay
-            before, train = n, kept
-        return self.fitted(vectors, train, spec, id_col)
+            before, near = n, kept
+            if number + 1 < self.max_iterations:
+                near = self.struck(kept, spec)
+        return self.fitted(vectors, durable(near.select("_id", "_x", "_y")), spec, id_col)
+
+    def struck(self, kept: DataFrame, spec: DatasetSpec) -> DataFrame:
+        """``kept`` with lists of kept rows only; rows whose list is used up get a new one."""
+        alive = kept.select(F.col("_id").alias("_alive"))
+        left = kept.select("_id", F.explode("_near").alias("_n")).join(alive, F.col("_n._nid") == F.col("_alive"))
+        left = left.groupBy(F.col("_id").alias("_tid")).agg(F.array_sort(F.collect_list("_n")).alias("_left"))
+        now = durable(kept.join(left, F.col("_id") == F.col("_tid"), "left").select("_id", "_x", "_y", F.col("_left").alias("_near")))
+        anew = now.filter("_near is null")
+        self.searched.append(anew.count())
+        if not self.searched[-1]:
+            return now
+        found = self.lists(anew, kept, spec).select("_tid", F.col("_near").alias("_found"))
+        return durable(now.join(found, F.col("_id") == F.col("_tid"), "left").select("_id", "_x", "_y", F.coalesce("_near", "_found").alias("_near")))
 
 
 def _loss(model: FittedModel, df: DataFrame, spec: DatasetSpec) -> float:
@@ -228,65 +258,167 @@ def _loss(model: FittedModel, df: DataFrame, spec: DatasetSpec) -> float:
 class CondensedKNN(KNN):
     """Keeps a row if the rows kept so far mispredict it, in order of id, in passes until nothing is added.
 
-    Each decision depends on all before it, so the pass is sequential by definition of the method. A training set of up to
-    CONDENSE_VALUES values is one group in one task; of a larger one, whose rows stay where they are, one job finds the next row that the kept
-    ones mispredict, so there are as many jobs as kept rows and the kept rows alone reach the driver.
+    Each decision depends on all before it, but few rows bear on each other. Every row remembers its nearest kept row. A round takes the
+    first PROPOSED rows that theirs mispredicts, decides on them in order, and sends those that would stay to all tasks, which propose the rows
+    in between that these would change; they join the proposals, which are decided anew, until no task proposes more. Then the decisions
+    are those of one row after another, and the rows kept are merged into what all rows remember. So neither the driver nor a task holds
+    more than a few times PROPOSED rows, and a round settles as many. ``rounds`` lists the rows kept and the jobs of each.
     """
 
     def __init__(self, k: int, epsilon: float = 0.0, max_iterations: int = 5, strategy: str = "auto"):
         super().__init__(k, strategy)
         self.epsilon, self.max_iterations = epsilon, max_iterations
+        self.rounds: list[tuple[int, int]] = []
 
     def fit(self, df, spec, id_col="row_id"):
         vectors, train = self.prepare(df, spec, id_col)
         train = durable(train)
-        small = (train.agg(F.sum(F.size("_x"))).first()[0] or 0) <= CONDENSE_VALUES
-        ids = self.in_one_task(train, spec) if small else self.by_jobs(train, spec)
-        return self.fitted(vectors, durable(train.join(ids, "_id", "left_semi")), spec, id_col)
-
-    def in_one_task(self, train: DataFrame, spec: DatasetSpec) -> DataFrame:
-        epsilon, passes, labels = self.epsilon, self.max_iterations, spec.task == "classification"
-
-        def condense(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("_id", kind="stable")
-            x, y = np.array(pdf["_x"].tolist(), float).reshape(len(pdf), -1), pdf["_y"].to_numpy()
-            kept, near, dist = [0], np.zeros(len(pdf), int), np.round(np.sqrt(((x - x[0]) ** 2).sum(1)), DIGITS)
-            for _ in range(passes):
-                before = len(kept)
-                for i in np.setdiff1d(np.arange(len(pdf)), kept):
-                    if labels:
-                        wrong = y[near[i]] != y[i]
-                    else:
-                        wrong = len(kept) < 2 or not np.std(y[kept]) or not abs(y[near[i]] - y[i]) <= epsilon
-                    if wrong:
-                        kept.append(i)
-                        d = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), DIGITS)
-                        closer = (d < dist) | ((d == dist) & (i < near))
-                        near[closer], dist[closer] = i, d[closer]
-                if len(kept) == before:
-                    break
-            return pdf.iloc[sorted(kept)][["_id"]]
-
-        return train.withColumn("_g", F.lit(0)).groupBy("_g").applyInPandas(condense, "_id long")
-
-    def by_jobs(self, train: DataFrame, spec: DatasetSpec) -> DataFrame:
-        labels, spark = spec.task == "classification", train.sparkSession
-        first = train.orderBy("_id").limit(1).collect()
-        kept = {r["_id"]: r for r in first}
+        self.rounds = []
+        return self.fitted(vectors, durable(self.kept(train, spec).filter("_kept").select("_id", "_x", "_y")), spec, id_col)
+
+    def kept(self, train: DataFrame, spec: DatasetSpec) -> DataFrame:
+        """``train`` with _kept."""
+        labels = spec.task == "classification"
+        head = train.orderBy("_id").limit(1).collect()
+        none = [F.lit(False).alias("_kept"), F.lit(None).cast("long").alias("_nid"), F.lit(None).cast("string" if labels else "double").alias("_ny"), F.lit(float("inf")).alias("_nd")]
+        state = train.select("_id", "_x", "_y", *none)
+        if not head:
+            return state
+        state = durable(_remembered(state, head))
+        seen = _Outputs(labels, self.epsilon, head)
         for _ in range(self.max_iterations):
-            before, at = len(kept), None
-            while kept:
-                rest = train if at is None else train.filter(F.col("_id") > at)
-                ids = np.array(sorted(kept), np.int64)
-                x, y = np.array([kept[i]["_x"] for i in ids], float).reshape(len(ids), -1), np.array([kept[i]["_y"] for i in ids], object if labels else float)
-                near = _neighbours_by_broadcast(rest, ids, x, y, 1, False, "string" if labels else "double").select("_tid", F.col("_y").alias("_ny"), F.col("_id").alias("_nid"))
-                always = not labels and (len(ids) < 2 or not np.std(y))
-                wrong = F.lit(True) if always else (F.col("_y") != F.col("_ny")) if labels else ~F.coalesce(F.abs(F.col("_y") - F.col("_ny")) <= self.epsilon, F.lit(False))
-                got = rest.join(near, F.col("_id") == F.col("_tid")).filter(wrong & ~F.col("_id").isin([int(i) for i in ids])).select("_id", "_x", "_y").orderBy("_id").limit(1).collect()
+            at, added = None, 0
+            while True:
+                open_ = state.filter(~F.col("_kept") & (F.lit(True) if at is None else F.col("_id") > at))
+                got = open_.filter(seen.wrong()).orderBy("_id").limit(PROPOSED).collect()
                 if not got:
                     break
-                at = got[0]["_id"]
-                kept[at] = got[0]
-            if len(kept) == before:
+                pool, last, jobs = {r["_id"]: r for r in got}, got[-1]["_id"] if len(got) == PROPOSED else None, 2
+                while True:
+                    stay = seen.decided([pool[i] for i in sorted(pool)])
+                    between = open_ if last is None else open_.filter(F.col("_id") <= last)
+                    more = _changed(between, stay, sorted(pool), seen).orderBy("_id").limit(PROPOSED).collect()
+                    jobs += 1
+                    if not more:
+                        break
+                    pool |= {r["_id"]: r for r in more}
+                    if len(pool) > 2 * PROPOSED:  # the others' turn comes in a later round
+                        last = sorted(pool)[PROPOSED - 1]
+                        pool = {i: r for i, r in pool.items() if i <= last}
+                seen.add(stay)
+                state, added = durable(_remembered(state, stay)), added + len(stay)
+                self.rounds.append((len(stay), jobs))
+                if last is None:
+                    break
+                at = last
+            if not added:
                 break
-        return spark.createDataFrame([(int(i),) for i in kept], "_id long")
+        return state
+
+
+class _Outputs:
+    """When a row counts as mispredicted, given what is known of all rows kept so far."""
+
+    def __init__(self, labels: bool, epsilon: float, rows: list):
+        self.labels, self.epsilon, self.n, self.low, self.high = labels, epsilon, 0, None, None
+        self.add(rows)
+
+    def add(self, rows: list) -> None:
+        for r in rows:
+            self.count(r["_y"])
+
+    def count(self, y) -> None:
+        self.n += 1
+        if not self.labels:
+            self.low, self.high = (y, y) if self.low is None else (min(self.low, y), max(self.high, y))
+
+    @property
+    def flat(self) -> bool:
+        """Whether the kept outputs have no deviation, so that nothing is predicted: in regression only."""
+        return not self.labels and (self.n < 2 or self.low == self.high)
+
+    def wrong(self) -> F.Column:
+        if self.flat:
+            return F.lit(True)
+        return F.col("_y") != F.col("_ny") if self.labels else ~F.coalesce(F.abs(F.col("_y") - F.col("_ny")) <= self.epsilon, F.lit(False))
+
+    def misses(self, y: np.ndarray, near: np.ndarray) -> np.ndarray:
+        return y != near if self.labels else ~(np.abs(y - near) <= self.epsilon)
+
+    def decided(self, rows: list) -> list:
+        """Of rows in order of id, those that stay, each given those before it."""
+        x, y = np.array([r["_x"] for r in rows], float).reshape(len(rows), -1), np.array([r["_y"] for r in rows], object if self.labels else float)
+        d, who, says = np.array([r["_nd"] for r in rows]), np.array([r["_nid"] for r in rows]), np.array([r["_ny"] for r in rows], object if self.labels else float)
+        trial = _Outputs(self.labels, self.epsilon, [])
+        trial.n, trial.low, trial.high = self.n, self.low, self.high
+        out = []
+        for i, r in enumerate(rows):
+            if trial.flat or self.misses(y[i : i + 1], says[i : i + 1])[0]:
+                out.append(r)
+                trial.count(r["_y"])
+                new = np.round(np.sqrt(((x - x[i]) ** 2).sum(1)), DIGITS)
+                closer = (new < d) | ((new == d) & (r["_id"] < who))
+                d[closer], who[closer], says[closer] = new[closer], r["_id"], y[i]
+        return out
+
+
+def _arrived(batch: pa.RecordBatch, sent: tuple, before: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The nearest kept row of each row of (_id, _x, _y, _nid, _ny, _nd) with the rows sent: id, output and distance. before: only with rows of lesser id."""
+    ids, x, y = sent
+    own = batch.column(0).to_numpy()
+    points = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+    who = batch.column(3).fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False).copy()
+    says = np.array(batch.column(4).to_pylist(), y.dtype)
+    d = batch.column(5).to_numpy().copy()
+    step = max(1, 2_000_000 // max(1, len(ids)))
+    for at in range(0, len(own) if len(ids) else 0, step):
+        part = slice(at, at + step)
+        new = np.zeros((len(own[part]), len(ids)))
+        for j in range(x.shape[1]):
+            new += (points[part, j][:, None] - x[:, j][None, :]) ** 2
+        new = np.round(np.sqrt(new), DIGITS)
+        if before:
+            new[ids[None, :] >= own[part][:, None]] = np.inf
+        best = new.argmin(1)  # rows sent are in order of id: the first of equal ones
+        least = new[np.arange(len(best)), best]
+        closer = (least < d[part]) | ((least == d[part]) & np.isfinite(least) & (ids[best] < who[part]))
+        rows = at + np.flatnonzero(closer)
+        who[rows], says[rows], d[rows] = ids[best[closer]], y[best[closer]], least[closer]
+    return who, says, d
+
+
+def _sendable(rows: list, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    x = np.array([r["_x"] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, 1))
+    return np.array([r["_id"] for r in rows], np.int64), x, np.array([r["_y"] for r in rows], object if kind == "string" else float)
+
+
+def _remembered(state: DataFrame, rows: list) -> DataFrame:
+    """``state`` with the rows kept, and every row's nearest kept one; ``rows`` are in order of id."""
+    kind = dict(state.dtypes)["_y"]
+    sent = state.sparkSession.sparkContext.broadcast(_sendable(rows, kind))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                who, says, d = _arrived(b, sent.value, False)
+                now = pa.array(np.isin(b.column(0).to_numpy(), sent.value[0]))
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.compute.or_(b.column(6), now), pa.array(who), pa.array(says, pa.string() if kind == "string" else pa.float64()), pa.array(d)], names=["_id", "_x", "_y", "_kept", "_nid", "_ny", "_nd"])
+
+    return state.select("_id", "_x", "_y", "_nid", "_ny", "_nd", "_kept").mapInArrow(run, f"_id long, _x array<double>, _y {kind}, _kept boolean, _nid long, _ny {kind}, _nd double")
+
+
+def _changed(open_: DataFrame, stay: list, known: list[int], seen: _Outputs) -> DataFrame:
+    """The rows of ``open_``, but those ``known``, that rows of ``stay`` before them would make mispredicted."""
+    kind = dict(open_.dtypes)["_y"]
+    sent = open_.sparkSession.sparkContext.broadcast((_sendable(stay, kind), np.array(known, np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                kept, ids = sent.value
+                _, says, _ = _arrived(b, kept, True)
+                hit = seen.misses(np.array(b.column(2).to_pylist(), says.dtype), says) & ~np.isin(b.column(0).to_numpy(), ids)
+                yield b.filter(pa.array(hit))
+
+    names = ["_id", "_x", "_y", "_nid", "_ny", "_nd"]
+    return open_.select(*names).mapInArrow(run, f"_id long, _x array<double>, _y {kind}, _nid long, _ny {kind}, _nd double")

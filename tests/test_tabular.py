@@ -142,13 +142,61 @@ def test_edited_knn_stops_with_the_rows_before(spark):
     assert kept.train.count() == once.train.count()
 
 
+def condensed(rows, labels, epsilon=0.0, passes=5):
+    """One row after another."""
+    kept = [0]
+    for _ in range(passes):
+        before = len(kept)
+        for i in range(len(rows)):
+            if i in kept:
+                continue
+            near = min(kept, key=lambda j: (round(math.dist(rows[i][1:3], rows[j][1:3]), 9), j))
+            a, b = rows[i][3], rows[near][3]
+            if (a != b) if labels else len({rows[j][3] for j in kept}) < 2 or abs(a - b) > epsilon:
+                kept.append(i)
+        if len(kept) == before:
+            break
+    return sorted(kept)
+
+
 @pytest.mark.parametrize("output", [False, True])
-def test_condensing_by_jobs_keeps_the_same_rows(spark, monkeypatch, output):
-    data = [(i, float(i % 7), float(i * i % 11), "ab"[i % 7 > 3]) for i in range(30)]
-    spec, model = (REG, knn.CondensedKNN(3, 6.0)) if output else (CLASS, knn.CondensedKNN(3))
-    want = sorted(r["_id"] for r in model.fit(points(spark, data, output), spec).train.collect())
-    monkeypatch.setattr(knn, "CONDENSE_VALUES", 10)
-    assert sorted(r["_id"] for r in model.fit(points(spark, data, output), spec).train.collect()) == want
+@pytest.mark.parametrize("proposed", [3, 40, 2048])
+def test_condensing_in_rounds_equals_one_row_after_another(spark, monkeypatch, output, proposed):
+    monkeypatch.setattr(knn, "PROPOSED", proposed)
+    rng = np.random.default_rng(5)
+    data = [(i, float(rng.integers(0, 8)), float(rng.integers(0, 8)), float(rng.integers(0, 6)) if output else "abc"[rng.integers(0, 3)]) for i in range(48)]
+    spec, model = (REG, knn.CondensedKNN(3, 1.0)) if output else (CLASS, knn.CondensedKNN(3))
+    df = spark.createDataFrame(data, f"row_id long, size double, shape double, {'output double' if output else 'class string'}")
+    assert sorted(r["_id"] for r in model.fit(df, spec).train.collect()) == condensed(data, not output, 1.0)
+
+
+def test_condensing_keeps_many_rows_a_job(spark):
+    rng = np.random.default_rng(6)
+    data = [(i, float(a), float(b), "ab"[c]) for i, (a, b, c) in enumerate(zip(rng.random(3000), rng.random(3000), rng.integers(0, 2, 3000), strict=True))]
+    model = knn.CondensedKNN(1, max_iterations=1)
+    model.fit(points(spark, data), CLASS)
+    assert sum(k for k, _ in model.rounds) / sum(j for _, j in model.rounds) >= 50
+
+
+def test_editing_searches_only_rows_whose_list_is_used_up(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    data = [(i, float(a), float(b), "ab"[c]) for i, (a, b, c) in enumerate(zip(rng.random(150), rng.random(150), rng.integers(0, 2, 150), strict=True))]
+
+    def plain(rounds):
+        now = data
+        for _ in range(rounds):
+            near = {r[0]: min((q for q in now if q[0] != r[0]), key=lambda q: (round(math.dist(r[1:3], q[1:3]), 9), q[0]), default=None) for r in now}
+            kept = [r for r in now if near[r[0]] is None or near[r[0]][3] != r[3]]
+            if not kept or len(kept) == len(now):
+                break
+            now = kept
+        return sorted(r[0] for r in now)
+
+    for listed in (1, 8):
+        monkeypatch.setattr(knn, "LISTED", listed)
+        model = knn.EditedKNN(1, max_iterations=4)
+        assert sorted(r["_id"] for r in model.fit(points(spark, data), CLASS).train.collect()) == plain(4)
+        assert model.searched[0] == 150 and (sum(model.searched[1:]) < 30 if listed == 8 else sum(model.searched[1:]) > 0)
 
 
 def test_edited_and_condensed_knn(spark):
