@@ -24,12 +24,26 @@ class Model(abc.ABC):
         """Learn from ``df``, which holds the target column and a unique ``id_col``."""
 
 
-class NullModel(Model):
+class GroupedModel(Model):
+    """A model whose fit is an aggregate of the rows and whose prediction needs no features: many groups are fitted by one job."""
+
+    @abc.abstractmethod
+    def fit_groups(self, df: DataFrame, spec: DatasetSpec, keys: list[str]) -> DataFrame:
+        """(keys, prediction): a fit for each group of rows."""
+
+
+class NullModel(GroupedModel):
     """Predicts the most common class (smallest of ties) or the mean output."""
 
-    def fit(self, df, spec, id_col="row_id"):
+    def says(self, spec: DatasetSpec):
         t = F.col(f"`{spec.target}`")
-        return FittedNull(df.agg((F.mode(t.cast("string"), True) if spec.task == "classification" else F.avg(t.cast("double"))).alias("prediction")))
+        return (F.mode(t.cast("string"), True) if spec.task == "classification" else F.avg(t.cast("double"))).alias("prediction")
+
+    def fit(self, df, spec, id_col="row_id"):
+        return FittedNull(df.agg(self.says(spec)))
+
+    def fit_groups(self, df, spec, keys):
+        return df.groupBy(*keys).agg(self.says(spec))
 
 
 class FittedNull(FittedModel):

@@ -58,7 +58,7 @@ def discretize(df: DataFrame, col: str, strategy: str, n_bins: int) -> DataFrame
     if strategy not in ("equal-frequency", "quantile"):
         raise ValueError(f"unknown discretisation strategy {strategy!r}")
     # ranks come from the histogram of values, and its running sum from two levels, so no task sees all rows
-    hist = df.filter(_c(col).isNotNull()).groupBy(_c(col).alias("_v")).agg(F.count("*").alias("_n"))
+    hist = durable(df.filter(_c(col).isNotNull()).groupBy(_c(col).alias("_v")).agg(F.count("*").alias("_n")))
     ranked = running_total(hist, "_v", "_n", "_upto")
     if strategy == "equal-frequency":
         rank = F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2
@@ -67,8 +67,11 @@ def discretize(df: DataFrame, col: str, strategy: str, n_bins: int) -> DataFrame
         total = hist.agg(F.sum("_n").alias("_all"))
         ranked = ranked.crossJoin(F.broadcast(total))
         bin_ = clip(F.floor((F.col("_upto") - F.col("_n")) * n_bins / F.col("_all")) + 1)
-    table = ranked.select("_v", bin_.alias("_bin"))
-    return df.join(table, _c(col) == F.col("_v"), "left").select(*[F.col("_bin").alias(c) if c == col else df[f"`{c}`"] for c in df.columns])
+    # bins ascend with values, so the least value of each bin says all: one row, and no join by value
+    least = ranked.groupBy(bin_.alias("b")).agg(F.min("_v").alias("v"))
+    cuts = least.agg(F.array_sort(F.collect_list(F.struct("v", "b"))).alias("_millrace_cuts"))
+    bin_of = F.try_element_at(F.filter("_millrace_cuts", lambda c: c["v"] <= _c(col)), F.lit(-1))["b"]
+    return df.crossJoin(F.broadcast(cuts)).select(*[bin_of.alias(c) if c == col else _c(c) for c in df.columns])
 
 
 def running_total(df: DataFrame, order: str, n: str, out: str, pieces: int = 64) -> DataFrame:

@@ -71,6 +71,11 @@ def ordinal_encode(spark, sf):
     return preprocess.encode_ordinal(_t(spark, sf, "orders").select("o_orderkey", "o_orderpriority"), "o_orderpriority", PRIORITIES)
 
 
+def encode_categorical(spark, sf):
+    """All nominal and ordinal columns of a descriptor at once."""
+    return preprocess.encode_categorical(_t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ORDERS)
+
+
 def preprocess_pipeline(spark, sf):
     got, _ = preprocess.preprocess(_holes(spark, sf), ORDERS, id_col="o_orderkey")
     return got.select("o_orderkey", _r("o_totalprice", 2), "o_orderpriority", "o_orderstatus_O", "o_orderstatus_P")
@@ -140,6 +145,13 @@ def knn_embed(spark, sf):
     return got.select("vec_id", "prediction")
 
 
+def knn_nominal(spark, sf):
+    """Nearest neighbours over a nominal and a numeric column: the distance of two values is that of their class shares in the training rows."""
+    df = _t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"), (F.col("p_size") / 50).alias("size"), F.col("p_type").alias("class"))
+    train, test = _split5(df)
+    return knn.KNN(3).fit(train, PART.with_changes(nominal_cols=("brand",)), "p_partkey").transform(test).select("p_partkey", "prediction")
+
+
 def vdm_matrix(spark, sf):
     df = _t(spark, sf, "orders").select("o_orderstatus", F.col("o_orderpriority").alias("class"))
     return knn.vdm_matrix(df, "o_orderstatus").select("v1", "v2", _r("vdm_sq", 9))
@@ -202,6 +214,13 @@ def tree_stump(spark, sf):
     return tree.DecisionTree(constant_gain="exclude", max_depth=1).fit(train, PART, "p_partkey").transform(test).select("p_partkey", "prediction")
 
 
+def tree_nominal(spark, sf):
+    """A root split by a nominal attribute with a branch for each value; unseen values get what the root says."""
+    df = _t(spark, sf, "part").select("p_partkey", F.col("p_brand").alias("brand"), F.col("p_type").alias("class"))
+    train, test = _split5(df)
+    return tree.DecisionTree(max_depth=1).fit(train, DatasetSpec("part", "classification", nominal_cols=("brand",)), "p_partkey").transform(test).select("p_partkey", "prediction")
+
+
 def forest_stump(spark, sf):
     train, test = _split5(_part(spark, sf, "output", "p_size"))
     model = tree.RandomForest(3, constant_gain="exclude", max_depth=1).fit(train, DatasetSpec("part", "regression"), "p_partkey")
@@ -258,8 +277,8 @@ def cross_validate_knn(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    standardize, min_max_scale, discretize_equal_width, discretize_equal_freq, discretize_quantile, impute, one_hot, ordinal_encode, preprocess_pipeline, random_split, stratified_split, kfold_plan, kx2_plan, bootstrap, minibatch_sample,
-    binary_metrics, regression_metrics, null_class, null_reg, knn_class, knn_reg, knn_embed, vdm_matrix, edited_knn, condensed_knn, entropy, info_gain, info_gain_nominal, best_threshold, tree_stump, forest_stump, tree_predict, tree_prune, forest_predict, nn_forward, nn_sgd_step, nn_train, cross_validate_null, cross_validate_knn)}
+    standardize, min_max_scale, discretize_equal_width, discretize_equal_freq, discretize_quantile, impute, one_hot, ordinal_encode, encode_categorical, preprocess_pipeline, random_split, stratified_split, kfold_plan, kx2_plan, bootstrap, minibatch_sample,
+    binary_metrics, regression_metrics, null_class, null_reg, knn_class, knn_reg, knn_embed, knn_nominal, vdm_matrix, edited_knn, condensed_knn, entropy, info_gain, info_gain_nominal, best_threshold, tree_stump, tree_nominal, forest_stump, tree_predict, tree_prune, forest_predict, nn_forward, nn_sgd_step, nn_train, cross_validate_null, cross_validate_knn)}
 
 _HOLES = "select o_orderkey, case when o_orderkey % 7 = 0 then '?' else o_orderstatus end as s, case when o_orderkey % 11 = 0 then null else o_totalprice end as t, o_orderpriority as p from orders"
 _FILLED = f"with h as ({_HOLES}), m as (select s from h where s <> '?' group by s order by count(*) desc, s limit 1), f as (select o_orderkey, case when h.s = '?' then m.s else h.s end as s, round(coalesce(t, (select avg(t) from h)), 2) as t, p from h, m) "
@@ -362,6 +381,7 @@ ORACLES = {
     "discretize_equal_freq": "select p_partkey, least(greatest(floor((rank() over (order by p_size) + (count(*) over (partition by p_size) - 1) / 2.0 - 1) / 10) + 1, 1), 10)::int as p_size from part",
     "impute": _FILLED + "select o_orderkey, s as o_orderstatus, t as o_totalprice from f",
     "one_hot": "select o_orderkey, (o_orderstatus = 'O')::int as \"o_orderstatus_O\", (o_orderstatus = 'P')::int as \"o_orderstatus_P\" from orders",
+    "encode_categorical": "select o_orderkey, (o_orderstatus = 'O')::int as \"o_orderstatus_O\", (o_orderstatus = 'P')::int as \"o_orderstatus_P\", list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], o_orderpriority)::bigint as o_orderpriority from orders",
     "ordinal_encode": "select o_orderkey, list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], o_orderpriority)::bigint as o_orderpriority from orders",
     "preprocess_pipeline": _FILLED + "select o_orderkey, t as o_totalprice, list_position(['5-LOW', '4-NOT SPECIFIED', '3-MEDIUM', '2-HIGH', '1-URGENT'], p)::bigint as o_orderpriority, (s = 'O')::int as \"o_orderstatus_O\", (s = 'P')::int as \"o_orderstatus_P\" from f",
     "random_split": _quota("partition", "part", "7", [0.5, 0.3, 0.2]),
@@ -377,6 +397,14 @@ ORACLES = {
     "knn_class": "with n as (" + _MEAN5.format(y="c.p_type", d="(q.p_size - c.p_size) * (q.p_size - c.p_size) + (q.p_retailprice - c.p_retailprice) * (q.p_retailprice - c.p_retailprice)") + "), k as (select * from n qualify row_number() over (partition by p_partkey order by d, id) <= 5) " + _VOTE.format(id="p_partkey"),
     "knn_reg": "with n as (" + _MEAN5.format(y="c.p_retailprice", d="(q.p_size - c.p_size) * (q.p_size - c.p_size)") + "), k as (select * from n qualify row_number() over (partition by p_partkey order by d, id) <= 5), g as (select 1 / stddev_samp(p_retailprice) as g from part where p_partkey % 5 <> 0) select p_partkey, round(sum(exp(-g * d) * y) / sum(exp(-g * d)), 4) as prediction from k, g group by 1",
     "knn_embed": "with n as (select q.vec_id, c.vec_id as id, c.label::varchar as y, round(list_distance(q.embedding::double[], c.embedding::double[]), 9) as d from embeddings q join embeddings c on q.vec_id % 5 = 0 and c.vec_id % 5 <> 0), k as (select * from n qualify row_number() over (partition by vec_id order by d, id) <= 5) " + _VOTE.format(id="vec_id"),
+    "knn_nominal": """
+with r as (select p_partkey as id, p_brand as b, p_size / 50 as s, p_type as y, p_partkey % 5 = 0 as test from part), c as (select b, y, count(*) as n from r where not test group by all), sh as (select b, y, n / sum(n) over (partition by b) as p from c),
+f as (select vs.b, ks.y, coalesce(p, 0) as p from (select distinct b from r) vs cross join (select distinct y from c) ks left join sh on sh.b = vs.b and sh.y = ks.y), v as (select a.b as b1, d.b as b2, sum((a.p - d.p) * (a.p - d.p)) as sq from f a join f d using (y) group by all),
+n as (select q.id, t.id as tid, t.y, round(sqrt(sq + (q.s - t.s) * (q.s - t.s)), 9) as d from r q join r t on q.test and not t.test join v on b1 = q.b and b2 = t.b), k as (select * from n qualify row_number() over (partition by id order by d, tid) <= 3)
+select id as p_partkey, y as prediction from (select id, y, count(*) as c from k group by all) qualify row_number() over (partition by id order by c desc, y) = 1""",
+    "tree_nominal": """
+with r as (select p_partkey as id, p_brand as b, p_type as y, p_partkey % 5 = 0 as test from part), c as (select b, y, count(*) as n from r where not test group by all), m as (select b, y from c qualify row_number() over (partition by b order by n desc, y) = 1),
+top as (select y from c group by y order by sum(n) desc, y limit 1) select id as p_partkey, coalesce(m.y, (select y from top)) as prediction from r left join m using (b) where test""",
     "vdm_matrix": "with c as (select o_orderstatus v, o_orderpriority k, count(*) n from orders group by all), p as (select v, k, n / sum(n) over (partition by v) as p from c), f as (select vs.v, ks.k, coalesce(p, 0) as p from (select distinct v from c) vs cross join (select distinct k from c) ks left join p on p.v = vs.v and p.k = ks.k) select a.v as v1, b.v as v2, round(sum((a.p - b.p) * (a.p - b.p)), 9) as vdm_sq from f a join f b using (k) group by all",
     "nn_forward": "with x as (select p_partkey, p_size / 50.0::double a, p_retailprice / 2000 b from part), h as (select p_partkey, greatest(0.5::double * a - 0.25::double * b + 0.1::double, 0) h0, greatest(0.1::double * a + 0.3::double * b - 0.2::double, 0) h1 from x), z as (select p_partkey, h0 - h1 z0, 0.5::double * h0 + 0.25::double * h1 + 0.1::double z1 from h) select p_partkey, round(exp(z0) / (exp(z0) + exp(z1)), 6) as y0, round(exp(z1) / (exp(z0) + exp(z1)), 6) as y1 from z",
     "discretize_quantile": "select o_orderkey, least(greatest(floor((rank() over (order by o_totalprice) - 1) * 7 / (select count(*) from orders)) + 1, 1), 7)::int as o_totalprice from orders",
