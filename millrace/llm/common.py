@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.durable import discard, durable, shared_dir, written  # noqa: F401
+from ..plans.joins import spread_join  # noqa: F401
 
 #: A word is a maximal run of characters other than space and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,25 +27,10 @@ def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-#: Rows of a key up to which a join leaves the key to one task.
-KEY_ROWS = 4096
-
-
-def spread_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, size: str, total: int, how: str = "inner", key_rows: int = KEY_ROWS) -> DataFrame:
-    """``left`` joined with ``right`` (one row a key), whose column ``size`` counts the key's rows in ``left``, ``total`` in all.
-
-    Heavy keys have over ``key_rows`` rows and over a thousandth of all: they are fewer than a thousand, so they go out by broadcast
-    and their rows stay where they are; only rows of other keys are shuffled. Without heavy keys, which a count finds out, it is
-    a plain join. Column names must differ. how: inner or left.
-    """
-    least = max(key_rows, total // 1000)
-    top = right.filter(F.col(size) > least)
-    same = F.col(left_key) == F.col(right_key)
-    if total <= least or top.isEmpty():
-        return left.join(right, same, how)
-    heavy = left.join(F.broadcast(top), same)
-    others = left.join(F.broadcast(top.select(F.col(right_key).alias("_top"))), F.col(left_key) == F.col("_top"), "left_anti")
-    return heavy.unionByName(others.join(right.filter(F.col(size) <= least), same, how))
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or with a number behind it if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    return next(n for n in (name, *(f"{name}{i}" for i in range(len(taken) + 1))) if n.lower() not in taken)
 
 
 def one_length(vectors: DataFrame, column: str) -> DataFrame:

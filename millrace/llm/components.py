@@ -5,29 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, spread_join, written
+from .common import discard, shuffle_partitions, spread_join, written
 
-#: Links of a node up to which they meet in one task.
-HUB = 100_000
+#: Links of a node up to which they meet in one task; links that are worth a task of their own.
+HUB, TASK_LINKS = 100_000, 50_000
 
 
-def _least(edges: DataFrame) -> DataFrame:
+def _tasks(df: DataFrame, links: int) -> DataFrame:
+    """``df`` in no more tasks than its links are worth, if that is fewer than a shuffle makes: many rounds over few links are all overhead."""
+    wanted = max(df.sparkSession.sparkContext.defaultParallelism, -(-links // TASK_LINKS))
+    return df.coalesce(wanted) if wanted < shuffle_partitions(df.sparkSession) else df
+
+
+def _least(edges: DataFrame, links: int) -> DataFrame:
     """(_u, m, degree): of each u its least neighbour and the number of its links."""
-    return edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"), F.count("*").alias("degree"))
+    return _tasks(edges.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"), F.count("*").alias("degree")), links)
 
 
 def _large_star(edges: DataFrame, links: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = _least(both).withColumn("m", F.least("_u", "m"))
+    least = _least(both, links).withColumn("m", F.least("_u", "m"))
     # a hub's links stay where they are: only its least neighbour goes to them
-    return spread_join(both.filter("v > u"), least, "u", "_u", "degree", 2 * links, key_rows=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+    moved = spread_join(both.filter("v > u"), least, "u", "_u", "degree", 2 * links, key_rows=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+    return _tasks(_tasks(moved, links).distinct(), links)
 
 
 def _small_star(edges: DataFrame, links: int) -> DataFrame:
     """Takes edges with u > v."""
-    least = _least(edges)
+    least = _least(edges, links)
     moved = spread_join(edges, least, "u", "_u", "degree", links, key_rows=HUB).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-    return moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))).distinct()
+    return _tasks(_tasks(moved.unionByName(least.select(F.col("_u").alias("u"), F.col("m").alias("v"))), links).distinct(), links)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, table
@@ -105,38 +105,45 @@ def _runs(rows: DataFrame, grams: dict[str, list[str]], threshold: float) -> Dat
     """(doc_id, licence, dice, units, runs): runs of two or more lines that are like a template; runs counts disjoint ones of each row.
 
     A match holds at least threshold / (2 - threshold) of the template's bigrams and gains by dropping outer lines that hold none, so only
-    runs between lines that hold some, and hold enough together, are compared. Lines without words are passed over. Runs have at
-    most twice the words that the largest matching unit has bigrams. Sums over runs are differences of running sums.
+    runs between lines that hold some, and hold enough together, are compared. Lines without words are passed over. A run has, by
+    definition, at most twice the words that the largest matching unit has bigrams. Every line is a row: running sums over a text's
+    lines are windows, and a start that has enough bigrams ahead meets the lines ahead by an equal join on ranges of that many
+    words, so the work is in proportion to the lines of a text.
     """
     low, high = threshold / (2 - threshold), (2 - threshold) / threshold
-    lines = F.filter(F.transform(F.split("text", "\n"), _normalised), lambda x: x != "")
-    rows = rows.filter(F.contains("text", F.lit("\n"))).select("doc_id", "licences", _once(F.transform(lines, lambda x: F.split(x, " ")), "lines")).filter(F.size("lines") > 1)
-    held = F.transform("lines", lambda w, i: _bigrams(F.concat(w, F.coalesce(F.slice(F.get("lines", i + 1), 1, 1), F.array().cast("array<string>")))))
-    running = lambda x: F.aggregate(x, F.array(F.lit(0)), lambda a, v: F.concat(a, F.array(F.element_at(a, -1) + v)))
-    rows = rows.select("doc_id", "licences", "lines", _once(held, "held"), running(F.transform("lines", F.size)).alias("upto"))
-    rows = rows.select("doc_id", "lines", "held", "upto", F.explode("licences").alias("licence")).withColumn("t", F.element_at(_templates(grams), F.col("licence")))
-    rows = rows.select("doc_id", "lines", "upto", "licence", "t", _once(F.transform("held", lambda b: F.size(F.array_intersect(b, F.col("t")))), "h"))
-    need, span = F.size("t") * low - 1e-9, F.ceil(F.size("t") * 2 * high).cast("int")
-    rows = rows.select("*", _once(running(F.col("h")), "sums")).filter(F.element_at("sums", -1) >= need)
-    size, h, sums, upto = F.size("lines"), F.col("h"), F.col("sums"), F.col("upto")
-    words = lambda i, j: F.get(upto, j + 1) - F.get(upto, i)
-
-    def ends(i: Column) -> Column:
-        near = F.when(i + 1 < size, F.sequence(i + 1, F.least(size - 1, i + span))).otherwise(F.array().cast("array<int>"))
-        enough = F.filter(near, lambda j: ((F.get(h, j) > 0) | (F.get(h, j - 1) > 0)) & (F.get(sums, j + 1) - F.get(sums, i) >= need) & (words(i, j) <= span))
-        return F.transform(enough, lambda j: F.struct(j.alias("end"), i.alias("start")))
-
-    starts = F.filter(F.sequence(F.lit(0), size - 1), lambda i: F.get(h, i) > 0)
-    rows = rows.select("doc_id", "lines", "licence", "t", _once(F.flatten(F.transform(starts, ends)), "runs"))
-
-    def compared(r: Column) -> Column:
-        b = _bigrams(F.flatten(F.slice("lines", r["start"] + 1, r["end"] - r["start"] + 1)))
-        return F.struct(r["end"].alias("end"), r["start"].alias("start"), (2.0 * F.size(F.array_intersect(b, F.col("t"))) / (F.size(b) + F.size("t"))).alias("dice"))
-
-    rows = rows.select("doc_id", "licence", _once(F.array_sort(F.filter(F.transform("runs", compared), lambda r: r["dice"] >= threshold)), "runs")).filter(F.size("runs") > 0)
+    span = {k: -(-2 * len(g) * high // 1) for k, g in grams.items()}
+    width = int(max(span.values()))
+    words = F.split("norm", " ")
+    each = rows.filter(F.contains("text", F.lit("\n"))).select("rid", "doc_id", "licences", F.posexplode(F.split("text", "\n")).alias("li", "line"))
+    each = each.select("rid", "doc_id", "licences", "li", _once(_normalised(F.col("line")), "norm")).filter("norm <> ''").select("rid", "doc_id", "licences", "li", _once(words, "w"))
+    text = Window.partitionBy("rid").orderBy("li")
+    lines = each.withColumns({"i": F.row_number().over(text), "upto": F.sum(F.size("w")).over(text.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "first": F.lead(F.get("w", F.lit(0))).over(text)})
+    held = _bigrams(F.concat("w", F.when(F.col("first").isNotNull(), F.array("first")).otherwise(F.array().cast("array<string>"))))
+    lines = lines.select("rid", "doc_id", "licences", "i", "upto", "w", _once(held, "grams")).select("rid", "doc_id", "i", "upto", "w", "grams", F.explode("licences").alias("licence"))
+    counted = lines.select("rid", "doc_id", "licence", "i", "upto", "w", F.size(F.array_intersect("grams", F.element_at(_templates(grams), F.col("licence")))).alias("h"))
+    one = Window.partitionBy("rid", "licence").orderBy("i")
+    counted = durable(counted.withColumns({"sums": F.sum("h").over(one.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "ends": (F.col("h") > 0) | (F.coalesce(F.lag("h").over(one), F.lit(0)) > 0)}))
+    of = lambda values: F.element_at(F.create_map(*[x for k, v in sorted(values.items()) for x in (F.lit(k), F.lit(v))]), F.col("licence"))
+    need = of({k: len(g) * low - 1e-9 for k, g in grams.items()})
+    ahead = Window.partitionBy("rid", "licence").orderBy("upto").rangeBetween(Window.currentRow, width)
+    starts = counted.filter("h > 0").withColumn("_most", F.max("sums").over(ahead)).filter(F.col("_most") - F.col("sums") + F.col("h") >= need)
+    bucket = lambda c: F.call_function("div", F.col(c), F.lit(width).cast("long"))
+    starts = starts.select(F.col("rid").alias("_rid"), F.col("licence").alias("_licence"), F.col("i").alias("start"), (F.col("upto") - F.size("w")).alias("_words"), (F.col("sums") - F.col("h")).alias("_sums"), F.explode(F.array(bucket("upto"), bucket("upto") + 1)).alias("_bucket"))
+    near = (F.col("i") >= F.col("start")) & (F.col("upto") - F.col("_words") <= of(span))
+    met = counted.withColumn("bucket", bucket("upto")).join(starts, (F.col("rid") == F.col("_rid")) & (F.col("licence") == F.col("_licence")) & (F.col("bucket") == F.col("_bucket"))).filter(near)
+    line = F.struct("i", "w", (F.col("ends") & (F.col("sums") - F.col("_sums") >= need)).alias("ends"))
+    found = met.groupBy("rid", "doc_id", "licence", "start").agg(F.array_sort(F.collect_list(line), lambda x, y: x["i"] - y["i"]).alias("ls")).withColumn("t", F.element_at(_templates(grams), F.col("licence")))
+
+    def compared(k: Column) -> Column:
+        b = _bigrams(F.flatten(F.transform(F.slice("ls", F.lit(1), k), lambda x: x["w"])))
+        return F.struct((F.col("start") + k - 1).alias("end"), F.col("start").alias("start"), (2.0 * F.size(F.array_intersect(b, F.col("t"))) / (F.size(b) + F.size("t"))).alias("dice"))
+
+    places = F.filter(F.sequence(F.lit(1), F.size("ls")), lambda k: (k > 1) & F.element_at("ls", k)["ends"])
+    runs = found.select("rid", "doc_id", "licence", F.explode(F.filter(F.transform(places, compared), lambda r: r["dice"] >= threshold)).alias("r"))
+    runs = runs.groupBy("rid", "doc_id", "licence").agg(F.max("r.dice").alias("dice"), F.array_sort(F.collect_list("r")).alias("runs"))
     zero = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("n"))
     disjoint = F.aggregate("runs", zero, lambda a, r: F.when(r["start"] > a["end"], F.struct(r["end"].alias("end"), (a["n"] + 1).alias("n"))).otherwise(a), lambda a: a["n"])
-    return rows.select("doc_id", "licence", F.array_max(F.transform("runs", lambda r: r["dice"])).alias("dice"), F.lit(0).cast("long").alias("units"), disjoint.cast("long").alias("runs"))
+    return runs.select("doc_id", "licence", "dice", F.lit(0).cast("long").alias("units"), disjoint.cast("long").alias("runs"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -151,7 +158,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
     so nothing is joined; one aggregate by doc_id and licence follows.
     """
     grams = {k: bigrams(v) for k, v in templates.items()}
-    rows = durable(_candidates(docs, grams, threshold))
+    rows = durable(_candidates(docs, grams, threshold).withColumn("rid", F.monotonically_increasing_id()))
     found = _units(rows, grams, threshold).unionByName(_runs(rows, grams, threshold))
     return found.groupBy("doc_id", "licence").agg(F.max("dice").alias("dice"), F.greatest(F.sum("units"), F.sum("runs")).alias("matches"))
 

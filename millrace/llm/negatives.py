@@ -293,7 +293,7 @@ def mine(vectors: DataFrame, every: int = 100, positives: int = 5, negatives: in
     anchors = durable(anchors)
     top = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
     pivots = min(MOST_PIVOTS, max(LEAST_PIVOTS, anchors.count() // ANCHORS_PER_PIVOT))
-    picked = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "v").limit(pivots).collect()]
+    picked = [r["v"] for r in rows.orderBy(F.xxhash64("vec_id", F.lit(11)), "vec_id", "v").limit(pivots).collect()] or [[0.0]]
     cells = _Cells(np.unique(np.array(picked, float).reshape(len(picked), -1), axis=0), top or 0.0)
     sent = rows.sparkSession.sparkContext.broadcast(cells)
 

@@ -77,12 +77,16 @@ class _Words(dict):
         """Ids of a whole text."""
         if self.start in x and self.marked.search(x):
             return b"".join(self.marks[p] if p in self.marks else self.text(p) for p in self.marked.split(x) if p)
-        return b"".join(map(self.__getitem__, _BLANKS.split(x) if _FAR.search(x) else x.lower().split()))
+        if _FAR.search(x):
+            return b"".join(map(self.__getitem__, _BLANKS.split(x)))
+        # lower case could turn other letters into a mark: such a text's words stay as they are
+        return b"".join(map(self.__getitem__, x.split() if self.start in x else x.lower().split()))
 
     def encode(self, word: str) -> bytes:
-        if _FAR.search(word):
+        low = word.lower()
+        if _FAR.search(word) or _FAR.search(low):
             return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        word = word.lower()
+        word = low
         if word.isalpha():
             return self.merged(word)
         if word[-1:] in _STOPS and word[:-1].isalpha():

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_RE, durable, small_batches, table
+from .common import WORD_RE, durable, fresh, small_batches, table
 
 #: Labelled rows that the model is fitted on, at most; taken by hash of the id.
 SAMPLE = 20_000
@@ -173,11 +173,15 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Rules:
     return fit_rules(x, np.array([r[1] for r in got], float))
 
 
-def scored(docs: DataFrame, rules: Rules) -> DataFrame:
-    """``docs`` with ``_score``. Rules are column expressions over statistics of the whole text; null and empty texts are scored too."""
+def scored(docs: DataFrame, rules: Rules, name: str = "_score") -> DataFrame:
+    """``docs`` with the score as column ``name``, which docs must not have: its own columns all stay. Rules are column expressions over
+    statistics of the whole text; null and empty texts are scored too."""
+    if name in docs.columns:
+        raise ValueError(f"there is a column {name!r} already")
     small_batches(docs.sparkSession)
-    with_stats = docs.withColumn("_millrace_stats", stats_column(F.col("text")))
-    return with_stats.withColumn("_score", rules.column(F.col("_millrace_stats"))).drop("_millrace_stats")
+    held = fresh(docs, "_millrace_stats")
+    with_stats = docs.withColumn(held, stats_column(F.col("text")))
+    return with_stats.withColumn(name, rules.column(F.col(held))).drop(held)
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -231,11 +231,10 @@ def candidate_groups(classes: DataFrame, similarity: float, block: int = BLOCK)
     inside = durable(spread_join(keyed, met, "key", "_key", "k", total).select("key", "node", "u", "k"))
     stars = durable(inside.filter("node > u").select("u", F.col("node").alias("v")).distinct())
     links = durable(_likely_pairs(stars, classes, similarity))
-    first = components(links).select(F.col("node").alias("_node"), "root")
-    several = inside.filter("k > 2").select("key", "node", "k").join(first, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("root", "node").alias("family"))
-    several = durable(several)
-    opened = several.groupBy(F.col("key").alias("_key")).agg(F.min("family").alias("a"), F.max("family").alias("b"), F.count("*").alias("k")).filter("a < b").select("_key", "k")
-    opened = durable(opened)
+    # the least class that a class is found alike in any bucket: copies of one text agree on it, unless chance hides it from one
+    first = links.groupBy(F.col("v").alias("_node")).agg(F.min("u").alias("least"))
+    several = durable(inside.filter("k > 2").select("key", "node", "k").join(first, F.col("node") == F.col("_node"), "left").select("key", "node", F.coalesce("least", "node").alias("family")))
+    opened = durable(several.groupBy(F.col("key").alias("_key")).agg(F.min("family").alias("a"), F.max("family").alias("b"), F.count("*").alias("k")).filter("a < b").select("_key", "k"))
     dealt = deal_families(spread_join(several, opened, "key", "_key", "k", max(1, several.count())).select("key", "node", "family"), block)
     of = classes.select(F.col("node").alias("_n"), "n", "registers")
     more = _bucket_links(dealt.join(of, F.col("node") == F.col("_n")).select("key", "part", "node", "family", "n", "registers"), similarity)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import durable, one_length, table
+from .negatives import MOST, scores
 
 #: Queries that are sent to the tasks at once; with 64 components a block is 2 MB.
 BLOCK = 4096
@@ -18,24 +19,16 @@ SCALE = 256
 
 
 def quantised(vectors: DataFrame, scale: int = SCALE) -> DataFrame:
-    """(vec_id, v): floor(scale * x) of every component, as longs. Vectors that are null, empty or hold a null or non-finite component, and rows without an id, are left out."""
+    """(vec_id, v): floor(scale * x) of every component, as doubles, which hold these integers exactly at any size. Vectors that are null, empty or hold a null or non-finite component, and rows without an id, are left out."""
     e = F.transform("embedding", lambda x: x.cast("double"))
     fine = F.forall(e, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     rows = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & (F.size("embedding") > 0)).filter(fine)
-    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.floor(x * F.lit(float(scale)))).alias("v"))
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(e, lambda x: F.when(F.abs(x) < 2.0**40, F.floor(x * F.lit(float(scale))).cast("double")).otherwise(x * F.lit(float(scale)))).alias("v"))
 
 
 def _matrix(column: pa.ListArray) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1), np.int64)
-
-
-def _scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact integer inner products: through doubles while all sums stay below 2**53, else in 64-bit integers."""
-    size = float(np.abs(q).max(initial=0)) * float(np.abs(c).max(initial=0)) * q.shape[1]
-    if size >= 2**63:
-        raise OverflowError("inner products may not fit 64 bits")
-    return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64) if size < 2**53 else q @ c.T
+    return flat.reshape(len(column), -1) if len(column) else np.empty((0, 1))
 
 
 def _batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -45,7 +38,7 @@ def _batches(batches: Iterator[pa.RecordBatch], ids: np.ndarray, q: np.ndarray)
         for at in range(0, batch.num_rows, step):
             part = batch.slice(at, step)
             cand = part.column(0).to_numpy()
-            yield cand, _scores(q, _matrix(part.column(1))), ids[:, None] != cand[None, :]
+            yield cand, np.maximum(scores(q, _matrix(part.column(1))), -MOST), ids[:, None] != cand[None, :]
 
 
 def _histograms(vectors: DataFrame, sent, k: int, low: np.ndarray, width: np.ndarray) -> DataFrame:
@@ -59,7 +52,8 @@ def _histograms(vectors: DataFrame, sent, k: int, low: np.ndarray, width: np.nda
         hist = np.zeros((len(ids), BINS + 2), np.int64)
         row = np.arange(len(ids))[:, None] * (BINS + 2)
         for _, s, ok in _batches(batches, ids, q):
-            b = np.clip((s - low[:, None]) // width[:, None], -1, BINS) + 1
+            above = s.view(np.uint64) - low.view(np.uint64)[:, None]  # unsigned, as a range may be wider than 63 bits
+            b = np.where(s < low[:, None], 0, np.minimum(above // width.view(np.uint64)[:, None], BINS).astype(np.int64) + 1)
             hist += np.bincount((row + b)[ok], minlength=hist.size).reshape(hist.shape)
         above = hist[:, ::-1].cumsum(1)[:, ::-1]  # scores in this bin or higher
         at = np.maximum((above >= k).sum(1) - 1, 0)
@@ -83,7 +77,7 @@ def _kth(vectors: DataFrame, sent, ids: np.ndarray, k: int, bounds: np.ndarray)
     The histogram's range is narrowed to the bin that holds the k-th score until bins are one score wide.
     """
     low = -bounds
-    width = np.maximum(1, -(-(2 * bounds + 1) // BINS))
+    width = np.array([-(-(2 * int(b) + 1) // BINS) for b in bounds], np.int64)
     above = np.zeros(len(ids), np.int64)
     while True:
         at, got = np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
@@ -99,7 +93,7 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, b
     """(query_id, rank, vec_id, score): for each row whose vec_id ``every`` divides, the k largest integer inner products.
 
     All other rows are candidates; rows with the query's vec_id are its own. Ties go to the smaller vec_id; repeated candidates count each, a
-    repeated query id is asked once, with its least vector. Vectors of another length than most have take no part. Queries go out in
+    repeated query id is asked once, with its least vector. Scores beyond 64 bits are held at their ends. Vectors of another length than most have take no part. Queries go out in
     blocks of bounded size, one after another, each block's result being written before the next goes out; candidates are never moved: every round is a pass that scores each pair, and tasks send back only
     the upper end of a histogram. With each k-th value known, a last pass sends the scores above it and, of those equal to it, as many of
     the least ids as are wanted; so no more than k rows per task and query travel, however many vectors tie.
@@ -107,15 +101,16 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = SCALE, b
     spark = vectors.sparkSession
     cand = one_length(durable(quantised(vectors, scale)), "v")
     asked = durable(cand.filter(F.pmod("vec_id", F.lit(every)) == 0).groupBy("vec_id").agg(F.min("v").alias("v")))
-    peak = cand.select(F.transform("v", F.abs).alias("v")).agg(F.max(F.array_max("v"))).first()[0] or 0
+    peak = cand.select(F.transform("v", F.abs).alias("v")).agg(F.max(F.array_max("v"))).first()[0] or 0.0
     blocks = max(1, -(-asked.count() // block))
     dealt = asked.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
     parts = []
     for number in range(blocks):
         rows = sorted(dealt.filter(F.col("block") == number).select("vec_id", "v").collect())
-        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.int64).reshape(len(rows), -1) if rows else np.empty((0, 1), np.int64)
+        ids, q = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, 1))
         sent = spark.sparkContext.broadcast((ids, q))
-        kth, above = _kth(cand, sent, ids, k, np.abs(q).sum(1) * peak) if len(ids) else (ids, ids)
+        bounds = np.array([min(MOST, int(b * (1 + 1e-9)) + 1) for b in np.minimum(np.abs(q).sum(1) * peak, 2.0**64)], np.int64)  # of any score
+        kth, above = _kth(cand, sent, ids, k, bounds) if len(ids) else (ids, ids)
         parts.append(durable(_filtered(cand, sent, k, kth, k - above)))
         sent.unpersist()
     out = parts[0]
