@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import line_dedup, mixing, packing, quality, simhash
-from millrace.llm.common import discard, shared_dir, table, written
+from millrace.llm.common import discard, fresh, shared_dir, table, written
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, rules).filter("_score >= 0.5").select(*docs.columns)
+    score = fresh(docs, "_score")
+    return quality.scored(docs, rules, score).filter(F.col(score) >= 0.5).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
