@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
@@ -18,6 +19,8 @@ from .models import FittedModel, Model
 
 #: Training values (rows times components) that are sent to every task at once; a larger training set goes out in blocks of so many.
 BROADCAST_VALUES = 4_000_000
+#: Cells that training rows are partitioned into, at most.
+CELLS = 1024
 #: Rows that condensing takes as proposals at once: what the driver and each task hold of them.
 PROPOSED = 2048
 #: Neighbours that editing remembers of each row.
@@ -32,13 +35,25 @@ def vdm_probabilities(df: DataFrame, attribute: str, target: str = "class") -> D
     return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("value"))).drop("n")
 
 
-def vdm_matrix(df: DataFrame, attribute: str, target: str = "class") -> DataFrame:
-    """(v1, v2, vdm_sq): sum over classes of (P(c|v1) - P(c|v2))^2. An unseen value has probability 0 for all classes."""
-    p = vdm_probabilities(df, attribute, target)
-    values, classes = p.select("value").distinct(), p.select("class").distinct()
-    full = values.crossJoin(classes).join(p, ["value", "class"], "left").fillna(0.0, ["p"])
-    a, b = full.select(F.col("value").alias("v1"), "class", F.col("p").alias("p1")), full.select(F.col("value").alias("v2"), "class", F.col("p").alias("p2"))
-    return a.join(b, "class").groupBy("v1", "v2").agg(F.sum((F.col("p1") - F.col("p2")) * (F.col("p1") - F.col("p2"))).alias("vdm_sq"))
+def vdm_matrix(df: DataFrame, attribute: str, target: str = "class", pairs: DataFrame | None = None) -> DataFrame:
+    """(v1, v2, vdm_sq): sum over classes of (P(c|v1) - P(c|v2))^2. An unseen value has probability 0 for all classes.
+
+    Shares are kept for the classes that a value has: the square is that of both norms less twice the inner product, which values meet for
+    by the classes they share. All pairs of values come out, their number squared; for attributes of very many values give ``pairs``(v1, v2).
+    """
+    p = durable(vdm_probabilities(df, attribute, target))
+    norms = p.groupBy("value").agg(F.sum(F.col("p") * F.col("p")).alias("n"))
+    a, b = norms.select(F.col("value").alias("v1"), F.col("n").alias("n1")), norms.select(F.col("value").alias("v2"), F.col("n").alias("n2"))
+    met = p.select(F.col("value").alias("_a"), "class", F.col("p").alias("p1")).join(p.select(F.col("value").alias("_b"), "class", F.col("p").alias("p2")), "class")
+    if pairs is None:
+        both = a.crossJoin(b)
+    else:
+        wanted = pairs.select("v1", "v2").distinct()
+        both = wanted.join(a, "v1", "left").join(b, "v2", "left").fillna(0.0, ["n1", "n2"])
+        met = met.join(wanted, (F.col("_a") == F.col("v1")) & (F.col("_b") == F.col("v2")), "left_semi")
+    inner = met.groupBy("_a", "_b").agg(F.sum(F.col("p1") * F.col("p2")).alias("dot"))
+    out = both.join(inner, F.col("v1").eqNullSafe(F.col("_a")) & F.col("v2").eqNullSafe(F.col("_b")), "left")
+    return out.select("v1", "v2", F.greatest(F.col("n1") + F.col("n2") - 2 * F.coalesce("dot", F.lit(0.0)), F.lit(0.0)).alias("vdm_sq"))
 
 
 class Vectors:
@@ -80,66 +95,138 @@ def _neighbours_by_join(test: DataFrame, train: DataFrame, k: int, exclude_self:
     return pairs.select("_tid", "_id", "_y", d.alias("_d")).withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def _neighbours_by_broadcast(test: DataFrame, ids: np.ndarray, x: np.ndarray, y: np.ndarray, k: int, exclude_self: bool, kind: str) -> DataFrame:
-    sent = test.sparkSession.sparkContext.broadcast((ids, x, y))
+class _Block:
+    """Training rows by cell: a cell's rows lie within its radius of its pivot."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, y: np.ndarray, pivots: np.ndarray):
+        d = _distances(x, pivots) if len(x) else np.empty((0, len(pivots)))
+        cell = d.argmin(1) if len(x) else np.empty(0, np.int64)
+        order = np.lexsort((ids, cell))
+        self.ids, self.x, self.y, self.pivots = ids[order], x[order], y[order], pivots
+        self.start = np.searchsorted(cell[order], np.arange(len(pivots) + 1))
+        self.radius = np.zeros(len(pivots))
+        np.maximum.at(self.radius, cell, d[np.arange(len(x)), cell])
+
+    def search(self, tid: np.ndarray, tx: np.ndarray, k: int, exclude_self: bool, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+        """Merge this block's rows into near(distance, id, output), the k nearest of each test row so far; returns how many pairs were compared.
+
+        A test row meets its own cell first, and another only if the triangle inequality lets that hold a row nearer than its k-th so far.
+        """
+        to_pivot = _distances(tx, self.pivots)
+        filled = np.flatnonzero(np.diff(self.start))
+        if not len(filled):
+            return 0
+        own = filled[to_pivot[:, filled].argmin(1)]
+        compared = 0
+        for first in (True, False):
+            for c in filled.tolist():
+                if first:
+                    rows = np.flatnonzero(own == c)
+                else:
+                    least = to_pivot[:, c] - self.radius[c]
+                    rows = np.flatnonzero((own != c) & ~(least - 1e-8 * (1 + to_pivot[:, c]) > near[0][:, -1]))
+                a, b = self.start[c], self.start[c + 1]
+                step = max(1, 2_000_000 // int(b - a))
+                for at in range(0, len(rows), step):
+                    compared += self.meet(rows[at : at + step], int(a), int(b), tid, tx, k, exclude_self, near)
+        return compared
+
+    def meet(self, rows: np.ndarray, a: int, b: int, tid: np.ndarray, tx: np.ndarray, k: int, exclude_self: bool, near: tuple[np.ndarray, np.ndarray, np.ndarray]) -> int:
+        pairs = len(rows) * (b - a)
+        d = np.round(_distances(tx[rows], self.x[a:b]), DIGITS)
+        if exclude_self:
+            d[tid[rows][:, None] == self.ids[None, a:b]] = np.inf
+        some = np.flatnonzero((d <= near[0][rows, -1][:, None]).any(1))
+        rows, d = rows[some], d[some]
+        if len(rows):
+            both = np.concatenate([near[0][rows], d], 1)
+            ids = np.concatenate([near[1][rows], np.broadcast_to(self.ids[a:b], d.shape)], 1)
+            best = np.lexsort((ids, both), axis=-1)[:, :k]
+            says = np.concatenate([near[2][rows], np.broadcast_to(self.y[a:b], d.shape)], 1)
+            for held, new in zip(near, (both, ids, says), strict=True):
+                held[rows] = np.take_along_axis(new, best, 1)
+        return pairs
+
+
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    d = np.zeros((len(a), len(b)))
+    for j in range(a.shape[1]):
+        d += (a[:, j][:, None] - b[:, j][None, :]) ** 2
+    return np.sqrt(d)
+
+
+def _points(column: pa.Array, rows: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(rows, -1) if rows else np.empty((0, 1))
+
+
+def _met(state: DataFrame, block: _Block, k: int, exclude_self: bool, kind: str, count) -> DataFrame:
+    """state(_id, _x, _ds, _ids, _ys) with the k nearest rows so far, after one block more."""
+    sent = state.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, x, y = sent.value
-        step = max(1, 4_000_000 // max(1, x.size))
         for batch in batches:
-            tid = batch.column(0).to_numpy()
-            tx = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(len(tid), -1) if len(tid) else np.empty((0, 1))
-            out: list[list] = [[], [], [], []]
-            for at in range(0, len(tid), step):
-                part, who = tx[at : at + step], tid[at : at + step]
-                if not len(ids):
-                    continue
-                d = np.zeros((len(part), len(ids)))
-                for j in range(x.shape[1]):
-                    d += (part[:, j][:, None] - x[:, j][None, :]) ** 2
-                d = np.round(np.sqrt(d), DIGITS)
-                if exclude_self:
-                    d[who[:, None] == ids[None, :]] = np.inf
-                m = min(k, len(ids))
-                edge = np.partition(d, m - 1, 1)[:, m - 1]
-                for i in range(len(part)):
-                    near = np.flatnonzero(d[i] <= edge[i])
-                    near = near[np.lexsort((ids[near], d[i, near]))][:m]
-                    near = near[np.isfinite(d[i, near])]
-                    out[0] += [int(who[i])] * len(near)
-                    out[1] += ids[near].tolist()
-                    out[2] += y[near].tolist()
-                    out[3] += d[i, near].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string() if kind == "string" else pa.float64()), pa.array(out[3], pa.float64())], names=["_tid", "_id", "_y", "_d"])
-
-    return test.select("_id", "_x").mapInArrow(run, f"_tid long, _id long, _y {kind}, _d double")
-
-
-def nearest(test: DataFrame, train: DataFrame, k: int, exclude_self: bool, labels: bool, strategy: str = "auto") -> DataFrame:
+            n = batch.num_rows
+            if not n:
+                continue
+            held = batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            near = np.full((n, k), np.inf), np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), None if kind == "string" else np.nan, object if kind == "string" else float)
+            for i, lists in enumerate(zip(*held, strict=True)):
+                for x, values in zip(near, lists, strict=True):
+                    x[i, : len(values)] = values
+            count.add(sent.value.search(batch.column(0).to_numpy(), _points(batch.column(1), n), k, exclude_self, near))
+            size = np.isfinite(near[0]).sum(1).tolist()
+            lists = [[x[i, :m].tolist() for i, m in enumerate(size)] for x in near]
+            kinds = (pa.float64(), pa.int64(), pa.string() if kind == "string" else pa.float64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(x, pa.list_(t)) for x, t in zip(lists, kinds, strict=True))], names=["_id", "_x", "_ds", "_ids", "_ys"])
+
+    return state.mapInArrow(run, f"_id long, _x array<double>, _ds array<double>, _ids array<long>, _ys array<{kind}>")
+
+
+def _blocks(train: DataFrame, pivots: np.ndarray, values: int) -> tuple[DataFrame, int]:
+    """``train`` with _block: cells go to blocks one after another, each of BROADCAST_VALUES values at most; a larger cell is dealt over several by hash."""
+    sent = train.sparkSession.sparkContext.broadcast(pivots)
+    if values <= BROADCAST_VALUES:
+        return train.withColumn("_block", F.lit(0)), 1
+
+    @F.pandas_udf("long")
+    def cell(x: pd.Series) -> pd.Series:
+        return pd.Series(_distances(np.array(x.tolist(), float).reshape(len(x), -1), sent.value).argmin(1) if len(x) else np.empty(0, np.int64))
+
+    placed = durable(train.withColumn("_cell", cell("_x")))
+    first, pieces, block, used = [0] * len(pivots), [1] * len(pivots), 0, 0
+    for r in placed.groupBy("_cell").agg(F.sum(F.size("_x")).alias("n")).orderBy("_cell").collect():  # a row for each pivot
+        c, n = r["_cell"], r["n"]
+        if used and used + n > BROADCAST_VALUES:
+            block, used = block + 1, 0
+        first[c], pieces[c] = block, max(1, -(-n // BROADCAST_VALUES))
+        block, used = block + pieces[c] - 1, used + n if pieces[c] == 1 else BROADCAST_VALUES
+    at = lambda v: F.get(F.array(*[F.lit(i) for i in v]), F.col("_cell").cast("int"))
+    return placed.withColumn("_block", at(first) + F.pmod(F.xxhash64("_id"), at(pieces)).cast("int")).drop("_cell"), block + 1
+
+
+def nearest(test: DataFrame, train: DataFrame, k: int, exclude_self: bool, labels: bool, strategy: str = "auto", count=None) -> DataFrame:
     """(_tid, _id, _y, _d): for each row of test(_id, _x) the k nearest of train(_id, _x, _y), ties to the smaller id.
 
-    Training rows are sent to every task in blocks of BROADCAST_VALUES components, dealt by hash of the id; of each block k rows come
-    back for each test row, and the k nearest of all blocks are the result. Neither side is shuffled. strategy "join" compares
-    by a nested-loop join instead.
+    Training rows are cells around pivots, at most CELLS of them. They are sent to every task in blocks of BROADCAST_VALUES components that
+    hold whole cells; a test row carries its k nearest so far from block to block and meets only those cells that may hold a nearer
+    row. Neither side is shuffled. ``count``, an accumulator, gets the number of pairs compared. strategy "join" compares by a
+    nested-loop join instead.
     """
     if strategy == "join":
         return _neighbours_by_join(test, train, k, exclude_self)
-    values = train.agg(F.sum(F.size("_x"))).first()[0] or 0
-    blocks = max(1, -(-values // BROADCAST_VALUES))
-    parts = []
-    for b in range(blocks):
-        part = train if blocks == 1 else train.filter(F.pmod(F.xxhash64("_id"), F.lit(blocks)) == b)
-        rows = part.orderBy("_id").collect()  # about BROADCAST_VALUES components
-        ids, x = np.array([r["_id"] for r in rows], np.int64), np.array([r["_x"] for r in rows], float).reshape(len(rows), -1) if rows else np.empty((0, 1))
-        near = _neighbours_by_broadcast(test, ids, x, np.array([r["_y"] for r in rows], object if labels else float), k, exclude_self, "string" if labels else "double")
-        if blocks == 1:
-            return near
-        parts.append(durable(near))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    order = Window.partitionBy("_tid").orderBy("_d", "_id")
-    return out.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
+    spark, kind = test.sparkSession, "string" if labels else "double"
+    n, values = train.agg(F.count("*"), F.sum(F.size("_x"))).first()
+    picked = train.orderBy(F.xxhash64("_id"), "_id").limit(max(1, min(CELLS, int(3 * n**0.5)))).select("_x").toArrow().column(0).combine_chunks()
+    pivots = np.unique(_points(picked, len(picked)), axis=0) if len(picked) else np.zeros((1, 1))
+    dealt, blocks = _blocks(train, pivots, values or 0)
+    empty = [F.array().cast("array<double>").alias("_ds"), F.array().cast("array<long>").alias("_ids"), F.array().cast(f"array<{kind}>").alias("_ys")]
+    state, count = test.select("_id", "_x", *empty), count if count is not None else spark.sparkContext.accumulator(0)
+    for b in range(blocks if n else 0):
+        rows = dealt.filter(F.col("_block") == b).select("_id", "_x", "_y").toArrow()
+        ids, x = rows.column(0).to_numpy(), _points(rows.column(1).combine_chunks(), len(rows))
+        y = np.array(rows.column(2).to_pylist(), object if labels else float)
+        state = _met(state if not b else durable(state), _Block(ids, x, y, pivots), k, exclude_self, kind, count)
+    return state.select(F.col("_id").alias("_tid"), F.explode(F.arrays_zip("_ids", "_ys", "_ds")).alias("n")).select("_tid", F.col("n._ids").alias("_id"), F.col("n._ys").alias("_y"), F.col("n._ds").alias("_d"))
 
 
 @dataclass

@@ -11,12 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import hash_key, plain_hash_key
+from ..functions import plain_hash_key
 from ..plans.durable import durable
 from ..sources import DatasetSpec
 from .metrics import compute_metrics
 from .models import FittedModel, Model
-from .split import ranked
+from .split import minibatches, ranked
 
 #: Training values (rows times features), and rows, that are held in the driver. Of a larger set a batch is, if it has no more than so
 #: many; the gradient of a larger batch is added up in Spark. Batches are the same either way.
@@ -310,7 +310,17 @@ class NeuralNetwork(Model):
 
             return local
         if self.batch_size * width <= LOCAL_VALUES:
-            return lambda t: net.gradients(*arrays(rows.orderBy(hash_key(self.seed, F.lit(t), F.col("_id")), "_id").limit(self.batch_size).collect()))
+            kept, drawn = durable(rows), {}
+            ahead = max(1, min(-(-n // self.batch_size), LOCAL_VALUES // (self.batch_size * width), LOCAL_ROWS // self.batch_size, 256))
+
+            def ahead_of(t: int):
+                if t not in drawn:  # the next steps' batches, by one scan
+                    drawn.clear()
+                    for r in minibatches(kept, "_id", list(range(t, t + ahead)), self.batch_size, self.seed, n).orderBy("_step", "_rank").collect():
+                        drawn.setdefault(r["_step"], []).append(r)
+                return net.gradients(*arrays(drawn[t]))
+
+            return ahead_of
         target = F.array("_y") if classes is None else F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: (c == F.col("_y")).cast("double"))
         ready = durable(rows.select("_id", "_x", target.alias("_y")))
         return lambda t: partial_gradients(ready if self.batch_size == n else ranked(ready, "_id", f"{self.seed}:{t}").filter(F.col("_rank") < self.batch_size), net)

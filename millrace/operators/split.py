@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import bucket, hash_key
+from ..plans.durable import durable
 from ..sources import DatasetSpec
 
 
@@ -90,3 +91,26 @@ def minibatch(df: DataFrame, id_col: str, step: int, batch_size: int, seed: int
     """``batch_size`` rows drawn without replacement; another step draws independently of it. Only the least hashes of each task travel."""
     order = hash_key(seed, F.lit(step), F.col(id_col))
     return df.orderBy(order, id_col).limit(batch_size)
+
+
+def minibatches(df: DataFrame, id_col: str, steps: list[int], batch_size: int, seed: int | str = 0, rows: int | None = None) -> DataFrame:
+    """The rows of ``minibatch`` of each of ``steps``, with _step and their place _rank in it: all steps are drawn by one scan.
+
+    A row is a candidate of a step if its hash is below the batch's share of all hashes and a margin of six deviations; candidates are
+    then ranked, about a batch of them a step. A step that finds fewer than a batch, or, as ids may repeat, none at all, is drawn anew.
+    """
+    n = df.count() if rows is None else rows
+    share = min(1.0, (batch_size + 6 * batch_size**0.5 + 16) / max(1, n))
+    many = df.withColumn("_step", F.explode(F.array(*[F.lit(t) for t in steps])))
+    many = many.withColumn("_hash", hash_key(seed, F.col("_step"), F.col(id_col)))
+    if share < 1:
+        many = durable(many.filter(F.substring("_hash", 1, 8) <= format(int(share * 2**32) & 0xFFFFFFFF, "08x")))
+    per = Window.partitionBy("_step").orderBy("_hash", id_col)
+    out = many.withColumn("_rank", F.row_number().over(per) - 1).filter(F.col("_rank") < batch_size).drop("_hash")
+    if share < 1:
+        enough = {r["_step"] for r in many.groupBy("_step").count().filter(F.col("count") >= batch_size).collect()}  # a number for each step
+        for t in set(steps) - enough:
+            anew = minibatch(df, id_col, t, batch_size, seed).withColumn("_step", F.lit(t))
+            again = Window.orderBy(hash_key(seed, F.lit(t), F.col(id_col)), id_col)  # a batch of rows
+            out = out.filter(F.col("_step") != t).unionByName(anew.withColumn("_rank", F.row_number().over(again) - 1).select(*out.columns))
+    return out

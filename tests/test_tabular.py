@@ -124,6 +124,27 @@ def test_knn_in_blocks(spark, monkeypatch):
     assert got(knn.KNN(4).fit(points(spark, data), CLASS).transform(points(spark, data).drop("class"))) == whole
 
 
+@pytest.mark.parametrize("values", [10**6, 700])
+def test_neighbours_meet_few_cells(spark, monkeypatch, values):
+    monkeypatch.setattr(knn, "BROADCAST_VALUES", values)
+    rng = np.random.default_rng(4)
+    data = [(i, [float(a), float(b)], str(i % 3)) for i, (a, b) in enumerate(rng.integers(0, 400, (1500, 2)))] + [(5000 + i, [7.0, 7.0], "x") for i in range(500)]
+    train = spark.createDataFrame(data, "_id long, _x array<double>, _y string")
+    test = train.filter("_id % 10 = 0").select("_id", "_x")
+    count = spark.sparkContext.accumulator(0)
+    got_ = sorted(tuple(r) for r in knn.nearest(test, train, 4, True, True, count=count).collect())
+    ids, x = np.array([r[0] for r in data]), np.array([r[1] for r in data])
+    want = []
+    for i, p, _ in data:
+        if i % 10 == 0:
+            d = np.round(np.sqrt(((x - p) ** 2).sum(1)), 9)
+            d[ids == i] = np.inf
+            want += [(i, int(ids[j]), data[j][2], float(d[j])) for j in np.lexsort((ids, d))[:4]]
+    assert got_ == sorted(want)
+    # a quarter of the rows are one point, which 50 of the 200 test rows meet; small blocks learn their bounds one after another
+    assert 0 < count.value < (0.15 if values == 10**6 else 0.6) * test.count() * len(data)
+
+
 def test_edited_knn_stops_with_the_rows_before(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
@@ -486,3 +507,23 @@ print("WRONG", model.transform(df.filter("row_id % 97 = 0")).filter("prediction
     root = __file__.rsplit("/tests/", 1)[0]
     out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root, timeout=900)
     assert "LEAVES 262144 OPENED" in out.stdout and "WRONG 0 2703" in out.stdout, out.stdout + out.stderr[-3000:]
+
+
+def test_batches_of_many_steps_by_one_scan_equal_those_of_each(spark):
+    df = spark.range(6000).withColumnRenamed("id", "row_id")
+    got_ = split.minibatches(df, "row_id", list(range(1, 7)), 20, 5).orderBy("_step", "_rank").collect()
+    for t in range(1, 7):
+        assert [r["row_id"] for r in got_ if r["_step"] == t] == [r["row_id"] for r in split.minibatch(df, "row_id", t, 20, 5).collect()]
+    same = spark.range(3000).select(F.lit(7).alias("row_id"))  # all hashes of a step are one: it finds all rows or none
+    assert {r["_step"]: r["count"] for r in split.minibatches(same, "row_id", [1, 2, 3], 20).groupBy("_step").count().collect()} == {1: 20, 2: 20, 3: 20}
+
+
+def test_value_differences_of_listed_pairs(spark):
+    df = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "x"), ("c", "z"), ("c", "z"), ("c", "y")], "n string, class string")
+    share = {"a": {"x": 0.5, "y": 0.5}, "b": {"x": 1.0}, "c": {"z": 2 / 3, "y": 1 / 3}, "new": {}}
+    want = {(p, q): sum((share[p].get(c, 0) - share[q].get(c, 0)) ** 2 for c in "xyz") for p in share for q in share}
+    full = {(r["v1"], r["v2"]): r["vdm_sq"] for r in knn.vdm_matrix(df, "n").collect()}
+    assert set(full) == {k for k in want if "new" not in k} and all(abs(v - want[k]) < 1e-12 for k, v in full.items())
+    pairs = spark.createDataFrame([("a", "c"), ("b", "b"), ("new", "a"), ("a", "c")], "v1 string, v2 string")
+    some = {(r["v1"], r["v2"]): r["vdm_sq"] for r in knn.vdm_matrix(df, "n", pairs=pairs).collect()}
+    assert set(some) == {("a", "c"), ("b", "b"), ("new", "a")} and all(abs(v - want[k]) < 1e-12 for k, v in some.items())
