@@ -477,12 +477,12 @@ def test_pruning_and_walking_over_opened_nodes_equal_those_in_one_task(spark, mo
     shape = lambda m: sorted(((r["depth"], r["n"], r["label"], r["attribute"], r["threshold"], r["branch"]) for r in m.table.collect()), key=str)
     whole = model.fit(train, spec)
     says = got(whole.transform(val))
-    monkeypatch.setattr(tree, "TASK_VALUES", 50)
+    monkeypatch.setattr(tree, "TASK_VALUES", 130)
+    monkeypatch.setattr(tree, "WALK_ROWS", 7)
     monkeypatch.setattr(tree, "SENT_NODES", 0)
     monkeypatch.setattr(tree, "CASE_NODES", 0)
     opened = model.fit(train, spec)
     assert shape(opened) == shape(whole) and 1 < whole.size
-    monkeypatch.setattr(tree, "WALK_ROWS", 7)
     assert got(opened.transform(val)) == says
     with pytest.raises(ValueError, match="stay in their table"):
         opened.trees  # noqa: B018
