@@ -12,7 +12,7 @@ import pytest
 from fixtures import CLASHES, documents, empty, rows
 from pyspark.sql import functions as F
 
-from millrace.llm import licences, merkle, negatives, packing, quality, setsketch, topk
+from millrace.llm import chat, licences, merkle, negatives, packing, quality, setsketch, topk
 
 LOW = str.maketrans({c: c + 32 for c in range(65, 91)})
 
@@ -289,3 +289,19 @@ def test_licence_scan_time_is_linear_in_lines(spark):
 
     took(100)
     assert took(40_000) < took(10_000) * 5 + 8
+
+
+def test_prompt_totals_equal_those_of_all_prompts(spark):
+    data = [(1, 0, "system", "\\h ### x: y"), (1, 1, "user", "hi"), (1, 2, "assistant", "yes"), (1, 3, "assistant", ""), (1, 4, "user", "end"), (2, 1, "assistant", "only é"), (3, 0, None, None), (None, None, "user", "z"), (None, 5, "assistant", "w")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    want = {}
+    number = lambda x: int(hashlib.md5(x.encode()).hexdigest()[:8], 16)
+    for r in chat.examples(df).collect():
+        turns = [t + chat.CLOSE for t in r["prompt"].split(chat.CLOSE)]
+        if r["target_turn"] is None:
+            turns = turns[:-1]
+        else:
+            turns[-1] = turns[-1].removesuffix(chat.CLOSE)
+        n, chars, total = want.get(r["conv_id"], (0, 0, 0))
+        want[r["conv_id"]] = n + 1, chars + len(r["prompt"]), (total + sum(i * number(t) for i, t in enumerate(turns, 1))) % chat.PRIME
+    assert {r["conv_id"]: (r["n_examples"], r["prompt_chars"], r["prompt_digest"]) for r in chat.digests(df).collect()} == want
