@@ -276,15 +276,18 @@ def op11_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = r"""
 with recursive d as (select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
-sets as (select rid, doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as s from d),
-classes as (select min(rid) as cid, min(doc_id) as least, s, len(s) as n from sets where len(s) > 0 group by s),
-texts as (select cid, n, unnest(s) as g from classes),
+words as (select rid, unnest(w) as x, generate_subscripts(w, 1) as i, len(w) as n from d),
+runs as (select rid, i, n, string_agg(x, ' ') over (partition by rid order by i rows between current row and 4 following) as g from words),
+shingles_ as (select distinct rid, md5(g) as g from runs where i = 1 or i <= n - 4),
+sets as (select d.rid, doc_id, coalesce(k.n, 0) as n, k.key from d left join (select rid, count(*) as n, md5(string_agg(g, '' order by g)) as key from shingles_ group by rid) k using (rid)),
+classes as (select min(rid) as cid, min(doc_id) as least, key, any_value(n) as n from sets where n > 0 group by key),
+texts as (select cid, n, g from shingles_ join classes on cid = rid),
 names as (select g, row_number() over () as k from (select g from texts group by g having count(*) > 1)),
 shingles as (select cid, n, k as g from texts join names using (g)),
 links as (select a.cid as u, b.cid as v from shingles a join shingles b on a.g = b.g and a.cid < b.cid and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by a.cid, b.cid, a.n, b.n having 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 both_ as (select u, v from links union all select v, u from links),
 reach(cid, id) as (select cid, least from classes union select v, id from reach join both_ on u = cid),
 named as (select cid, min(id) as component from reach group by cid)
-select doc_id, len(sets.s) as n_shingles, case when len(sets.s) = 0 then doc_id else component end as component_id, doc_id is not distinct from case when len(sets.s) = 0 then doc_id else component end as kept
-from sets left join classes on classes.s = sets.s left join named using (cid)
+select doc_id, sets.n as n_shingles, case when sets.n = 0 then doc_id else component end as component_id, doc_id is not distinct from case when sets.n = 0 then doc_id else component end as kept
+from sets left join classes on classes.key = sets.key left join named using (cid)
 """
