@@ -21,7 +21,7 @@ DIGITS = 12
 #: Ranges that the values of an attribute are cut into, so that running sums of a node with very many values have no single task.
 RANGES = 64
 #: Values (rows times attributes) up to which a node may be grown to its end by one task; rows up to which it is, whatever its share of all.
-TASK_VALUES, TASK_ROWS = 2_000_000, 8192
+TASK_VALUES, TASK_ROWS = 2_000_000, 65_536
 #: Nodes up to which a forest is scored by nested CASE expressions, and up to which it is sent to all tasks as arrays.
 CASE_NODES, SENT_NODES = 200, 100_000
 #: Rows that meet one subtree of a larger forest at once.
@@ -152,8 +152,8 @@ class Grower:
         while True:
             sizes = durable(state.groupBy(F.col("_node").alias("_key")).agg(F.count("*").alias("_rows")))
             total = total or sizes.agg(F.sum("_rows")).first()[0] or 0
-            # a node goes to a task if it fits, and if it is small or one of many
-            small = (F.col("_rows") * max(1, len(self.cols)) <= TASK_VALUES) & ((F.col("_rows") <= TASK_ROWS) | (F.col("_rows") * tasks <= total))
+            # a node goes to a task if it fits, and if it is small or one of many, or if there were levels enough to make many
+            small = (F.col("_rows") * max(1, len(self.cols)) <= TASK_VALUES) & ((F.col("_rows") <= TASK_ROWS) | (F.col("_rows") * tasks <= total) | F.lit(2**depth >= tasks))
             got = sizes.agg(F.count("*"), F.coalesce(F.count_if(small), F.lit(0)), F.sum("_rows")).first()
             if not got[0]:
                 break
