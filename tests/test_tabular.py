@@ -164,6 +164,24 @@ def test_cross_validated_neighbours_pass_no_rows_through_the_driver(spark, monke
     assert max(seen) < 50
 
 
+@pytest.mark.parametrize("exclude_self", [False, True])
+def test_classes_by_blocks_pieces_and_slices(spark, monkeypatch, exclude_self):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.integers(0, 30, (200, 2)), 500 + rng.random((300, 2))]).astype(float)  # copies, and a cell of most rows
+    data = [(i, p.tolist(), str(i % 3)) for i, p in enumerate(x)]
+    train = spark.createDataFrame([*data, (900, [float("nan"), 1.0], "z"), (901, None, "z")], "_id long, _x array<double>, _y string")
+    seen = rows_to_driver(monkeypatch)
+    near = knn.nearest(train.select("_id", "_x"), train, 5, exclude_self, True)
+    assert max(seen) < 50
+    want = []
+    for i, p, _ in data:
+        d = np.round(np.sqrt(((x - p) ** 2).sum(1)), 9)
+        d[i] = np.inf if exclude_self else d[i]
+        want += [(i, int(j), data[j][2], float(d[j])) for j in np.lexsort((np.arange(len(x)), d))[:5]]
+    assert sorted(tuple(r) for r in near.collect()) == sorted(want)
+
+
 def test_edited_knn_stops_with_the_rows_before(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
