@@ -182,6 +182,17 @@ def test_classes_by_blocks_pieces_and_slices(spark, monkeypatch, exclude_self):
     assert sorted(tuple(r) for r in near.collect()) == sorted(want)
 
 
+def test_nominal_neighbours_pass_no_rows_through_the_driver(spark, monkeypatch):
+    rows = [(i, "abc"[i % 3], float(i % 4), "xy"[i * i % 7 % 2]) for i in range(1200)]
+    df = spark.createDataFrame(rows, "row_id long, n string, size double, class string")
+    spec = CLASS.with_changes(nominal_cols=("n",))
+    seen = rows_to_driver(monkeypatch)
+    out = knn.KNN(3).fit(df, spec).transform(df)
+    out.write.format("noop").mode("overwrite").save()
+    assert max(seen) < 50
+    assert got(out) == got(knn.KNN(3, "join").fit(df, spec).transform(df))
+
+
 def test_edited_knn_stops_with_the_rows_before(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
