@@ -193,6 +193,15 @@ def test_nominal_neighbours_pass_no_rows_through_the_driver(spark, monkeypatch):
     assert got(out) == got(knn.KNN(3, "join").fit(df, spec).transform(df))
 
 
+def test_copies_are_compared_once(spark):
+    rows = [(i, float(i % 6), 1.0 + i % 5) for i in range(3000)]
+    df = spark.createDataFrame(rows, "row_id long, size double, output double")
+    model, count = knn.KNN(5).fit(df, REG), spark.sparkContext.accumulator(0)
+    near = knn.nearest(model.vectors.add(df).select(F.col("row_id").alias("_id"), "_x"), model.train, 5, False, False, count=count)
+    assert sorted((r["_tid"], r["_id"]) for r in near.collect()) == sorted((i, i % 6 + 6 * j) for i in range(3000) for j in range(5))
+    assert 0 < count.value <= 6 * 30  # six points and five rows of each; all pairs are 9,000,000
+
+
 def test_edited_knn_stops_with_the_rows_before(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
