@@ -202,6 +202,25 @@ def test_copies_are_compared_once(spark):
     assert 0 < count.value <= 6 * 30  # six points and five rows of each; all pairs are 9,000,000
 
 
+def test_near_distances_by_product_are_exact(spark, monkeypatch):
+    monkeypatch.setattr(knn, "BROADCAST_VALUES", 64 * 300)
+    rng = np.random.default_rng(8)
+    x = 1e6 + np.concatenate([rng.random((400, 64)), 1e-6 * rng.random((400, 64)), 1e-9 * rng.integers(0, 3, (200, 64))])  # squares of 1e12 and distances down to ties
+    data = [(i, p.tolist(), float(i)) for i, p in enumerate(x)]
+    train = spark.createDataFrame(data, "_id long, _x array<double>, _y double")
+    seen = rows_to_driver(monkeypatch)
+    near = knn.nearest(train.filter("_id % 5 = 0").select("_id", "_x"), train.filter("_id % 5 <> 0"), 5, False, False)
+    assert max(seen) < 50  # no block comes to the driver
+    want, ids = [], np.array([i for i in range(len(x)) if i % 5])
+    for i in range(0, len(x), 5):
+        d = np.zeros(len(ids))
+        for j in range(64):
+            d += (x[i, j] - x[ids, j]) ** 2
+        d = np.round(np.sqrt(d), 9)
+        want += [(i, int(ids[j]), float(d[j])) for j in np.lexsort((ids, d))[:5]]
+    assert sorted((r["_tid"], r["_id"], r["_d"]) for r in near.collect()) == sorted(want)
+
+
 def test_edited_knn_stops_with_the_rows_before(spark):
     data = list(zip(range(12), [1, 2, 2, 3, 3, 5, 2, 4, 4, 5, 5, 6], [6, 1, 2, 1, 4, 2, 7, 5, 8, 7, 8, 3], ["red"] * 6 + ["green"] * 6, strict=True))
     val = spark.createDataFrame([(0, 1.0, 6.0, "green"), (1, 4.0, 4.0, "green")], "row_id long, size double, shape double, class string")
