@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,8 @@ from .metrics import compute_metrics
 from .models import FittedModel, Model
 from .split import minibatches, ranked
 
-#: Training values (rows times features), and rows, that are held in the driver. Of a larger set a batch is, if it has no more than so
-#: many; the gradient of a larger batch is added up in Spark. Batches are the same either way.
+#: Training values (rows times features), and rows, that are held in the driver. Of a larger set a task holds batches of no more than so
+#: many and takes their steps; the gradient of a larger batch is added up in Spark. Batches are the same either way.
 LOCAL_VALUES, LOCAL_ROWS = 2_000_000, 50_000
 
 
@@ -277,13 +278,10 @@ class NeuralNetwork(Model):
         if spec.task == "classification":
             classes = [r["_y"] for r in rows.groupBy("_y").agg(F.min("_id").alias("i")).orderBy("i", "_y").collect()]
         net, rng = Network(self.layers, self.exact).build(width, self.seed), np.random.default_rng(self.seed)
-        gradients = self.gradients_of(net, rows, classes, n, width)
-        fitted, t = FittedNetwork(spec, net, features, classes, []), 0
+        advance = self.advance_of(net, rng, rows, classes, n, width)
+        fitted, steps = FittedNetwork(spec, net, features, classes, []), -(-n // self.batch_size)
         for epoch in range(self.epochs):
-            for _ in range(-(-n // self.batch_size)):
-                t += 1
-                net.start_batch(rng)
-                net.apply(gradients(t), self.optimizer, t)
+            advance(epoch * steps + 1, (epoch + 1) * steps)
             if self.verbose:
                 for name, part in (("train", df), ("validation", self.validation)):
                     if part is not None:
@@ -291,14 +289,22 @@ class NeuralNetwork(Model):
                         fitted.history += [(epoch, name, m, got[m]) for m in spec.metrics]
         return fitted
 
-    def gradients_of(self, net: Network, rows: DataFrame, classes: list[str] | None, n: int, width: int):
-        """A function from the number of a step to the mean updates over its batch: the rows of the least hashes of (seed, step, id)."""
+    def advance_of(self, net: Network, rng: np.random.Generator, rows: DataFrame, classes: list[str] | None, n: int, width: int):
+        """A function that takes the steps from one number to another; the batch of a step is the rows of the least hashes of (seed, step, id)."""
         at = {c: i for i, c in enumerate(classes or [])}
 
         def arrays(got) -> tuple[np.ndarray, np.ndarray]:
             x = np.array([r["_x"] for r in got], float)
             return x, np.array([[r["_y"]] for r in got], float) if classes is None else np.eye(len(classes))[[at[r["_y"]] for r in got]]
 
+        def one_by_one(gradients):
+            def advance(first: int, last: int) -> None:
+                for t in range(first, last + 1):
+                    net.start_batch(rng)
+                    net.apply(gradients(t), self.optimizer, t)
+
+            return advance
+
         if n * width <= LOCAL_VALUES and n <= LOCAL_ROWS:
             held = rows.orderBy("_id").collect()
             ids, (x, y) = [r["_id"] for r in held], arrays(held)
@@ -308,22 +314,53 @@ class NeuralNetwork(Model):
                 pick = sorted(range(n), key=keys.__getitem__)[: self.batch_size]  # stable: ties by id
                 return net.gradients(x[pick], y[pick])
 
-            return local
+            return one_by_one(local)
         if self.batch_size * width <= LOCAL_VALUES:
-            kept, drawn = durable(rows), {}
+            kept = durable(rows)
             ahead = max(1, min(-(-n // self.batch_size), LOCAL_VALUES // (self.batch_size * width), LOCAL_ROWS // self.batch_size, 256))
 
-            def ahead_of(t: int):
-                if t not in drawn:  # the next steps' batches, by one scan
-                    drawn.clear()
-                    for r in minibatches(kept, "_id", list(range(t, t + ahead)), self.batch_size, self.seed, n).orderBy("_step", "_rank").collect():
-                        drawn.setdefault(r["_step"], []).append(r)
-                return net.gradients(*arrays(drawn[t]))
+            def advance(first: int, last: int) -> None:
+                for t in range(first, last + 1, ahead):  # the batches of so many steps by one scan
+                    drawn = minibatches(kept, "_id", list(range(t, min(t + ahead, last + 1))), self.batch_size, self.seed, n)
+                    _stepped(drawn, net, self.optimizer, rng, arrays)
 
-            return ahead_of
+            return advance
         target = F.array("_y") if classes is None else F.transform(F.array(*[F.lit(c) for c in classes]), lambda c: (c == F.col("_y")).cast("double"))
         ready = durable(rows.select("_id", "_x", target.alias("_y")))
-        return lambda t: partial_gradients(ready if self.batch_size == n else ranked(ready, "_id", f"{self.seed}:{t}").filter(F.col("_rank") < self.batch_size), net)
+        return one_by_one(lambda t: partial_gradients(ready if self.batch_size == n else ranked(ready, "_id", f"{self.seed}:{t}").filter(F.col("_rank") < self.batch_size), net))
+
+
+def _stepped(drawn: DataFrame, net: Network, optimizer: Optimizer, rng: np.random.Generator, arrays) -> None:
+    """Take the steps whose batches drawn(_step, _rank, _x, _y) holds: one task takes them in order, and layers, moments and random state come back."""
+    state = cloudpickle.dumps((net.layers, net.exact, optimizer, rng))
+    sent = drawn.sparkSession.sparkContext.broadcast(state)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        layers, exact, opt, draws = cloudpickle.loads(sent.value)
+        own, held, at = Network(layers, exact), [], None
+
+        def step() -> None:
+            own.start_batch(draws)
+            own.apply(own.gradients(*arrays(held)), opt, at)
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                if at is not None and r["_step"] != at:
+                    step()
+                    held = []
+                at = r["_step"]
+                held.append(r)
+        if held:
+            step()
+            yield pa.RecordBatch.from_arrays([pa.array([cloudpickle.dumps((layers, opt, draws))], pa.binary())], names=["state"])
+
+    ordered = drawn.select("_step", "_rank", "_x", "_y").repartition(1).sortWithinPartitions("_step", "_rank")
+    layers, opt, draws = cloudpickle.loads(bytes(ordered.mapInArrow(run, "state binary").first()["state"]))
+    for layer, now in zip(net.layers, layers, strict=True):
+        layer.__dict__.update(now.__dict__)
+    optimizer.__dict__.update(opt.__dict__)
+    rng.bit_generator.state = draws.bit_generator.state
+    sent.unpersist()
 
 
 def partial_gradients(df: DataFrame, network: Network) -> list[list[np.ndarray]]:

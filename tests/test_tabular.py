@@ -603,3 +603,21 @@ def test_value_differences_of_listed_pairs(spark):
     pairs = spark.createDataFrame([("a", "c"), ("b", "b"), ("new", "a"), ("a", "c")], "v1 string, v2 string")
     some = {(r["v1"], r["v2"]): r["vdm_sq"] for r in knn.vdm_matrix(df, "n", pairs=pairs).collect()}
     assert set(some) == {("a", "c"), ("b", "b"), ("new", "a")} and all(abs(v - want[k]) < 1e-12 for k, v in some.items())
+
+
+def test_batches_of_a_large_set_stay_in_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    df = spark.createDataFrame([(i, p.tolist(), "ab"[i % 2]) for i, p in enumerate(rng.random((400, 3)))], "row_id long, x array<double>, class string")
+
+    def fit():
+        layers = [neural.Input(3), neural.Dense(8, "relu"), neural.Dropout(0.25), neural.Dense(2, "softmax")]
+        return neural.NeuralNetwork(layers, batch_size=40, epochs=2, optimizer=neural.Adam(0.01, carry_moments=True), seed=4).fit(df, CLASS)
+
+    want = fit()
+    monkeypatch.setattr(neural, "LOCAL_ROWS", 200)
+    seen = rows_to_driver(monkeypatch)
+    model = fit()
+    assert max(seen) < 40  # not one batch
+    for a, b in zip(want.network.layers, model.network.layers, strict=True):
+        if isinstance(a, neural.Dense):
+            assert np.array_equal(a.weights, b.weights) and np.array_equal(a.bias, b.bias)
