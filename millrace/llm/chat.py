@@ -12,6 +12,9 @@ OPEN, COLON, CLOSE = "### ", ": ", "</turn>\n"
 # Fixed values of the escapes: each control string and the code that stands for it inside texts and roles. The backslash comes first.
 ESCAPES = (("\\", "\\\\"), ("###", "\\h"), ("</turn>", "\\t"), (": ", "\\c"))
 
+# Examples of a conversation that one task builds at once.
+EXAMPLES = 64
+
 
 def escape(text: Column) -> Column:
     """The text with control strings replaced by backslash codes; ``unescape`` gives it back exactly."""
@@ -58,12 +61,14 @@ def examples(turns: DataFrame) -> DataFrame:
 
 
 def _expanded(conv: DataFrame) -> DataFrame:
-    """``examples`` with the parts of the conversation."""
+    """``examples`` with the parts of the conversation. A long conversation is dealt over tasks in runs of EXAMPLES, as its prompts are square in its turns."""
     n = F.size("parts")
     at = F.filter(F.sequence(F.lit(0), n - 1), lambda i: F.element_at("parts", i + 1)["target"])
     closed = F.element_at("parts", -1)["target"]
     at = F.when(closed, at).otherwise(F.concat(at, F.array(F.lit(None).cast("int"))))
-    rows = conv.select("conv_id", "parts", F.size(at).alias("k"), F.posexplode(at).alias("i", "target_turn"))
+    some = F.sequence(F.lit(0), F.floor((F.size(at) - 1) / EXAMPLES).cast("int"))
+    runs = conv.select("conv_id", "parts", F.size(at).alias("k"), at.alias("at"), F.explode(some).alias("run")).repartition(int(conv.sparkSession.conf.get("spark.sql.shuffle.partitions")), "conv_id", "run")
+    rows = runs.select("conv_id", "parts", "k", "run", F.posexplode(F.slice("at", F.col("run") * EXAMPLES + 1, EXAMPLES)).alias("i", "target_turn")).withColumn("i", F.col("i") + F.col("run") * EXAMPLES)
     reply = F.element_at("parts", F.col("target_turn") + 1)
     prompt = F.when(F.col("target_turn").isNull(), _render(F.col("parts"))).otherwise(F.concat(_render(F.slice("parts", F.lit(1), F.coalesce("target_turn", F.lit(0)))), reply["head"]))
     return rows.select("conv_id", "parts", (F.col("i") + 1).alias("example_no"), "target_turn", (F.col("i") + 1 == F.col("k")).alias("is_last"), prompt.alias("prompt"), F.when(F.col("target_turn").isNotNull(), reply["body"]).alias("completion"), F.when(F.col("target_turn").isNotNull(), reply["tail"]).alias("suffix"))
@@ -77,25 +82,13 @@ def _number(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long")
 
 
-def prompt_totals(parts: Column) -> Column:
-    """A struct (n, chars, digest) over the prompts of all examples of a conversation: their number, length and digest.
+def prompt_digest(pieces: Column, n: Column, closing: Column) -> Column:
+    """The digest of a prompt, read from the n pieces that CLOSE cuts its text into: the sum, over its turns and its own head, of place (from 1) times the first 32 bits of the MD5.
 
-    A prompt's digest is the sum, over its turns and its own head, of place (from 1) times the first 32 bits of the MD5. A prompt is the one
-    before it with some turns more, so both are running sums over turns: every prompt counts, and none is built.
+    closing: the prompt is all of its conversation and ends with a turn, not with a head.
     """
-    zero = F.struct(*[F.lit(0).cast("long").alias(x) for x in ("pos", "chars", "digest", "n", "all_chars", "all_digest")])
-
-    def step(a: Column, p: Column) -> Column:
-        whole, place, own = F.concat(p["head"], p["body"], p["tail"]), a["pos"] + 1, lambda x: F.when(p["target"], x).otherwise(F.lit(0).cast("long"))
-        return F.struct(
-            place.alias("pos"), (a["chars"] + F.length(whole)).alias("chars"), ((a["digest"] + place * _number(whole)) % PRIME).alias("digest"), (a["n"] + own(F.lit(1).cast("long"))).alias("n"),
-            (a["all_chars"] + own(a["chars"] + F.length(p["head"]))).alias("all_chars"), ((a["all_digest"] + own(a["digest"] + place * _number(p["head"]))) % PRIME).alias("all_digest"))
-
-    def end(a: Column) -> Column:
-        rest = lambda x: F.when(F.element_at(parts, -1)["target"], F.lit(0).cast("long")).otherwise(x)  # noqa: E731  # the closing example's prompt is all of it
-        return F.struct((a["n"] + rest(F.lit(1).cast("long"))).alias("n"), (a["all_chars"] + rest(a["chars"])).alias("chars"), ((a["all_digest"] + rest(a["digest"])) % PRIME).alias("digest"))
-
-    return F.aggregate(parts, zero, step, end)
+    value = lambda p, i: (i + 1) * _number(F.when(i < n - 1, F.concat(p, F.lit(CLOSE))).otherwise(p))
+    return F.aggregate(F.transform(F.slice(pieces, F.lit(1), n - closing.cast("int")), value), F.lit(0).cast("long"), lambda a, v: (a + v) % PRIME)
 
 
 def read_back(formatted: Column) -> Column:
@@ -107,12 +100,16 @@ def read_back(formatted: Column) -> Column:
 
 
 def digests(turns: DataFrame) -> DataFrame:
-    """Per conversation what can be read back from its examples; see ``op3_chat_format``."""
+    """Per conversation what can be read back from its examples, every prompt included; see ``op3_chat_format``."""
     ex = _expanded(conversations(turns))
     whole = F.when(F.col("is_last"), F.concat("prompt", F.coalesce("completion", F.lit("")), F.coalesce("suffix", F.lit(""))))
-    totals = F.when(F.col("is_last"), prompt_totals(F.col("parts")))
-    per = ex.select("conv_id", "example_no", "completion", whole.alias("whole"), totals.alias("totals")).groupBy("conv_id").agg(
-        F.max("totals").alias("prompts"), F.max("whole").alias("formatted"), F.array_sort(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example_no", "completion")))).alias("replies"))
+    # the pieces and their number are columns, so that no lambda cuts the text anew
+    ex = ex.select("conv_id", "example_no", "completion", "target_turn", whole.alias("whole"), F.length("prompt").cast("long").alias("chars"), F.split("prompt", CLOSE).alias("pieces"))
+    ex = ex.withColumn("n", F.size("pieces"))
+    read = F.struct("chars", prompt_digest(F.col("pieces"), F.col("n"), F.col("target_turn").isNull()).alias("digest"))
+    per = ex.select("conv_id", "example_no", "completion", "whole", read.alias("read")).groupBy("conv_id").agg(
+        F.struct(F.count("*").alias("n"), F.sum("read.chars").alias("chars"), (F.sum("read.digest") % PRIME).alias("digest")).alias("prompts"),
+        F.max("whole").alias("formatted"), F.array_sort(F.collect_list(F.when(F.col("completion").isNotNull(), F.struct("example_no", "completion")))).alias("replies"))
     per = per.select("conv_id", "prompts", "formatted", read_back(F.col("formatted")).alias("turns"), F.array_join(F.transform("replies", lambda r: unescape(r["completion"])), "").alias("loss"))
     flat = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return per.select(

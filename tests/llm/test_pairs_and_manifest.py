@@ -305,3 +305,15 @@ def test_prompt_totals_equal_those_of_all_prompts(spark):
         n, chars, total = want.get(r["conv_id"], (0, 0, 0))
         want[r["conv_id"]] = n + 1, chars + len(r["prompt"]), (total + sum(i * number(t) for i, t in enumerate(turns, 1))) % chat.PRIME
     assert {r["conv_id"]: (r["n_examples"], r["prompt_chars"], r["prompt_digest"]) for r in chat.digests(df).collect()} == want
+
+
+def test_digests_read_every_prompt(spark, monkeypatch):
+    data = [(1, i, "user" if i % 2 else "assistant", f"text {i}") for i in range(301)] + [(2, 0, "user", "a"), (2, 1, "assistant", "b"), (2, 2, "user", "c")]
+    df = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    right = {r["conv_id"]: r for r in chat.digests(df).collect()}
+    assert [right[c]["n_examples"] for c in (1, 2)] == [151, 2]
+    expanded = chat._expanded
+    monkeypatch.setattr(chat, "_expanded", lambda conv: expanded(conv).withColumn("prompt", F.when(F.col("example_no") == 1, F.concat(F.lit("?"), "prompt")).otherwise(F.col("prompt"))))
+    for r in chat.digests(df).collect():
+        assert r["prompt_chars"] == right[r["conv_id"]]["prompt_chars"] + 1 and r["prompt_digest"] != right[r["conv_id"]]["prompt_digest"]
+        assert r["turns_sha256"] == right[r["conv_id"]]["turns_sha256"]
