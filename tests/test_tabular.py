@@ -564,6 +564,14 @@ def test_pruning_and_walking_over_opened_nodes_equal_those_in_one_task(spark, mo
         opened.trees  # noqa: B018
 
 
+def test_a_tree_deeper_than_its_sql_is_whole(spark):
+    rows = [(i, float(i), 0.0, "ab"[i % 2]) for i in range(120)]  # each split takes off an end
+    df = points(spark, rows)
+    model = tree.DecisionTree("post-prune", validation=df, post_prune="full", constant_gain="exclude").fit(df, CLASS)
+    assert model.nodes().agg(F.max("depth")).first()[0] > 64
+    assert got(model.transform(df)) == [r[3] for r in rows]
+
+
 def test_the_driver_never_holds_a_large_tree(tmp_path):
     """262,144 leaves, with 2 MB for all that reaches the driver from a job."""
     import subprocess
