@@ -1,11 +1,13 @@
 import datetime
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from millrace.operators import crossval, knn, metrics, models, neural, preprocess, split, tree
+from millrace.plans import queries
 from millrace.sources import DatasetSpec, default_datasets, load_dataset, with_row_id
 
 TRAIN9 = list(zip(range(9), [1, 2, 4, 2, 3, 4, 6, 6, 8], [2, 3, 2, 7, 6, 6, 3, 5, 3], ["red"] * 3 + ["green"] * 3 + ["blue"] * 3, strict=True))
@@ -211,6 +213,30 @@ def test_copies_are_sorted_by_a_hash_first(spark):
     assert sorts and all(" [_w0#" in s or "Sort [xxhash64" in s for s in sorts), sorts
 
 
+def parts(spark, folder, times):
+    """A folder with 1,000 rows of ``part`` repeated with shifted keys."""
+    base = F.col("id") % 1000
+    df = spark.range(1000 * times).select(F.col("id").alias("p_partkey"), (base * base % 47 % 50 + 1).cast("int").alias("p_size"), (900 + base / 10).alias("p_retailprice"), F.concat(F.lit("T"), base * 7 % 11 % 6).alias("p_type"))
+    df.write.parquet(f"{folder}/{times}/part.parquet")
+    return f"{folder}/{times}"
+
+
+def by_sql(name, folder):
+    with duckdb.connect() as db:
+        db.execute(f"create view part as select * from read_parquet('{folder}/part.parquet/*.parquet')")
+        return sorted(db.execute(queries.ORACLES[name]).fetchall())
+
+
+def test_six_times_the_parts_bring_no_rows_to_the_driver(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", 500)
+    seen = rows_to_driver(monkeypatch)
+    for times in (1, 6):
+        folder = parts(spark, tmp_path, times)
+        queries.knn_class(spark, folder).write.parquet(f"{folder}/out")
+        assert max(seen) < 50
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()) == by_sql("knn_class", folder)
+
+
 def test_near_distances_by_product_are_exact(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_VALUES", 64 * 300)
     rng = np.random.default_rng(8)
