@@ -237,6 +237,18 @@ def test_six_times_the_parts_bring_no_rows_to_the_driver(spark, monkeypatch, tmp
     assert sorted(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect()) == by_sql("knn_class", folder)
 
 
+def test_six_times_the_parts_compare_no_more_pairs(spark, monkeypatch, tmp_path):
+    find, compared = knn.nearest, []
+    for times in (1, 6):
+        folder, count = parts(spark, tmp_path, times), spark.sparkContext.accumulator(0)
+        monkeypatch.setattr(knn, "nearest", lambda *a, count=count: find(*a, count=count))
+        queries.knn_reg(spark, folder).write.parquet(f"{folder}/out")
+        compared.append(count.value)
+    assert 0 < compared[0] == compared[1] <= 50 * 250
+    got_ = dict(tuple(r) for r in spark.read.parquet(f"{folder}/out").collect())
+    assert got_ == pytest.approx(dict(by_sql("knn_reg", folder)), abs=1.01e-4)  # g is summed in another order, so a fourth digit may round the other way
+
+
 def test_near_distances_by_product_are_exact(spark, monkeypatch):
     monkeypatch.setattr(knn, "BROADCAST_VALUES", 64 * 300)
     rng = np.random.default_rng(8)
