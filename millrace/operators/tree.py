@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.durable import durable
+from ..plans.durable import unsized
 from ..plans.joins import enumerated, spread_join
 from ..sources import DatasetSpec
 from .models import FittedModel, Model
@@ -118,7 +118,7 @@ class Grower:
         Running sums over values go in two levels: within a range of values, and over the ranges' own sums.
         """
         at, total = ["_tree", "_node", "a"], ["_n", *self.parts]
-        hist = durable(self.long(state).groupBy(*at, "v", "s").agg(*self.sums()).withColumn("_range", self.ranges()))
+        hist = unsized(self.long(state).groupBy(*at, "v", "s").agg(*self.sums()).withColumn("_range", self.ranges()))
         numeric = F.col("a").isin(*[self.cols.index(c) for c in self.numeric]) if self.numeric else F.lit(False)
         per = hist.groupBy(*[F.col(c).alias(f"b{c}") for c in at], F.col("_range").alias("b_range")).agg(*[F.sum(c).alias(f"s{c}") for c in total], F.min("v").alias("_low"))
         node = Window.partitionBy(*[f"b{c}" for c in at])
@@ -143,14 +143,14 @@ class Grower:
     def grow(self, draws: DataFrame | None, min_rows: float, max_depth: int | None) -> DataFrame:
         """The node table of all trees. Rows are routed by joins on their node; the driver learns how many nodes a level has, never which."""
         state = self.rows.withColumns({"_tree": F.lit(0), "_w": F.lit(1.0)}) if draws is None else self.rows.join(draws, "_id")
-        state = durable(state.withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
+        state = unsized(state.withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
         none = F.lit(None)
         opened = state.select(F.col("_tree").alias("tree"), F.col("_node").alias("id")).distinct().select("tree", "id", none.cast("long").alias("parent"), none.cast("string").alias("branch"))
         used = (state.agg(F.max("_tree")).first()[0] or 0) + 1
         pieces, depth, total = [], 0, None
         tasks = state.sparkSession.sparkContext.defaultParallelism
         while True:
-            sizes = durable(state.groupBy(F.col("_node").alias("_key")).agg(F.count("*").alias("_rows")))
+            sizes = unsized(state.groupBy(F.col("_node").alias("_key")).agg(F.count("*").alias("_rows")))
             total = total or sizes.agg(F.sum("_rows")).first()[0] or 0
             # a node goes to a task if it fits, and if it is small or one of many, or if there were levels enough to make many
             small = (F.col("_rows") * max(1, len(self.cols)) <= TASK_VALUES) & ((F.col("_rows") <= TASK_ROWS) | (F.col("_rows") * tasks <= total) | F.lit(2**depth >= tasks))
@@ -162,7 +162,7 @@ class Grower:
                 break
             split = spread_join(state, sizes, "_node", "_key", "_rows", got[2]).drop("_key")
             if got[1]:
-                split = durable(split)
+                split = unsized(split)
                 pieces.append(self.finish(split.filter(small).drop("_rows"), opened, depth, min_rows, max_depth))
             nodes, state, opened, count = self.level(split.filter(~small), sizes, opened, depth, min_rows, max_depth, used, got[2])
             pieces.append(nodes)
@@ -172,7 +172,7 @@ class Grower:
         out = self.rows.sparkSession.createDataFrame([], NODES)
         for p in pieces:
             out = out.unionByName(p)
-        return durable(out)
+        return unsized(out)
 
     def says(self) -> list[Column]:
         """label and value from a node's sums: the class of most weight, of ties the smallest; or the mean output."""
@@ -191,7 +191,7 @@ class Grower:
             best = self.candidates(state).withColumn("_r", F.row_number().over(first)).filter("_r = 1")
             ok = F.col("fit") & (F.col("whole") > self.epsilon) & F.when(F.col("_numeric"), F.col("threshold").isNotNull()).otherwise((F.col("values") > 1) | (F.col("gain") > 0))
             best = best.withColumn("_split", ok & (F.col("_n") >= min_rows) if min_rows else ok)
-        best = durable(best)
+        best = unsized(best)
         name = F.when(F.col("_split"), F.get(F.array(*[F.lit(c) for c in self.cols]).cast("array<string>"), F.col("a")))
         nodes = best.join(opened, F.col("_node") == F.col("id")).select(
             "tree", "id", "parent", "branch", F.lit(depth).alias("depth"), F.col("_n").alias("n"), name.alias("attribute"), F.when(F.col("_split"), F.col("threshold")).alias("threshold"), *self.says(), F.col("_split").alias("spread"), F.col("id").alias("top"))
@@ -201,7 +201,7 @@ class Grower:
         if self.nominal:
             values = spread_join(self.long(state).filter("s is not null or v is null"), split.filter("not _numeric").select(F.col("_node").alias("_key"), F.col("a").alias("_a"), "_rows"), "_node", "_key", "_rows", rows).filter("a = _a")
             below = below.unionByName(values.groupBy("_tree", "_node", F.col("s").alias("branch")).agg(F.count("*").alias("_k")))
-        below = durable(enumerated(below.repartition("_node").sortWithinPartitions("_node", "branch"), "_child", used).withColumn("_child", F.shiftleft("_child", SHIFT)))
+        below = unsized(enumerated(below.repartition("_node").sortWithinPartitions("_node", "branch"), "_child", used).withColumn("_child", F.shiftleft("_child", SHIFT)))
         count = below.count()
         if not count:
             return nodes, None, None, 0
@@ -223,7 +223,7 @@ class Grower:
             key = lambda node, value: F.concat(node.cast("string"), F.coalesce(F.concat(F.lit("="), value), F.lit("")))
             to = below.filter("_k is not null").select(key(F.col("_node"), F.col("branch")).alias("_value"), F.col("_child").alias("_to2"), "_k")
             moved = spread_join(moved.withColumn("_is", F.when(F.col("_left").isNull(), key(F.col("_node"), s))), to, "_is", "_value", "_k", rows, "left").withColumn("_to", F.coalesce("_to", "_to2"))
-        moved = durable(moved.select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
+        moved = unsized(moved.select("_id", "_y", "_num", "_nom", "_tree", "_w", F.col("_to").alias("_node")))
         return nodes, moved, below.select(F.col("_tree").alias("tree"), F.col("_child").alias("id"), F.col("_node").alias("parent"), "branch"), count
 
     def finish(self, state: DataFrame, opened: DataFrame, depth: int, min_rows: float, max_depth: int | None) -> DataFrame:
@@ -251,7 +251,7 @@ class Grower:
         names = ["tree", "id", "parent", "branch", "depth", "n", "attribute", "threshold", "label", "value", "spread", "top"]
         got = state.select("_id", "_tree", "_node", "_y", "_w", "_num", "_nom").groupBy("_node").applyInPandas(run, NODES)
         above = opened.select(F.col("id").alias("_key"), F.col("parent").alias("_parent"), F.col("branch").alias("_branch"))
-        got = durable(got.join(above, F.col("id") == F.col("_key"), "left"))
+        got = unsized(got.join(above, F.col("id") == F.col("_key"), "left"))
         blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
         return got.select("tree", "id", F.coalesce("parent", "_parent").alias("parent"), F.coalesce("branch", "_branch").alias("branch"), "depth", "n", "attribute", blank("threshold"), "label", blank("value"), "spread", "top")
 
@@ -451,11 +451,11 @@ class FittedTrees(FittedModel):
         if df.isStreaming:
             raise ValueError(f"a forest of over {SENT_NODES} nodes scores no streams")
         number = next(f"_row{i}" for i in range(len(df.columns) + 1) if f"_row{i}" not in df.columns)
-        rows = durable(df.withColumn(number, F.monotonically_increasing_id()))
+        rows = unsized(df.withColumn(number, F.monotonically_increasing_id()))
         says = self.table.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("label" if labels else "value").alias("_says"))
         ends = self.landed(rows.withColumn("_row", F.col(number)))
         per = ends.groupBy(F.col("_tree").alias("_pt"), F.col("_node").alias("_pn")).agg(F.count("*").alias("_k"))
-        says = durable(says.join(per, (F.col("_t") == F.col("_pt")) & (F.col("_i") == F.col("_pn"))).select("_i", "_says", "_k"))
+        says = unsized(says.join(per, (F.col("_t") == F.col("_pt")) & (F.col("_i") == F.col("_pn"))).select("_i", "_says", "_k"))
         votes = spread_join(ends, says, "_node", "_i", "_k", ends.count()).groupBy(F.col("_row").alias("_vote_row")).agg(F.array_sort(F.collect_list(F.struct("_tree", "_says"))).alias("_all"))
         return rows.join(votes.select("_vote_row", F.col("_all._says").alias(name)), F.col(number) == F.col("_vote_row")).drop(number, "_vote_row")
 
@@ -489,7 +489,7 @@ class FittedTrees(FittedModel):
         num = F.array(*[F.when(~F.isnan(F.col(f"`{c}`").cast("double")), F.col(f"`{c}`").cast("double")) for c in numeric]).cast("array<double>")
         nom = F.array(*[F.col(f"`{c}`").cast("string") for c in nominal]).cast("array<string>")
         roots = [r["tree"] for r in self.table.select("tree").distinct().orderBy("tree").collect()]  # a number for each tree
-        now = durable(df.select("_row", num.alias("_num"), nom.alias("_nom"), F.explode(F.array(*[F.lit(t) for t in roots])).alias("_tree")).withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
+        now = unsized(df.select("_row", num.alias("_num"), nom.alias("_nom"), F.explode(F.array(*[F.lit(t) for t in roots])).alias("_tree")).withColumn("_node", F.shiftleft(F.col("_tree").cast("long"), SHIFT)))
         total = now.count()
         inner = self.table.filter("spread")
         below = self.table.filter("id = top and parent is not null")
@@ -503,17 +503,17 @@ class FittedTrees(FittedModel):
         for d in range(0 if levels is None else levels + 1):
             at = inner.filter(F.col("depth") == d).select(F.col("id").alias("_key"), "attribute", "threshold")
             sizes = now.groupBy(F.col("_node").alias("_n")).agg(F.count("*").alias("_k"))
-            at = durable(at.join(sizes, F.col("_key") == F.col("_n")).drop("_n"))
+            at = unsized(at.join(sizes, F.col("_key") == F.col("_n")).drop("_n"))
             moved = spread_join(now, at, "_node", "_key", "_k", total, "left").drop("_key", "_k")
             is_number = F.col("attribute").isin(*numeric) if numeric else F.lit(False)
             branch = F.when(is_number, F.when(x <= F.col("threshold"), "left").otherwise("right")).otherwise(s)
-            moved = durable(moved.withColumn("_is", F.when(F.col("attribute").isNotNull(), key(F.col("_node"), branch))).drop("attribute", "threshold"))
+            moved = unsized(moved.withColumn("_is", F.when(F.col("attribute").isNotNull(), key(F.col("_node"), branch))).drop("attribute", "threshold"))
             to = below.filter(F.col("depth") == d + 1).select(key(F.col("parent"), F.col("branch")).alias("_key"), F.col("id").alias("_to"))
             met = moved.groupBy(F.col("_is").alias("_n")).agg(F.count("*").alias("_k"))
-            to = durable(to.join(met, F.col("_key") == F.col("_n")).drop("_n"))
-            now = durable(spread_join(moved, to, "_is", "_key", "_k", total, "left").select("_row", "_num", "_nom", "_tree", F.coalesce("_to", "_node").alias("_node")))
+            to = unsized(to.join(met, F.col("_key") == F.col("_n")).drop("_n"))
+            now = unsized(spread_join(moved, to, "_is", "_key", "_k", total, "left").select("_row", "_num", "_nom", "_tree", F.coalesce("_to", "_node").alias("_node")))
         # no spread node but those of unseen values is left: these stay, the others are tops of subtrees
-        sizes = durable(now.groupBy(F.col("_node").alias("_n")).agg(F.count("*").alias("_k")).withColumn("_parts", F.ceil(F.col("_k") / WALK_ROWS).cast("long")))
+        sizes = unsized(now.groupBy(F.col("_node").alias("_n")).agg(F.count("*").alias("_k")).withColumn("_parts", F.ceil(F.col("_k") / WALK_ROWS).cast("long")))
         dealt = spread_join(now, sizes, "_node", "_n", "_k", total).withColumn("_part", F.pmod(F.xxhash64("_row"), F.col("_parts"))).select("_row", "_num", "_nom", "_tree", F.col("_node").alias("_top"), "_part")
         trees = self.table.join(sizes, F.col("top") == F.col("_n")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
 
@@ -526,7 +526,7 @@ class FittedTrees(FittedModel):
             return pd.DataFrame({"_row": rows["_row"], "_tree": rows["_tree"], "_node": ends})
 
         picked = trees.select(F.col("top").alias("_top"), "_part", "id", F.coalesce("parent", F.lit(-1)).alias("parent"), "branch", "depth", "attribute", "threshold", "spread")
-        return durable(dealt.groupBy("_top", "_part").cogroup(picked.groupBy("_top", "_part")).applyInPandas(run, "_row long, _tree int, _node long"))
+        return unsized(dealt.groupBy("_top", "_part").cogroup(picked.groupBy("_top", "_part")).applyInPandas(run, "_row long, _tree int, _node long"))
 
     def nodes(self, spark=None) -> DataFrame:
         kind = F.when(F.col("attribute").isNull(), "leaf").when(F.col("attribute").isin(*self.numeric) if self.numeric else F.lit(False), "numeric").otherwise("nominal")
@@ -637,7 +637,7 @@ class DecisionTree(Model):
         target, root_only = F.col(f"`{spec.target}`"), self.post_prune != "full"
         classes, centre = model.classes, 0.0
         actual = target.cast("string") if classes is not None else target.cast("double")
-        rows = durable(self.validation.withColumn("_row", F.monotonically_increasing_id()))
+        rows = unsized(self.validation.withColumn("_row", F.monotonically_increasing_id()))
         known = rows.select(F.col("_row").alias("_r"), actual.alias("_actual"))
         if classes is None:
             centre = known.agg(F.avg("_actual")).first()[0] or 0.0
@@ -690,7 +690,7 @@ class DecisionTree(Model):
         schema = NODES + ", leaf boolean, loss double, " + ", ".join(f"{c} double" for c in names)
         tops = model.table.select(F.col("id").alias("_id"), F.col("top").alias("_top"))
         found = ends.join(tops, F.col("_at") == F.col("_id")).select("_top", "_at", *names)
-        table = durable(model.table.withColumns({"_top": F.col("top"), "parent": F.coalesce("parent", F.lit(-1))}).groupBy("_top").cogroup(found.groupBy("_top")).applyInPandas(run, schema))
+        table = unsized(model.table.withColumns({"_top": F.col("top"), "parent": F.coalesce("parent", F.lit(-1))}).groupBy("_top").cogroup(found.groupBy("_top")).applyInPandas(run, schema))
         blank = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
         table = table.withColumn("parent", F.when(F.col("parent") >= 0, F.col("parent"))).select(*[blank(c) if c in ("threshold", "value") else c for c in out])
         most = table.filter("spread").agg(F.max("depth")).first()[0]
@@ -701,7 +701,7 @@ class DecisionTree(Model):
         end = F.when(~F.col("leaf"), F.col("attribute")).alias("attribute"), F.when(~F.col("leaf"), F.col("threshold")).alias("threshold")
         columns = [c.split(" ")[0] for c in NODES.split(", ")]
         pruned = pruned.withColumn("spread", F.col("spread") & ~F.col("leaf"))
-        return FittedTrees(spec, durable(pruned.select(*[dict(attribute=end[0], threshold=end[1]).get(c, c) for c in columns])), model.numeric, classes)
+        return FittedTrees(spec, unsized(pruned.select(*[dict(attribute=end[0], threshold=end[1]).get(c, c) for c in columns])), model.numeric, classes)
 
     def prune_spread(self, table: DataFrame, most: int, names: list[str], classes: list[str] | None, centre: float, slack: float, root_only: bool) -> DataFrame:
         """``table`` with the decisions on nodes that Spark jobs opened, and without the subtrees below those that become leaves."""
@@ -721,14 +721,14 @@ class DecisionTree(Model):
             here = here.withColumns({c: F.col(c) + F.coalesce(f"s_{c}", F.lit(0.0)) for c in (*names, "loss")}).drop(*[f"s_{c}" for c in (*names, "loss")])
             limit = F.col("loss") + slack * (F.col("loss") if classes is not None else F.col("p1"))
             cut = (own <= limit) & (F.col("parent").isNull() if root_only else F.lit(True))
-            here = durable(here.withColumn("leaf", cut).withColumn("loss", F.when(cut, own).otherwise(F.col("loss"))))
+            here = unsized(here.withColumn("leaf", cut).withColumn("loss", F.when(cut, own).otherwise(F.col("loss"))))
             done[d] = here.unionByName(level[d])
-            done[d] = durable(done[d])
+            done[d] = unsized(done[d])
         kept, tops = done[0], done[0]
         for d in range(1, most + 2):  # a node stays if its parent stays and is no leaf
             parents = kept.filter("spread and not leaf").select(F.col("id").alias("_p"))
             kept = done.get(d, level[d]).join(parents, F.col("parent") == F.col("_p")).drop("_p")
-            kept = durable(kept)
+            kept = unsized(kept)
             tops = tops.unionByName(kept)
         stay = tops.select(F.col("id").alias("_t"))
         return tops.unionByName(table.filter("id <> top").join(stay, F.col("top") == F.col("_t"), "left_semi"))

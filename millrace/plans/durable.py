@@ -31,6 +31,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """``durable``, and without Spark's estimate of its size, for loops whose rounds join what the last ones left.
+
+    The estimate of a join is the product of both sides' and a checkpoint keeps it, so it gets several times as many digits a round: in growing
+    trees five times a level, until the driver cannot hold the number.
+    """
+    kept, spark = durable(df), df.sparkSession
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False), spark)
+
+
 def written(df: DataFrame, path: str | None = None) -> tuple[DataFrame, str]:
     """``df`` as a Parquet table in the shared folder, and the table's path: what ``discard`` takes once it is no longer read."""
     path = path or f"{shared_dir(df.sparkSession)}/millrace-{uuid.uuid4().hex}"

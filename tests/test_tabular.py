@@ -634,6 +634,22 @@ def test_a_tree_deeper_than_its_sql_is_whole(spark):
     assert got(model.transform(df)) == [r[3] for r in rows]
 
 
+def test_size_estimates_do_not_grow_with_levels(spark, monkeypatch):
+    """Of joins they are products: kept from level to level they got five times as many digits each, until the driver could not hold them."""
+    bits = []
+    plain = tree.Grower.level
+
+    def level(self, state, *args):
+        bits.append(state._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length())
+        return plain(self, state, *args)
+
+    monkeypatch.setattr(tree.Grower, "level", level)
+    monkeypatch.setattr(tree, "TASK_VALUES", 0)
+    rows = points(spark, [(i, float(i), 0.0, "ab"[i % 2]) for i in range(20)])
+    tree.DecisionTree(constant_gain="exclude", max_depth=2).fit(rows, CLASS)
+    assert len(bits) == 3 and max(bits) < 1000
+
+
 def test_the_driver_never_holds_a_large_tree(tmp_path):
     """262,144 leaves, with 2 MB for all that reaches the driver from a job."""
     import subprocess
